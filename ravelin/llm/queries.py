@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ravelin.llm import bpe
+from ravelin.llm import bpe, ogg, token_counts
 
-_MODULES = (bpe,)
+_MODULES = (ogg, bpe, token_counts)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
