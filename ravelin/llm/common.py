@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ravelin.session import ship
+
 #: Rows turned into Python objects at a time, fewer if their texts are long: both bound a worker's memory.
 CHUNK_ROWS, CHUNK_BYTES = 1024, 8 << 20
 
@@ -33,6 +35,7 @@ def map_chunks(
     of output tuples. Only ``columns`` are read, so other columns of ``df`` can have any name. Nothing is kept between
     chunks, so a task's memory doesn't grow with its input.
     """
+    ship(df.sparkSession)
     out = schema_of(schema)
     arrow = to_arrow_schema(out)
 
@@ -78,6 +81,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder; survives lost executors, and its plan starts anew."""
+    ship(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
