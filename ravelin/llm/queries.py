@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ravelin.llm import bpe, licenses, mixing, ogg, simhash, token_counts, warc
+from ravelin.llm import bpe, licenses, mixing, ogg, quality, simhash, token_counts, toxicity, warc
 
-_MODULES = (ogg, simhash, bpe, token_counts, mixing, licenses, warc)
+_MODULES = (ogg, simhash, bpe, token_counts, toxicity, quality, mixing, licenses, warc)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
