@@ -1,8 +1,9 @@
 """Connected components by randomised contraction (Bögeholz, Brand, Todor: In-database connected component analysis).
 
-In each round every vertex picks the neighbour, or itself, that a hash of the round orders first, and edges are drawn
-between the picks; the expected number of vertices falls by a constant factor whatever the graph's shape, so chains and
-stars alike take a number of rounds logarithmic in their size. Nothing is gathered on the driver or in one task: picks are
+In each round every vertex picks the neighbour, or itself, that the round orders first, and edges are drawn between the
+picks. Every other round orders by a hash of its own: the expected number of vertices falls by a constant factor whatever
+the graph's shape, so chains and stars alike take a number of rounds logarithmic in their size. The rounds between order
+by the vertex itself, which settles at once the stars around a least vertex that this package's joins give. Nothing is gathered on the driver or in one task: picks are
 a minimum (combined before the shuffle), and joins read written tables, so the engine can split a hub's partition.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import cut
@@ -18,22 +19,38 @@ from ravelin.llm.common import cut
 MAX_ROUNDS = 200
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``edges`` has long columns a and b. A row (node, root) for each end of an edge between two different nodes; nodes
-    have the same root just when they are connected. Repeated edges, both directions and loops are allowed; rows with a
-    null end are left out. No edges give no rows."""
+def _contract(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """What is left, which is empty, and each round's picks."""
     left = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
     picks: list[DataFrame] = []
     while not left.isEmpty():
-        if len(picks) == MAX_ROUNDS:
+        n = len(picks)
+        if n == MAX_ROUNDS:
             raise RuntimeError(f"components are not settled after {MAX_ROUNDS} rounds")
-        order = lambda v, n=len(picks): F.struct(F.xxhash64(F.lit(n), v).alias("h"), v.alias("v"))
+
+        def order(v: Column) -> Column:
+            return F.struct((F.xxhash64(F.lit(n), v) if n % 2 else v).alias("h"), v.alias("v"))  # noqa: B023
+
         both = left.union(left.select("b", "a"))
         pick = cut(both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m")).select(F.col("a").alias("node"), F.least("m", order(F.col("a")))["v"].alias("root")))
         picks.append(pick)
         one = left.join(pick, left.a == pick.node).select(F.col("root").alias("ra"), "b")
         two = one.join(pick, one.b == pick.node).select(F.col("ra").alias("a"), F.col("root").alias("b"))
         left = cut(two.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return left, picks
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``edges`` has long columns a and b. A row (node, root) for each end of an edge between two different nodes; nodes
+    have the same root just when they are connected. Repeated edges, both directions and loops are allowed; rows with a
+    null end are left out. No edges give no rows."""
+    spark = edges.sparkSession
+    inferred = spark.conf.get("spark.sql.constraintPropagation.enabled")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")  # a written table keeps them; they double each round
+    try:
+        left, picks = _contract(edges)
+    finally:
+        spark.conf.set("spark.sql.constraintPropagation.enabled", inferred)
     if not picks:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
 

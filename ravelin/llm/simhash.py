@@ -129,8 +129,7 @@ def bucket_links(fps: np.ndarray, near: np.ndarray, bounds: np.ndarray, distance
         start, end = bounds[n], bounds[n + 1]
         own_fps, own_near, left = fps[start:end], near[start:end], np.arange(end - start)
         while len(left) > 1:
-            root, left = left[0], left[1:]
-            queue = [root]
+            queue, left, members = [left[0]], left[1:], [left[:1]]
             while queue and len(left):
                 i = queue.pop()
                 hit = _survivors(own_near[left], own_near[i], own_fps[left], own_fps[i], distance)
@@ -138,8 +137,11 @@ def bucket_links(fps: np.ndarray, near: np.ndarray, bounds: np.ndarray, distance
                     reached = left[hit]
                     left = np.delete(left, hit)
                     queue.extend(reached.tolist())
-                    a.append(own_fps[reached])
-                    b.append(np.full(len(reached), own_fps[root]))
+                    members.append(reached)
+            if len(members) > 1:
+                group = own_fps[np.concatenate(members)]
+                a.append(group)  # the least has an edge to itself, which is left out later
+                b.append(np.full(len(group), group.view(np.int64).min().view(np.uint64)))
     return a, b
 
 
