@@ -218,9 +218,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_embeddings"
 ORACLES: dict[str, Any] = {
     "op5_embeddings": """
         WITH RECURSIVE v AS (
-            SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+            SELECT vec_id, label, [x::DOUBLE for x in embedding] AS e FROM embeddings
             WHERE label IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0
         ), link AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
             ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
