@@ -32,7 +32,7 @@ SHARE, MOST = 1.5, 2
 BLOCK_WORDS, MOST_BLOCKS = 512, 400_000_000
 SHARDS = 16
 SEED = 20
-ROWS_IN_BUCKET = 4096
+ROWS_IN_BUCKET = 512
 MAX_SOURCES = 100_000
 
 
