@@ -103,8 +103,9 @@ def contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             step = max(1, min(512, batch.num_rows * CHUNK_BYTES // 2 // max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 add_contexts(total, types.of([t or "" for t in batch.column(0).slice(at, step).to_pylist()]), places, signs)
-        kept = [n for n in range(ROW_BLOCKS) if total[n * rows : (n + 1) * rows].any()]
-        packed = [zlib.compress(total[n * rows : (n + 1) * rows].tobytes(), 1) for n in kept]
+        dealt = total.reshape(TYPES, DIMENSIONS)  # a block has every ROW_BLOCKS-th row, so blocks are alike
+        kept = [n for n in range(ROW_BLOCKS) if dealt[n::ROW_BLOCKS].any()]
+        packed = [zlib.compress(dealt[n::ROW_BLOCKS].tobytes(), 1) for n in kept]
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(packed, pa.binary())], names=["part", "sums"])
 
     def add(own: pa.Table) -> pa.Table:
@@ -117,10 +118,10 @@ def contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     parts = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(count, kind)
     # First within each of a number of groups, so that no task takes a row from every other.
     parts = parts.withColumn("salt", F.spark_partition_id() % 16).groupBy("part", "salt").applyInArrow(lambda t: add(t.select(["part", "sums"])), kind)
-    out = np.zeros((ROW_BLOCKS, rows), np.int64)
+    out = np.zeros((TYPES, DIMENSIONS), np.int64)
     for r in parts.groupBy("part").applyInArrow(add, kind).collect():
-        out[r.part] = np.frombuffer(zlib.decompress(r.sums), np.int64)
-    return out.reshape(TYPES, DIMENSIONS)
+        out[r.part :: ROW_BLOCKS] = np.frombuffer(zlib.decompress(r.sums), np.int64).reshape(-1, DIMENSIONS)
+    return out
 
 
 def vectors(counts: np.ndarray) -> np.ndarray:
