@@ -31,7 +31,7 @@ from ravelin.llm.components import components
 from ravelin.session import ship
 
 COSINE = 0.93
-BLOCKS, TILE, SEED = 4, 2048, 3
+BLOCKS, TILE, SEED = 4, 1024, 3
 #: Cells that are large enough to be split are broadcast up to this many, and joined beyond.
 MOST_BROADCAST = 100_000
 SLACK = 1e-9
