@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ravelin.llm.common import map_chunks, table
 
 #: Entries of a worker's memory of encoded pre-tokens; it is emptied when full, which changes speed only.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
