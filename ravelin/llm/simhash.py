@@ -9,7 +9,8 @@ so it agrees on all of at least ``blocks - 4`` blocks, and every choice of that
 blocks follows the number of fingerprints (``plan``), which bounds the expected pairs for each. Equal fingerprints are
 one row before any of this. Within a bucket, a linked fingerprint is taken out when it is first reached, so a dense bucket
 takes about one comparison a member, and a bucket gives at most a spanning forest's edges if it has more than
-``SMALL`` members: pairs of a group of copies are never listed.
+``SMALL`` members: pairs of a group of copies are never listed. A bucket of more than ``TILE`` members is split into parts
+that meet pairwise, each pair of parts a bucket of its own, so no task holds a large group.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; fewer words than a shingle make one
 shingle; repeated rows and ids are kept, each with its component; a component's id is its least non-null doc_id; an empty
@@ -33,7 +34,9 @@ from ravelin.llm.components import components
 
 SHINGLE_WORDS, SEED, DISTANCE = 4, 42, 4
 PIVOTS, PIVOT_SEED = 32, 7
-SMALL = 8
+SMALL, TILE = 8, 65_536
+#: Keys of large buckets are broadcast up to this many, and joined beyond.
+MOST_BROADCAST = 100_000
 
 
 def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
@@ -150,16 +153,25 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     known = cut(pivot_table(distinct))
     _, masks = plan(known.count(), distance)
     keys = F.array(*[F.struct(F.lit(n).alias("choice"), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64))).alias("key")) for n, m in enumerate(masks)])
-    rows = known.select("fp", "near", F.explode(keys).alias("k")).select("k.choice", "k.key", "fp", "near")
+    keyed = known.select("fp", "near", F.explode(keys).alias("k")).select("k.choice", "k.key", "fp", "near")
+    counts = keyed.groupBy("choice", "key").count()
+    large = cut(counts.where(F.col("count") > TILE).select(F.col("choice").alias("c"), F.col("key").alias("k"), F.expr(f"(count + {TILE - 1}) div {TILE}").alias("parts")))
+    if large.isEmpty():
+        rows = keyed.withColumn("tile", F.lit(0).cast("long"))
+    else:
+        side = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
+        tiles = F.expr("transform(sequence(0L, parts - 1), p -> least(p, pmod(xxhash64(fp), parts)) * parts + greatest(p, pmod(xxhash64(fp), parts)))")
+        rows = keyed.join(side, (F.col("choice") == F.col("c")) & (F.col("key") == F.col("k")), "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+        rows = rows.select("choice", "key", "fp", "near", F.explode(tiles).alias("tile"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(last: bool) -> pa.RecordBatch | None:
-            choice, key, fps, near = (np.concatenate(x) for x in zip(*held))
-            starts = np.flatnonzero(np.concatenate(([True], (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]))))
+            choice, key, tile, fps, near = (np.concatenate(x) for x in zip(*held))
+            starts = np.flatnonzero(np.concatenate(([True], (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))))
             keep = len(fps) if last else starts[-1]
-            held[:] = [] if last else [(choice[keep:], key[keep:], fps[keep:], near[keep:])]
+            held[:] = [] if last else [(choice[keep:], key[keep:], tile[keep:], fps[keep:], near[keep:])]
             bounds = np.append(starts[starts < keep], keep)
             if len(bounds) < 2:
                 return None
@@ -172,18 +184,19 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, PIVOTS)
-            held.append((*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64), near))
+            near = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, PIVOTS)
+            held.append((*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)), batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64), near))
             size += batch.num_rows
             if size >= 1 << 17:
                 if (out := flush(False)) is not None:
                     yield out
-                size = len(held[0][2])
+                size = len(held[0][3])
                 size = 0 if size < 1 << 16 else size - (1 << 17)  # a bucket larger than that waits for twice as many rows
         if held and (out := flush(True)) is not None:
             yield out
 
-    return rows.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(run, "a long, b long")
+    rows = rows.select("choice", "key", "tile", "fp", "near")
+    return rows.repartition("choice", "key", "tile").sortWithinPartitions("choice", "key", "tile").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:

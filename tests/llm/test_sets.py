@@ -86,6 +86,17 @@ def test_every_linked_pair_agrees_on_a_choice_of_blocks(n, d):
         assert any(diff & m == 0 for m in masks)
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 20)
+    rng = np.random.default_rng(9)
+    fps = np.unique(np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, 4)).astype(np.uint64), axis=1))
+    want = roots(len(fps), [(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 4)])
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    place = {f: i for i, f in enumerate(fps.view(np.int64).tolist())}
+    edges = [(place[r.a], place[r.b]) for r in simhash.links(df).collect()]
+    assert roots(len(fps), edges) == want
+
+
 def test_simhash_edges(spark):
     rows = [(3, None), (1, ""), (9, "  "), (4, "a b c d e"), (4, "a b c d e"), (None, "a b c d e"), (8, "z" * 100_000), (7, "A B C D E")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS first")
