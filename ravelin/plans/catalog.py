@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import frames, scalars
 from ravelin.operators import joins, sequences, summary
 from ravelin.operators.config import MODELS, DetectorConfig, TrackConfig, model_geometry
-from ravelin.operators.detect import Detector, blobs
+from ravelin.operators.detect import Detector, blobs, open_and_close
 from ravelin.operators.tracker import Track, Tracker, associate, live_event, merge_fragments, summarise, track_frames
 from ravelin.session import ship
 from ravelin.sources.proxies import HEIGHT, PX1, PX2, PX3, PX4, WIDTH, px1, px2, px2_pixels, px3, px4
@@ -340,6 +340,24 @@ def frame_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("n", F.count("*").over(Window.partitionBy("vec_id"))).where("n <= 3").drop("n")
 
 
+_NEAR = "(abs(a.x - b.x) + abs(a.y - b.y) <= 1)"
+_STEP = lambda name, of, how: f"{name} AS (SELECT a.vec_id, a.i, a.x, a.y, {how}(b.m) AS m FROM {of} a JOIN {of} b ON a.vec_id = b.vec_id AND {_NEAR} GROUP BY ALL)"
+
+
+@query(f"""WITH {PX2}, m0 AS (SELECT vec_id, i, i % 8 AS x, i // 8 AS y, e > 0.0::DOUBLE AS m FROM pixels), {_STEP("m1", "m0", "bool_and")}, {_STEP("m2", "m1", "bool_or")}, {_STEP("m3", "m2", "bool_or")}, {_STEP("m4", "m3", "bool_and")}
+    SELECT vec_id, count(*) FILTER (WHERE m) AS hot, coalesce(sum(CASE WHEN m THEN i END), 0)::BIGINT AS places FROM m4 GROUP BY vec_id""")
+def frame_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening and closing of the positive pixels with a 3 by 3 ellipse."""
+
+    def run(batches):
+        for rows in batches:
+            masks = [np.flatnonzero(open_and_close(np.asarray(px, float).reshape(8, 8) > 0.0, 3)) for px in rows["px"]]
+            yield pd.DataFrame({"vec_id": rows["vec_id"], "hot": [len(m) for m in masks], "places": [int(m.sum()) for m in masks]})
+
+    ship(spark)
+    return px2(spark, sf_dir).select("vec_id", "px").mapInPandas(run, "vec_id long, hot long, places long")
+
+
 # Boxes
 
 
@@ -583,6 +601,24 @@ def fresh_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px1(spark, sf_dir).withColumn("age", age).where(F.col("age") <= QUARTER_DAY).select("stream_id", "frame_no", "age")
 
 
+@query(f"""WITH {PX1}, j AS (SELECT stream_id, count(*) AS frames, count(*) FILTER (WHERE event_type = 'error') AS failed FROM px1 GROUP BY stream_id)
+    SELECT stream_id, CASE WHEN failed * 4 > frames THEN 'failed: ' || failed || ' of ' || frames ELSE 'ok' END AS status FROM j""")
+def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams parted into good ones and those of which over a quarter failed, with a message."""
+    j = px1(spark, sf_dir).groupBy("stream_id").agg(F.count("*").alias("frames"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    message = F.concat(F.lit("failed: "), F.col("failed").cast("string"), F.lit(" of "), F.col("frames").cast("string"))
+    return j.select("stream_id", F.when(F.col("failed") * 4 > F.col("frames"), message).otherwise("ok").alias("status"))
+
+
+@query(f"""WITH {PX1}, s AS (SELECT DISTINCT stream_id, CASE stream_id % 3 WHEN 0 THEN 'P1' WHEN 1 THEN 'P3' ELSE 'P9' END AS model FROM px1)
+    SELECT stream_id, s.model, width, height FROM s LEFT JOIN (VALUES ('P1', 160::BIGINT, 120::BIGINT), ('P3', 256, 192)) m(model, width, height) ON s.model = m.model""")
+def sidecar_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stream with its sensor's geometry; null for an unknown one."""
+    model = F.when(F.col("stream_id") % 3 == 0, "P1").when(F.col("stream_id") % 3 == 1, "P3").otherwise("P9")
+    known = model_config(spark, sf_dir).select("model", "width", "height")
+    return px1(spark, sf_dir).select("stream_id").distinct().withColumn("model", model).join(F.broadcast(known), "model", "left").select("stream_id", "model", "width", "height")
+
+
 # The whole pipeline, which SQL can't express: tested against plain Python
 
 
@@ -611,6 +647,21 @@ def full_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.fold(rows, "stream_id", ["frame_no", "k"], step, _TRACK_COLUMNS)
 
 
+@query()
+def overlay_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At each frame the boxes of reportable tracks, coasting ones as last observed."""
+    last = px1(spark, sf_dir).groupBy("stream_id").agg(F.max("frame_no").alias("last"))
+
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        tracker, out = Tracker(WIDTH, HEIGHT, CONFIG, DetectorConfig().min_track_frames), []
+        for n, boxes in _box_frames(rows):
+            tracker.step(n, boxes)
+            out += [(rows["stream_id"].iloc[0], n, *map(int, b)) for b in tracker.overlay()]
+        return pd.DataFrame(out, columns=["stream_id", "frame_no", "x0", "y0", "x1", "y1", "track_id"])
+
+    return sequences.fold(last.join(px3(spark, sf_dir), "stream_id", "left"), "stream_id", ["frame_no", "k"], step, "stream_id long, frame_no long, x0 long, y0 long, x1 long, y1 long, track_id long")
+
+
 @query()
 def full_detect_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames to events: detector, tracker, summary, on 8x8 frames."""

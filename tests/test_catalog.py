@@ -24,3 +24,11 @@ def test_entry():
 
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_overlays_have_reportable_tracks_only(spark, sf_dir):
+    rows = catalog.overlay_boxes(spark, sf_dir).collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: r.frame_no):
+        first.setdefault((r.stream_id, r.track_id), r.frame_no)
+    assert rows and min(first.values()) >= 2  # a track is shown from its third hit
