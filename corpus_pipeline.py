@@ -22,20 +22,14 @@ SHINGLE_WORDS, DISTANCE = 5, 7
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; fitted on those of its input that are labelled."""
-    words, network = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, lambda texts: quality.score(texts, quality.Model(words, network), "row", "text"), F.col("score") >= quality.THRESHOLD)
+    score = quality.score_of(spark, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return docs.where(score(docs["text"]) >= quality.THRESHOLD)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, lambda texts: toxicity.score(texts, model, "row", "text"), F.col("score") < 0.5)
-
-
-def _kept(docs: DataFrame, score: Callable[[DataFrame], DataFrame], kept) -> DataFrame:
-    """Rows go through the scorer whole, as its key, so nothing is joined."""
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    return score(docs.select(row.alias("row"), docs["text"].alias("text"))).where(kept).select("row.*")
+    score = toxicity.score_of(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return docs.where(score(docs["text"]) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

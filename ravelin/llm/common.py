@@ -8,8 +8,10 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -19,6 +21,13 @@ from ravelin.session import ship
 CHUNK_ROWS, CHUNK_BYTES = 1024, 8 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so Arrow batches of the default number of rows would take much memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > CHUNK_ROWS:
+        spark.conf.set(name, str(CHUNK_ROWS))
+
+
 def schema_of(ddl: str | T.StructType) -> T.StructType:
     return ddl if isinstance(ddl, T.StructType) else T._parse_datatype_string(ddl)
 
@@ -36,6 +45,7 @@ def map_chunks(
     chunks, so a task's memory doesn't grow with its input.
     """
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     out = schema_of(schema)
     arrow = to_arrow_schema(out)
 
@@ -53,6 +63,26 @@ def map_chunks(
     return df.select(*[df[f"`{c}`"] for c in columns]).mapInArrow(run, out)
 
 
+def text_udf(spark: SparkSession, start: Callable[[], Callable[[list[str]], Iterable[float]]]) -> Callable[[Column], Column]:
+    """A column function from texts to doubles; a null text counts as empty. The other columns stay in the JVM.
+
+    ``start()`` runs once a task and returns a function that takes a chunk of texts."""
+    ship(spark)
+    small_batches(spark)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        each = start()
+        for batch in batches:
+            texts = [t or "" for t in batch]
+            rows = max(1, min(CHUNK_ROWS, len(texts) * CHUNK_BYTES // max(1, sum(map(len, texts)))))
+            gc.disable()
+            found = [x for at in range(0, len(texts), rows) for x in each(texts[at : at + rows])]
+            gc.enable()
+            yield pd.Series(found, dtype="float64")
+
+    return F.pandas_udf(run, "double")
+
+
 def map_rows(
     df: DataFrame,
     columns: Sequence[str],

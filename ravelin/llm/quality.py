@@ -26,11 +26,11 @@ from typing import Any, NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm.bpe import Memory
-from ravelin.llm.common import CHUNK_BYTES, map_chunks, table
+from ravelin.llm.common import CHUNK_BYTES, map_chunks, small_batches, table, text_udf
 from ravelin.llm.labels import held_out, sample
 from ravelin.session import ship
 
@@ -39,7 +39,7 @@ TYPES = 1 << CLASS_BITS + HASH_BITS
 ROW_BLOCKS = 64
 HIDDEN, EPOCHS, RATE, BATCH, DECAY = 24, 60, 3e-3, 32, 1e-3
 THRESHOLD = 0.3
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 
 
@@ -94,6 +94,7 @@ def add_contexts(total: np.ndarray, texts: list[np.ndarray], places: np.ndarray,
 def contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The corpus's context vectors, TYPES by DIMENSIONS; their size doesn't depend on the corpus."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = TYPES // ROW_BLOCKS * DIMENSIONS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,23 +243,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(words, calibrate(network, x[apart], y[apart]) if 0 < y[apart].sum() < apart.sum() else network)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score of each document, one narrow pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_of(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A column function from texts to scores."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def start() -> Callable[..., Iterable[tuple[Any, ...]]]:
+    def start() -> Callable[[list[str]], Iterable[float]]:
         words, network = shared.value
         if network is None:
-            return lambda keys, texts: [(k, 1.0) for k in keys]
+            return lambda texts: [1.0] * len(texts)
         types = Types(CACHE_ENTRIES)
+        return lambda texts: network.probability(np.stack([pool(x, words) for x in types.of(texts)])).tolist()
 
-        def each(keys: list[Any], texts: list[str | None]) -> Iterable[tuple[Any, ...]]:
-            pooled = np.stack([pool(x, words) for x in types.of([t or "" for t in texts])])
-            return zip(keys, network.probability(pooled).tolist())
+    return text_udf(spark, start)
 
-        return each
 
-    return map_chunks(docs, [id_col, text_col], start, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double")
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and score of each document, one narrow pass."""
+    return docs.select(docs[id_col], score_of(docs.sparkSession, model)(docs[text_col]).alias("score"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

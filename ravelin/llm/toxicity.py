@@ -20,22 +20,22 @@ two classes to learn from, every score is 0; repeated rows give repeated rows; a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from typing import Any, NamedTuple
+from typing import NamedTuple
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm.bpe import Memory
-from ravelin.llm.common import map_chunks, table
+from ravelin.llm.common import table, text_udf
 from ravelin.llm.labels import held_out, sample
 
 BITS = 17
 TABLES, BUCKETS, DIMENSIONS = 3, 1 << BITS, 8
 WIDTHS, FILTERS = (1, 2, 3), 4
 EPOCHS, RATE, START, DECAY, SEED = 4, 0.03, np.float32(0.01), 1e-5, 11
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 LANGUAGES = ("en", "de", "fr", "es")
 #: Words that tell the languages apart.
 COMMON = {
@@ -233,17 +233,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return calibrate(model, held) if {y for *_, y in held} == {0, 1} else model
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_of(spark: SparkSession, model: Model | None) -> Callable[[Column], Column]:
+    """A column function from texts to scores."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def start() -> Callable[..., Iterable[tuple[Any, ...]]]:
+    def start() -> Callable[[list[str]], Iterable[float]]:
         if shared.value is None:
-            return lambda keys, texts: [(k, 0.0) for k in keys]
+            return lambda texts: [0.0] * len(texts)
         scorer, words = Scorer(shared.value), Words(CACHE_ENTRIES)
-        return lambda keys, texts: [(k, scorer.score(*x)) for k, x in zip(keys, words.ids([t or "" for t in texts]))]
+        return lambda texts: [scorer.score(*x) for x in words.ids(texts)]
+
+    return text_udf(spark, start)
 
-    return map_chunks(docs, [id_col, text_col], start, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double")
+
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and score of each document."""
+    return docs.select(docs[id_col], score_of(docs.sparkSession, model)(docs[text_col]).alias("score"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
