@@ -11,13 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import bpe, mixing, quality, simhash, toxicity
-from ravelin.llm.common import fresh_name, map_rows, shared_folder, table
+from ravelin.llm import bpe, copies, mixing, quality, toxicity
+from ravelin.llm.common import cut, fresh_name, map_rows, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: The near-duplicate stage's shingles, and the most differing bits of a link. Sets of shingles of similarity J differ in
-#: about 64 / pi * acos(2J / (1 + J)) bits: 4 for 0.96, 7 for 0.89, 10 for 0.8, so links are of copies of 0.8 or more.
-SHINGLE_WORDS, DISTANCE = 5, 7
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +30,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: of equal ids in a group one row, the id being the group's least."""
-    found = simhash.near_duplicates(docs, words_in_shingle=SHINGLE_WORDS, distance=DISTANCE)
-    firsts = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    joined = docs.join(firsts, docs["doc_id"].eqNullSafe(F.col("kept_id"))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    """One document of each group that links of similarity 4/5 or more of five-word shingles join: that of the least id."""
+    hashed = copies.with_hashes(docs)
+    found = copies.near_copies(hashed)
+    firsts = found.groupBy("group").agg(F.min("doc_id").alias("kept_id"))
+    kept = cut(firsts.select("kept_id").distinct())
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id"))).select(*[docs[f"`{c}`"] for c in docs.columns])
     return joined.dropDuplicates(["doc_id"])
 
 

@@ -1,0 +1,153 @@
+"""Groups of near copies: texts whose sets of word shingles have a Jaccard similarity of at least 4/5, and what such links join.
+
+Every link is verified on the whole sets, and none is missed: in any one order of all shingles, two linked sets share one of
+the first ``n - ceil(4n / 5) + 1`` shingles of each (prefix filter), and the first that they share leaves enough behind it
+(positional filter). The order puts shingles that a sample of the rows holds often last, so what many texts repeat is hardly
+ever a key; the order, and so the sample, bears on the work only.
+
+Groups need what connects them, not all links: each set is first held against two sets of each key that it has, and
+only sets that this leaves apart are compared in pairs, so a dense group of copies takes about two comparisons a key.
+
+Defined cases: equal sets are one row before any of this; fewer words than a shingle make one shingle; texts without words
+are one group.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ravelin.llm.common import cut, map_rows, small_batches
+from ravelin.llm.components import components
+from ravelin.session import ship
+
+SHINGLE_WORDS, SEED = 5, 42
+#: Rows of the sample that tells frequent shingles, and how many of these are put last at most.
+SAMPLE_ROWS, MOST_FREQUENT = 20_000, 500_000
+
+
+def shingles(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles, in order."""
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - words_in_shingle + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())), np.uint64, n))
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets' Jaccard similarity is at least 4/5, in whole numbers."""
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def _frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in more than one row of a sample, in order, and in how many."""
+    part = docs.where(F.expr(f"pmod(t1, {max(1, rows // SAMPLE_ROWS)}) = 0")).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], names=["s"])
+
+    found = part.mapInArrow(run, "s long").groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).toPandas()
+    values = found["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], found["count"].to_numpy(np.int64)[order]
+
+
+def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, t1, t2 and row_hash of each row, with its set: a digest, the number of shingles, and those of the prefix."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    own = docs.select("doc_id", "t1", "t2", "row_hash", "text")
+    out = T.StructType([*own.drop("text").schema, *T._parse_datatype_string("set long, n int, prefix array<long>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            digests, sizes, parts = [], [], []
+            for text in batch.column(4):
+                s = shingles(text.as_py())
+                n = len(s)
+                digests.append(xxhash.xxh64_intdigest(s.tobytes()))
+                sizes.append(n)
+                if n and len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
+                parts.append(s[: n - -(-4 * n // 5) + 1])
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+            made = [pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), prefix]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], names=out.names)
+
+    return own.mapInArrow(run, out)
+
+
+def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are linked."""
+    left, right = (whole.select(F.col("set").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+
+    def start() -> Any:
+        def each(a: int, b: int, sa: bytes, sb: bytes) -> Iterator[tuple[int, int]]:
+            if linked(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)):
+                yield a, b
+
+        return each
+
+    return cut(map_rows(pairs.join(left, "a").join(right, "b"), ["a", "b", "sa", "sb"], start, "a long, b long"))
+
+
+def with_hashes(docs: DataFrame) -> DataFrame:
+    """``docs`` with a text hash of two longs, and a hash of the whole row."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text), "row_hash": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2, row_hash and the group of each row of ``with_hashes``."""
+    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    own = cut(_sets(docs, _frequent(docs, docs.count())))
+    distinct = own.select("set", "n", "prefix").dropDuplicates(["set"])
+    keyed = cut(distinct.select("set", "n", F.posexplode("prefix").alias("at", "key")))
+    other = F.struct(F.xxhash64("set").alias("h"), F.col("set"), F.col("n"))
+    hubs = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("set", "n")).alias("one"), F.min(other).alias("two"))
+    met = cut(keyed.join(hubs.where("members > 1").drop("members"), "key"))
+
+    member = met.select("set").distinct()
+    texts = own.join(member, "set").groupBy("set").agg(F.min(F.struct("t1", "t2")).alias("t")).select("set", "t.t1", "t.t2")
+    once = docs.select("t1", "t2", "text").join(texts, ["t1", "t2"])
+
+    def start() -> Any:
+        return lambda key, text: [(key, shingles(text).tobytes())]
+
+    whole = cut(map_rows(once, ["set", "text"], start, "set long, shingles binary").dropDuplicates(["set"]))
+
+    stars = None
+    for hub in ("one", "two"):
+        pairs = met.where(f"set <> {hub}.set AND 5 * least(n, {hub}.n) >= 4 * greatest(n, {hub}.n)")
+        pairs = pairs.select(F.least("set", f"{hub}.set").alias("a"), F.greatest("set", f"{hub}.set").alias("b"))
+        stars = pairs if stars is None else stars.union(pairs)
+    first = _verified(stars.distinct(), whole)
+    roots = cut(components(first))
+    apart = cut(met.select("key", "set", "n", "at").join(roots, met["set"] == roots["node"], "left").select("key", "set", "n", "at", F.coalesce("root", "set").alias("root")))
+    split = apart.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("key")
+    apart = cut(apart.join(split, "key"))
+    left, right = (apart.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("set", "n", "at", "root")]) for x in "ab")
+    pairs = left.join(right, "key").where("set_a < set_b AND root_a <> root_b AND 9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)")
+    edges = first.union(_verified(pairs.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct(), whole))
+
+    rooted = components(edges)
+    return own.drop("n", "prefix").join(rooted, own["set"] == rooted["node"], "left").select("doc_id", "t1", "t2", "row_hash", F.coalesce("root", "set").alias("group"))
