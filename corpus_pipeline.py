@@ -30,13 +30,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similarity 4/5 or more of five-word shingles join: that of the least id."""
+    """One row of each group that links of similarity 4/5 or more of five-word shingles join: that of the least id.
+
+    A null id comes after all others; rows of one id are ordered by hashes of their text, then of the whole row."""
     hashed = copies.with_hashes(docs)
-    found = copies.near_copies(hashed)
-    firsts = found.groupBy("group").agg(F.min("doc_id").alias("kept_id"))
-    kept = cut(firsts.select("kept_id").distinct())
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id"))).select(*[docs[f"`{c}`"] for c in docs.columns])
-    return joined.dropDuplicates(["doc_id"])
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2", "row_hash")
+    firsts = cut(copies.near_copies(hashed).groupBy("group").agg(F.min(order).alias("first")).select("group", "first.*"))
+    same = hashed["doc_id"].eqNullSafe(firsts["doc_id"])
+    for c in ("t1", "t2", "row_hash"):
+        same = same & (hashed[c] == firsts[c])
+    joined = hashed.join(firsts, same).select(*[hashed[f"`{c}`"] for c in docs.columns], firsts["group"])
+    return joined.dropDuplicates(["group"]).drop("group")  # rows that are left of a group are equal
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

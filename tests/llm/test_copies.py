@@ -29,3 +29,16 @@ def test_groups_of_near_copies_are_those_of_brute_force(spark, sf_dir):
     kept = P.drop_near_duplicates(spark, docs, sf_dir)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(first))
     assert P.drop_near_duplicates(spark, docs.where("false"), sf_dir).count() == 0
+
+
+def test_one_row_of_each_group_is_kept_whatever_its_id(spark, sf_dir):
+    import corpus_pipeline as P
+
+    text = [" ".join(f"{c}{j}" for j in range(50)) for c in "abcdef"]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (7, text[3]), (8, text[3]), (9, text[4]), (None, text[4]), (1, text[5] + " more"), (7, text[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS `a.b`")
+    want = [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (9, text[4]), (1, text[5] + " more")]
+    for part in (docs, docs.orderBy("text").repartition(3)):
+        kept = P.drop_near_duplicates(spark, part, sf_dir)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
