@@ -25,6 +25,8 @@ ORACLES: dict[str, str] = {}
 RATE = 10.0
 CONFIG = TrackConfig()
 GATE = CONFIG.max_dist_frac * float(np.hypot(WIDTH, HEIGHT))
+#: Frames that are kept so that an event's peak can be saved.
+CACHED_FRAMES = 400
 DAY, HALF_DAY, QUARTER_DAY = 86_400_000_000, 43_200_000_000, 21_600_000_000
 EMA = {"alpha": 0.02, "noise_alpha": 0.01, "warmup": 10, "least": 22.0, "k": 6.0, "cap": 18.0}
 
@@ -545,6 +547,18 @@ def event_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_summary(spark, sf_dir).join(p.select("stream_id", F.col("frame_no").alias("peak_frame"), "event_id"), ["stream_id", "peak_frame"]).select("stream_id", "track_id", "peak_frame", "event_id")
 
 
+_EMITTED = f"least(end_frame + {CONFIG.max_age + 1}, last)"
+
+
+@query(_SHAPES + f""", n AS (SELECT stream_id, max(frame_no) AS last FROM px1 GROUP BY stream_id) SELECT u.stream_id, track_id, peak_frame, p.event_id FROM u JOIN n ON n.stream_id = u.stream_id JOIN px1 p ON p.stream_id = u.stream_id AND p.frame_no = peak_frame
+    WHERE delta >= 35 AND peak_frame > {_EMITTED} - {CACHED_FRAMES}""")
+def event_snapshots_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a whole stream whose peak frame is still cached at the frame that ends their track, or the stream."""
+    p = px1(spark, sf_dir).withColumn("last", F.max("frame_no").over(Window.partitionBy("stream_id")))
+    found = event_summary(spark, sf_dir).join(p.select("stream_id", F.col("frame_no").alias("peak_frame"), "event_id", "last"), ["stream_id", "peak_frame"])
+    return found.where(f"peak_frame > {_EMITTED} - {CACHED_FRAMES}").select("stream_id", "track_id", "peak_frame", "event_id")
+
+
 @query(_TRACKS + " SELECT stream_id, track_id, 'track' AS kind FROM tracks UNION ALL SELECT stream_id, track_id, 'dropped' FROM u WHERE NOT " + _UP("delta", 2) + " >= 35")
 def all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported tracks and those left out, in one table."""

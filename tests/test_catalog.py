@@ -32,3 +32,11 @@ def test_overlays_have_reportable_tracks_only(spark, sf_dir):
     for r in sorted(rows, key=lambda r: r.frame_no):
         first.setdefault((r.stream_id, r.track_id), r.frame_no)
     assert rows and min(first.values()) >= 2  # a track is shown from its third hit
+
+
+def test_every_event_has_its_snapshot(spark, sf_dir):
+    got = {(r.stream_id, r.track_id, r.peak_frame) for r in catalog.event_snapshots_all(spark, sf_dir).collect()}
+    want = {(r.stream_id, r.track_id, r.peak_frame) for r in catalog.event_summary(spark, sf_dir).collect()}
+    assert got == want  # tracks here last 12 frames at most, so no peak has left the cache
+    last = {r.stream_id: r.last for r in catalog.px1(spark, sf_dir).groupBy("stream_id").agg({"frame_no": "max"}).toDF("stream_id", "last").collect()}
+    assert any(peak <= last[stream] - 40 for stream, _, peak in got)
