@@ -510,10 +510,20 @@ def ranked_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track_summary(spark, sf_dir).select("stream_id", "track_id", "confidence", "score").orderBy(F.desc("score"), "stream_id", "track_id")
 
 
+def _tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.element_at(F.create_map(F.lit("high"), F.lit(0), F.lit("medium"), F.lit(1), F.lit("low"), F.lit(2)), F.col("confidence"))
+    return track_summary(spark, sf_dir).where(rank <= 1).select("stream_id", "track_id", "confidence")
+
+
 @query(_TRACKS + " SELECT stream_id, track_id, confidence FROM tracks WHERE CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END <= 1 AND stream_id IN (1, 2, 3, 5, 8, 13)")
 def tier_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.element_at(F.create_map(F.lit("high"), F.lit(0), F.lit("medium"), F.lit(1), F.lit("low"), F.lit(2)), F.col("confidence"))
-    return track_summary(spark, sf_dir).where(F.col("stream_id").isin(1, 2, 3, 5, 8, 13) & (rank <= 1)).select("stream_id", "track_id", "confidence")
+    return _tiered(spark, sf_dir).where(F.col("stream_id").isin(1, 2, 3, 5, 8, 13))
+
+
+@query(_TRACKS + " SELECT stream_id, track_id, confidence FROM tracks WHERE CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END <= 1 AND stream_id IN (SELECT stream_id FROM px1 WHERE event_type = 'signup')")
+def tier_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks of the upper tiers in streams that have a signup."""
+    return _tiered(spark, sf_dir).join(px1(spark, sf_dir).where("event_type = 'signup'").select("stream_id"), "stream_id", "left_semi")
 
 
 @query(f"WITH {PX4} SELECT stream_id, track_id, '[' || string_agg('[' || frame_no || ',' || x0 || ',' || y0 || ',' || x1 || ',' || y1 || ']', ',' ORDER BY frame_no) || ']' AS path FROM px4 GROUP BY stream_id, track_id")
@@ -531,12 +541,23 @@ def trajectory_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumns({"from_x": F.lag("to_x").over(w), "from_y": F.lag("to_y").over(w)}).where("from_x IS NOT NULL").select("stream_id", "track_id", "frame_no", "from_x", "from_y", "to_x", "to_y")
 
 
+def _start_times(spark: SparkSession, sf_dir: str, timed: DataFrame) -> DataFrame:
+    times = timed.select("stream_id", F.col("frame_no").alias("start_frame"), "us")
+    return track_summary(spark, sf_dir).join(times, ["stream_id", "start_frame"], "left").select("stream_id", "track_id", scalars.iso_utc(F.floor(F.col("us") / 1000000).cast("double")).alias("start_time"))
+
+
 @query(_TRACKS + """, times AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_no, epoch_us(ts) AS us FROM events)
     SELECT t.stream_id, track_id, strftime(make_timestamp(us // 1000000 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS start_time FROM tracks t LEFT JOIN times e ON t.stream_id = e.stream_id AND t.start_frame = e.frame_no AND e.frame_no < 60""")
 def start_time_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timestamp lists here end after 60 frames: later tracks have no start time."""
-    times = px1(spark, sf_dir).where("frame_no < 60").select("stream_id", F.col("frame_no").alias("start_frame"), "us")
-    return track_summary(spark, sf_dir).join(times, ["stream_id", "start_frame"], "left").select("stream_id", "track_id", scalars.iso_utc(F.floor(F.col("us") / 1000000).cast("double")).alias("start_time"))
+    return _start_times(spark, sf_dir, px1(spark, sf_dir).where("frame_no < 60"))
+
+
+@query(_TRACKS + """, times AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_no, epoch_us(ts) AS us FROM events)
+    SELECT t.stream_id, track_id, strftime(make_timestamp(us // 1000000 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS start_time FROM tracks t LEFT JOIN times e ON t.stream_id = e.stream_id AND t.start_frame = e.frame_no""")
+def start_time_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start times by timestamp lists that hold every frame."""
+    return _start_times(spark, sf_dir, px1(spark, sf_dir))
 
 
 @query(_SHAPES + f""", n AS (SELECT stream_id, max(frame_no) AS last FROM px1 GROUP BY stream_id) SELECT u.stream_id, track_id, peak_frame, p.event_id FROM u JOIN n ON n.stream_id = u.stream_id JOIN px1 p ON p.stream_id = u.stream_id AND p.frame_no = peak_frame

@@ -40,3 +40,8 @@ def test_every_event_has_its_snapshot(spark, sf_dir):
     assert got == want  # tracks here last 12 frames at most, so no peak has left the cache
     last = {r.stream_id: r.last for r in catalog.px1(spark, sf_dir).groupBy("stream_id").agg({"frame_no": "max"}).toDF("stream_id", "last").collect()}
     assert any(peak <= last[stream] - 40 for stream, _, peak in got)
+
+
+def test_every_track_has_its_start_time(spark, sf_dir):
+    assert catalog.start_time_lookup_all(spark, sf_dir).where("start_time IS NULL").isEmpty()
+    assert not catalog.start_time_lookup(spark, sf_dir).where("start_time IS NULL").isEmpty()
