@@ -199,10 +199,10 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.sha1(F.coalesce(pages[html_col].cast("string"), F.lit(""))).alias("digest"),
     )
     stored = cut(
-        rows.where((F.octet_length("html") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
+        rows.where(F.octet_length("html") >= REVISIT_BYTES)
         .groupBy("digest")
-        .agg(F.max(F.struct("page_id", "url")).alias("stored"), F.count("*").alias("n"))
-        .where("n > 1")
+        .agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("stored"), F.count("*").alias("n"))
+        .where("n > 1 AND stored IS NOT NULL")
         .select("digest", F.col("stored.page_id").alias("stored_id"), F.col("stored.url").alias("stored_url"))
     )
     again = F.col("stored_id").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("stored_id"), F.lit(False))

@@ -182,6 +182,14 @@ def test_warc_archive_round_trip():
         list(warc.read_archive(data[:-3]))
 
 
+def test_warc_null_ids_revisit_the_one_row_with_an_id(spark):
+    big = "y" * 1000
+    pages = spark.createDataFrame([(3, "u", big), (None, "v", big), (None, "w", big), (4, "x", "z" * 1000), (None, "x", "n" * 1000), (None, "x", "n" * 1000)], "page_id long, url string, html string")
+    got = sorted(((r.page_id or 0, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(pages)).collect()), key=str)
+    want = [(3, "response", None), (0, "revisit", 3), (0, "revisit", 3), (4, "response", None), (0, "response", None), (0, "response", None)]
+    assert got == sorted(want, key=str)
+
+
 def test_warc_query(spark, sf_dir, duck):
     from compare import same
 
