@@ -34,7 +34,7 @@ from ravelin.llm.common import cut, table
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 4 << 20, 2000
-DICTIONARY_BYTES, SAMPLE_BYTES = 32 << 10, 1 << 20
+DICTIONARY_BYTES, SAMPLE_BYTES, PIECE_BYTES = 32 << 10, 1 << 20, 16 << 10
 SKIPPABLE = 0x184D2A5D
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -106,10 +106,13 @@ def parse_record(raw: bytes) -> Record | None:
 
 
 def build_dictionary(records: list[bytes]) -> bytes | None:
-    """From records spread evenly over the archive, at most SAMPLE_BYTES of them; None where they are too few."""
+    """From pieces of records spread evenly over the archive, about SAMPLE_BYTES of them; None where these are too little.
+
+    Long records are sliced, so that there are pieces enough however few the records are."""
     total = sum(map(len, records))
-    step = max(1, -(-total // SAMPLE_BYTES))
-    samples = [r[: SAMPLE_BYTES // 8] for r in records[::step]]
+    most = max(64, min(PIECE_BYTES, total // 16))
+    pieces = [r[at : at + most] for r in records for at in range(0, len(r), most)]
+    samples = pieces[:: max(1, -(-total // SAMPLE_BYTES))]
     if len(samples) < 8:
         return None
     try:

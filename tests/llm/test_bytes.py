@@ -182,6 +182,16 @@ def test_warc_archive_round_trip():
         list(warc.read_archive(data[:-3]))
 
 
+def test_warc_archives_of_few_long_records_have_a_dictionary():
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    for n, length in ((35, 17_000), (3, 200_000), (1, 600_000), (4, 2_000)):
+        records = [warc.make_record(i, f"http://x/{i}", " ".join(rng.choices(words, k=length))) for i in range(n)]
+        data = warc.write_archive("a", records)
+        assert int.from_bytes(data[:4], "little") == warc.SKIPPABLE
+        assert list(warc.read_archive(data))[1:] == records
+
+
 def test_warc_null_ids_revisit_the_one_row_with_an_id(spark):
     big = "y" * 1000
     pages = spark.createDataFrame([(3, "u", big), (None, "v", big), (None, "w", big), (4, "x", "z" * 1000), (None, "x", "n" * 1000), (None, "x", "n" * 1000)], "page_id long, url string, html string")
