@@ -147,6 +147,8 @@ FAMILIES: list[tuple[str, str, str]] = [
     ("proprietary", r"all rights reserved", "all rights reserved"),
     ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", "proprietary"),
     ("copyright", r"(?:copyright|\(c\)|©) *(?:\(c\)|©)? *\d{4}(?:[-, ]+\d{4})*", "copyright"),
+    ("copyright", r"(?:copyright|\(c\)|©) *(?:\(c\)|©)? *\d{4}(?:[-, ]+\d{4})*", "(c)"),
+    ("copyright", r"(?:copyright|\(c\)|©) *(?:\(c\)|©)? *\d{4}(?:[-, ]+\d{4})*", "©"),
     ("no-ai", r"(?:may|must|shall) not be used (?:for|to) (?:train|the training of) (?:ai|machine learning|language) models?", "not be used"),
 ]
 
@@ -188,7 +190,7 @@ def _rules() -> list[Rule]:
             rules.append(Rule(label, rf"\b(?:licen[cs]ed|released|distributed|available|published|provided)(?: \w+){{0,4}} (?:under|by)(?: the| an?)?(?: terms(?: and conditions)? of the)? {title}{OR_LATER}", keyword, 5, 1.0))
             rules.append(Rule(label, rf"\b{title}{OR_LATER}", keyword, 2, 0.8))
         rules.append(Rule(label, rf"spdx-license-identifier: *\(?(?:[\w.+-]+ (?:or|and|with) )*{ids}(?![\w.+-])", "spdx-license-identifier", 6, 1.0))
-        rules.append(Rule(label, rf"\blicen[cs]e\"?'? *[:=] *[\"'\[]*{ids}(?![\w.+-])", "license", 4, 0.9))
+        rules.append(Rule(label, rf"\blicen[cs]e\"?'? *[:=] *[\"'\[]*{ids}(?![\w.+-])", "licen", 4, 0.9))
     rules += [Rule(label, pattern, keyword, 3, 0.9) for label, pattern, keyword in ADDRESSES]
     rules += [Rule(label, pattern, keyword, 1, 0.3 if label == "copyright" else 0.6) for label, pattern, keyword in FAMILIES]
     return rules

@@ -167,6 +167,48 @@ def test_license_rules(spark):
     assert licenses.scan(edges).where("label = 'mit'").count() == 2000
 
 
+def _instance(tree, rng):
+    """A string that a parsed pattern matches, its alternatives drawn at random; assertions give nothing."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "NOT_LITERAL":
+            out += "q"
+        elif name == "ANY":
+            out += "x"
+        elif name == "IN":
+            kind, value = rng.choice(arg)
+            out += {"LITERAL": lambda: chr(value), "RANGE": lambda: chr(value[0]), "CATEGORY": lambda: {"CATEGORY_DIGIT": "1", "CATEGORY_SPACE": " "}.get(str(value), "w"), "NEGATE": lambda: "w"}[str(kind)]()
+        elif name == "BRANCH":
+            out += _instance(rng.choice(arg[1]), rng)
+        elif name == "SUBPATTERN":
+            out += _instance(arg[3], rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            for _ in range(rng.randint(arg[0], max(arg[0], min(arg[1], 2)))):
+                out += _instance(arg[2], rng)
+    return out
+
+
+def test_what_a_license_rule_matches_holds_a_keyword_of_its_label():
+    from re import _parser
+
+    rng = random.Random(4)
+    lacking = set()
+    for pattern, label in sorted({(r.pattern, r.label) for r in licenses.RULES}):
+        tree = _parser.parse(pattern)
+        for _ in range(60):
+            x = _instance(tree, rng)
+            if re.search(pattern, x) and not any(r.label == label and r.keyword in x and re.search(r.pattern, x) for r in licenses.RULES):
+                lacking.add((pattern, x))
+    assert not lacking
+    s = licenses.Scanner(licenses.RULES)
+    found = lambda t: [d.label for d in s.detect(t.lower())]
+    assert found("Licence: MIT") == ["mit"]
+    assert found("(c) 2020 Someone") == found("© 2020 Someone") == found("Copyright (c) 2020 Someone") == ["copyright"]
+
+
 def test_warc_archive_round_trip():
     rng = random.Random(8)
     records = [warc.make_record(i, f"http://x/{i}", "<p>" + " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(80)) + f"{i}</p>") for i in range(200)]
