@@ -84,7 +84,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the token ids of each row, with their number and the digests that tell whether they decode to the text."""
-    return bpe.digests(docs)
+    return bpe.encode(docs, emit=bpe.ids_and_digests, emitted="n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 STAGES: list[tuple[str, Stage]] = [

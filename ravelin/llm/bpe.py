@@ -291,6 +291,11 @@ def _digests(own: Encoder, ids: list[int]) -> tuple[Any, ...]:
     return len(ids), hashlib.sha256(own.decimals(ids).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
 
+def ids_and_digests(own: Encoder, ids: list[int]) -> tuple[Any, ...]:
+    n, *digests = _digests(own, ids)
+    return n, ids, *digests
+
+
 def encode(
     docs: DataFrame,
     id_col: str = "doc_id",

@@ -42,3 +42,14 @@ def test_one_row_of_each_group_is_kept_whatever_its_id(spark, sf_dir):
         kept = P.drop_near_duplicates(spark, part, sf_dir)
         assert kept.columns == docs.columns
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_the_last_stage_returns_token_ids(spark, sf_dir):
+    import hashlib
+
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "some words, some words"), (1, None), (None, "Grüße")], "doc_id long, text string")
+    rows = P.encode(spark, docs, sf_dir).collect()
+    assert sorted(r.n_tokens for r in rows)[0] == 0 and len(rows) == 3
+    assert all(len(r.ids) == r.n_tokens and hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 for r in rows)
