@@ -1,8 +1,7 @@
 """Groups of near copies: texts whose sets of word shingles have a Jaccard similarity of at least 4/5, and what such links join.
 
 Every link is verified on the whole sets, and none is missed: in any one order of all shingles, two linked sets share one of
-the first ``n - ceil(4n / 5) + 1`` shingles of each (prefix filter), and the first that they share leaves enough behind it
-(positional filter). The order puts shingles that a sample of the rows holds often last, so what many texts repeat is hardly
+the first ``n - ceil(4n / 5) + 1`` shingles of each (prefix filter), and enough of them for what is left to do (``_likely``). The order puts shingles that a sample of the rows holds often last, so what many texts repeat is hardly
 ever a key; the order, and so the sample, bears on the work only.
 
 Groups need what connects them, not all links: each set is first held against two sets of each key that it has, and
@@ -30,7 +29,7 @@ from ravelin.session import ship
 
 SHINGLE_WORDS, SEED = 5, 42
 #: Rows of the sample that tells frequent shingles, and how many of these are put last at most.
-SAMPLE_ROWS, MOST_FREQUENT = 20_000, 500_000
+SAMPLE_ROWS, MOST_FREQUENT = 10_000, 50_000
 
 
 def shingles(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> np.ndarray:
@@ -60,10 +59,10 @@ def _frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
             for text in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], names=["s"])
 
-    found = part.mapInArrow(run, "s long").groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).toPandas()
-    values = found["s"].to_numpy(np.int64).view(np.uint64)
+    found = part.mapInArrow(run, "s long").groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).toArrow()
+    values = found["s"].to_numpy().view(np.uint64)
     order = np.argsort(values)
-    return values[order], found["count"].to_numpy(np.int64)[order]
+    return values[order], found["count"].to_numpy()[order]
 
 
 def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -95,8 +94,24 @@ def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame
     return own.mapInArrow(run, out)
 
 
-def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that may be linked, of rows that each tell a key of both: what two sets share beyond these is
+    behind the prefix that ends first, so it is at most the larger rest."""
+    found = pairs.groupBy("set_a", "set_b", "n_a", "n_b").agg(F.countDistinct("key").alias("c"))
+    rest = "greatest((4 * n_a + 4) div 5 - 1, (4 * n_b + 4) div 5 - 1)"
+    sure = found.where(f"5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) AND 9 * (c + {rest}) >= 4 * (n_a + n_b)")
+    return cut(sure.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct())
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of sets that are linked."""
+    member = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    once = docs.select("t1", "t2", "text").join(texts.join(member, "set"), ["t1", "t2"])
+
+    def start_sets() -> Any:
+        return lambda key, text: [(key, shingles(text).tobytes())]
+
+    whole = cut(map_rows(once, ["set", "text"], start_sets, "set long, shingles binary").dropDuplicates(["set"]))
     left, right = (whole.select(F.col("set").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
 
     def start() -> Any:
@@ -126,28 +141,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     hubs = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("set", "n")).alias("one"), F.min(other).alias("two"))
     met = cut(keyed.join(hubs.where("members > 1").drop("members"), "key"))
 
-    member = met.select("set").distinct()
-    texts = own.join(member, "set").groupBy("set").agg(F.min(F.struct("t1", "t2")).alias("t")).select("set", "t.t1", "t.t2")
-    once = docs.select("t1", "t2", "text").join(texts, ["t1", "t2"])
-
-    def start() -> Any:
-        return lambda key, text: [(key, shingles(text).tobytes())]
-
-    whole = cut(map_rows(once, ["set", "text"], start, "set long, shingles binary").dropDuplicates(["set"]))
-
     stars = None
     for hub in ("one", "two"):
-        pairs = met.where(f"set <> {hub}.set AND 5 * least(n, {hub}.n) >= 4 * greatest(n, {hub}.n)")
-        pairs = pairs.select(F.least("set", f"{hub}.set").alias("a"), F.greatest("set", f"{hub}.set").alias("b"))
+        pairs = met.where(f"set <> {hub}.set").select("key", F.col("set").alias("set_a"), F.col("n").alias("n_a"), F.col(f"{hub}.set").alias("set_b"), F.col(f"{hub}.n").alias("n_b"))
         stars = pairs if stars is None else stars.union(pairs)
-    first = _verified(stars.distinct(), whole)
+    texts = own.join(met.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min(F.struct("t1", "t2")).alias("t")).select("set", "t.t1", "t.t2")
+    texts = cut(texts)
+    first = _verified(_likely(stars), texts, docs)
     roots = cut(components(first))
     apart = cut(met.select("key", "set", "n", "at").join(roots, met["set"] == roots["node"], "left").select("key", "set", "n", "at", F.coalesce("root", "set").alias("root")))
     split = apart.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("key")
     apart = cut(apart.join(split, "key"))
-    left, right = (apart.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("set", "n", "at", "root")]) for x in "ab")
-    pairs = left.join(right, "key").where("set_a < set_b AND root_a <> root_b AND 9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)")
-    edges = first.union(_verified(pairs.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct(), whole))
+    left, right = (apart.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("set", "n", "root")]) for x in "ab")
+    pairs = left.join(right, "key").where("set_a < set_b AND root_a <> root_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    edges = first.union(_verified(_likely(pairs), texts, docs))
 
     rooted = components(edges)
     return own.drop("n", "prefix").join(rooted, own["set"] == rooted["node"], "left").select("doc_id", "t1", "t2", "row_hash", F.coalesce("root", "set").alias("group"))
