@@ -15,6 +15,21 @@ that meet pairwise, each pair of parts a bucket of its own, so no task holds a l
 Defined cases: a null or wordless text has fingerprint zero and links like any other; fewer words than a shingle make one
 shingle; repeated rows and ids are kept, each with its component; a component's id is its least non-null doc_id; an empty
 table gives an empty one; other columns may have any name.
+
+``similar_groups`` is the same operator for links that are too wide for keys of bits: texts whose sets of five-word shingles
+have a Jaccard similarity of at least 4/5, about 39 of 256 bits. There, who meets is settled by rare shingles: in any one
+order of all shingles, two linked sets share one of the first ``n - ceil(4n / 5) + 1`` shingles of each. Fingerprints of
+256 bits of those that meet are held against reference fingerprints of their bucket, pairs whose distances to one differ
+by more than ``REACH`` are discarded, then pairs that are farther than that themselves, and whole sets decide on the
+survivors. A linked pair's bits differ with a probability of 0.19 at most, so that ``REACH`` loses one is less likely than
+10^-6 for sets of five shingles and than 10^-11 for larger ones. The order puts shingles that a sample of the rows holds
+often last, so what many texts repeat is hardly ever a key; the order, and so the sample, bears on the work only.
+Groups need what connects them, not all links: each set is first held against the least and the greatest set of each of
+its keys, and only sets that this leaves apart are compared in pairs, so a dense group of copies takes about two
+comparisons a key.
+
+Its defined cases: equal sets are one before any of this; fewer words than a shingle make one shingle; texts without words
+are one group; rows may repeat and ids be null, as each row is known by its hashes.
 """
 
 from __future__ import annotations
@@ -28,33 +43,50 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ravelin.llm.common import cut, map_rows, table
+from ravelin.llm.common import cut, map_rows, small_batches, table
 from ravelin.llm.components import components
+from ravelin.session import ship
 
 SHINGLE_WORDS, SEED, DISTANCE = 4, 42, 4
 PIVOTS, PIVOT_SEED = 32, 7
 SMALL, TILE = 8, 65_536
 #: Keys of large buckets are broadcast up to this many, and joined beyond.
 MOST_BROADCAST = 100_000
+#: Of links by similarity: words in a shingle, words of 64 bits in a fingerprint, and the distance that links stay within.
+SIMILAR_WORDS, WIDE, REACH = 5, 4, 80
+REFERENCES, SIMILAR_TILE = 16, 8192
+#: Rows of the sample that tells frequent shingles, and how many of these are put last at most.
+SAMPLE_ROWS, MOST_FREQUENT = 4000, 50_000
 
 
-def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
-    """64 bits; bit i is set if it is set in over half of the shingles' XXH64."""
+def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; none without words."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - words_in_shingle + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
-        part = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For each column of 64-bit words, the bits that are set in over half of the rows."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 32768):
+        part = np.ascontiguousarray(hashes[at : at + 32768]).astype("<u8").view(np.uint8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
+    """64 bits; bit i is set if it is set in over half of the shingles' XXH64."""
+    hashes = shingle_hashes(text, words_in_shingle)
+    return int(majority(hashes[:, None])[0]) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -98,7 +130,7 @@ def plan(n: int, distance: int = DISTANCE) -> tuple[int, list[int]]:
         blocks = distance + extra
         edges = [64 * i // blocks for i in range(blocks + 1)]
         masks = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in own) for own in combinations(range(blocks), extra)]
-        if extra >= 2 and n < 16 << min(m.bit_count() for m in masks) or extra == 4:
+        if extra >= 2 and n < 16 << min(m.bit_count() for m in masks):
             return blocks, masks
         extra += 1
 
@@ -148,54 +180,72 @@ def bucket_links(fps: np.ndarray, near: np.ndarray, bounds: np.ndarray, distance
     return a, b
 
 
+def tiled(rows: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
+    """``rows`` with a column ``tile``. A bucket of more than ``most`` rows is split by a hash of ``by`` into parts, and each
+    row is in a tile for each part that its own meets, so every two rows of a bucket meet in a tile and no tile is large."""
+    counts = rows.groupBy(*keys).count()
+    large = cut(counts.where(F.col("count") > most).select(*[F.col(k).alias(f"of_{k}") for k in keys], F.expr(f"(count + {most - 1}) div {most}").alias("parts")))
+    if large.isEmpty():
+        return rows.withColumn("tile", F.lit(0).cast("long"))
+    side = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
+    tiles = F.expr(f"transform(sequence(0L, coalesce(parts, 1L) - 1), p -> least(p, pmod(xxhash64({by}), coalesce(parts, 1L))) * coalesce(parts, 1L) + greatest(p, pmod(xxhash64({by}), coalesce(parts, 1L))))")
+    found = rows.join(side, [F.col(k) == F.col(f"of_{k}") for k in keys], "left")
+    return found.select(*rows.columns, F.explode(tiles).alias("tile"))
+
+
+def buckets(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The columns of whole buckets, and where each begins, and the end. Rows come sorted by the first ``keys`` columns; a
+    binary column of a fixed length gives a row of bytes each. Some 10^5 rows are held at a time, or the largest bucket."""
+    held: list[list[np.ndarray]] = []
+    size, wait = 0, 1 << 17
+
+    def ready(last: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        nonlocal size, wait
+        whole = [np.concatenate(x) for x in zip(*held)]
+        differ = np.logical_or.reduce([whole[k][1:] != whole[k][:-1] for k in range(keys)])
+        starts = np.flatnonzero(np.concatenate(([True], differ)))
+        keep = len(whole[0]) if last else int(starts[-1])
+        held[:] = [] if last else [[c[keep:] for c in whole]]
+        size = len(whole[0]) - keep
+        wait = max(1 << 17, 2 * size)  # a bucket larger than that waits for twice as many rows
+        if keep:
+            yield [c[:keep] for c in whole], np.append(starts[starts < keep], keep)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = []
+        for c in batch.columns:
+            if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
+                columns.append(np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1))
+            else:
+                columns.append(c.to_numpy(zero_copy_only=False))
+        held.append(columns)
+        size += batch.num_rows
+        if size >= wait:
+            yield from ready(False)
+    if held:
+        yield from ready(True)
+
+
+def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if a:
+        pairs = np.unique(np.stack([np.concatenate(x).view(np.int64) for x in (a, b)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs.T], names=["a", "b"])
+
+
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints with the same components as all links at ``distance``."""
     known = cut(pivot_table(distinct))
     _, masks = plan(known.count(), distance)
     keys = F.array(*[F.struct(F.lit(n).alias("choice"), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64))).alias("key")) for n, m in enumerate(masks)])
     keyed = known.select("fp", "near", F.explode(keys).alias("k")).select("k.choice", "k.key", "fp", "near")
-    counts = keyed.groupBy("choice", "key").count()
-    large = cut(counts.where(F.col("count") > TILE).select(F.col("choice").alias("c"), F.col("key").alias("k"), F.expr(f"(count + {TILE - 1}) div {TILE}").alias("parts")))
-    if large.isEmpty():
-        rows = keyed.withColumn("tile", F.lit(0).cast("long"))
-    else:
-        side = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
-        tiles = F.expr("transform(sequence(0L, parts - 1), p -> least(p, pmod(xxhash64(fp), parts)) * parts + greatest(p, pmod(xxhash64(fp), parts)))")
-        rows = keyed.join(side, (F.col("choice") == F.col("c")) & (F.col("key") == F.col("k")), "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-        rows = rows.select("choice", "key", "fp", "near", F.explode(tiles).alias("tile"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush(last: bool) -> pa.RecordBatch | None:
-            choice, key, tile, fps, near = (np.concatenate(x) for x in zip(*held))
-            starts = np.flatnonzero(np.concatenate(([True], (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))))
-            keep = len(fps) if last else starts[-1]
-            held[:] = [] if last else [(choice[keep:], key[keep:], tile[keep:], fps[keep:], near[keep:])]
-            bounds = np.append(starts[starts < keep], keep)
-            if len(bounds) < 2:
-                return None
-            a, b = bucket_links(fps[:keep], near[:keep], bounds, distance)
-            if not a:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
-
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, PIVOTS)
-            held.append((*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)), batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64), near))
-            size += batch.num_rows
-            if size >= 1 << 17:
-                if (out := flush(False)) is not None:
-                    yield out
-                size = len(held[0][3])
-                size = 0 if size < 1 << 16 else size - (1 << 17)  # a bucket larger than that waits for twice as many rows
-        if held and (out := flush(True)) is not None:
-            yield out
-
-    rows = rows.select("choice", "key", "tile", "fp", "near")
+        for (_, _, _, fps, near), bounds in buckets(batches, 3):
+            yield from _edges(*bucket_links(fps.view(np.uint64), near, bounds, distance))
+
+    rows = tiled(keyed, ["choice", "key"], "fp", TILE).select("choice", "key", "tile", "fp", "near")
     return rows.repartition("choice", "key", "tile").sortWithinPartitions("choice", "key", "tile").mapInArrow(run, "a long, b long")
 
 
@@ -210,6 +260,189 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: str | None, words_in_shingle: int = SIMILAR_WORDS) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles, in order."""
+    return np.unique(shingle_hashes(text, words_in_shingle))
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """``WIDE`` words of 64 bits of a set of shingles; the words come from hashes of the shingles' hashes."""
+    mixed = np.empty((len(own), WIDE), np.uint64)
+    for n in range(WIDE):
+        x = own + np.uint64((n + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed[:, n] = x ^ (x >> np.uint64(31))
+    return majority(mixed) if len(own) else np.zeros(WIDE, np.uint64)
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets' Jaccard similarity is at least 4/5, in whole numbers."""
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def with_hashes(docs: DataFrame) -> DataFrame:
+    """``docs`` with a text hash of two longs, and a hash of the whole row."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text), "row_hash": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
+
+
+def _frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in more than one row of a sample, in order, and in how many."""
+    part = docs.where(F.expr(f"pmod(row_hash, {max(1, rows // SAMPLE_ROWS)}) = 0")).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], names=["s"])
+
+    found = part.mapInArrow(run, "s long").groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).toArrow()
+    values = found["s"].to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    return values[order], found["count"].to_numpy()[order]
+
+
+def _profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The hashes of each row, with its set: two digests and the shingles of the prefix."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    own = docs.select("doc_id", "t1", "t2", "row_hash", "text")
+    out = T.StructType([*own.drop("text").schema, *T._parse_datatype_string("set long, check long, prefix array<long>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            digests, parts = np.empty((2, batch.num_rows), np.uint64), []
+            for i, text in enumerate(batch.column(4)):
+                s = shingles(text.as_py())
+                n = len(s)
+                digests[:, i] = xxhash.xxh64_intdigest(s.tobytes()), xxhash.xxh64_intdigest(s.tobytes(), 1)
+                if n and len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
+                parts.append(s[: n - -(-4 * n // 5) + 1])
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, digests.view(np.int64)), prefix], names=out.names)
+
+    return own.mapInArrow(run, out)
+
+
+_WORDS = [f"f{i}" for i in range(WIDE)]
+
+
+def _whole_sets(sets: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
+    """set, n, the fingerprint's words and the shingles of each of ``sets``, from one row that has it."""
+    rows = own.join(sets.hint("merge"), "set", "left_semi").groupBy("set").agg(F.min(F.struct("t1", "t2", "row_hash")).alias("r")).select("set", "r.*")
+    texts = docs.select("t1", "t2", "row_hash", "text").join(rows.hint("merge"), ["t1", "t2", "row_hash"])
+
+    def start() -> Any:
+        def each(key: int, text: str | None) -> Iterator[tuple[Any, ...]]:
+            s = shingles(text)
+            yield (key, len(s), *wide_fingerprint(s).view(np.int64).tolist(), s.tobytes())
+
+        return each
+
+    return cut(map_rows(texts, ["set", "text"], start, f"set long, n int, {', '.join(f'{w} long' for w in _WORDS)}, shingles binary").dropDuplicates(["set"]))
+
+
+def _sides(pairs: DataFrame, whole: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with ``columns`` of both."""
+    for x in "ab":
+        side = whole.select(F.col("set").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+        pairs = pairs.join(side.hint("merge"), x)
+    return pairs
+
+
+def _within_reach(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and fingerprints allow a link."""
+    far = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS), F.lit(0))
+    return _sides(pairs, whole, ["n", *_WORDS]).where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").where(far <= REACH).select("a", "b")
+
+
+def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are linked."""
+
+    def start() -> Any:
+        def each(a: int, b: int, sa: bytes, sb: bytes) -> Iterator[tuple[int, int]]:
+            if linked(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)):
+                yield a, b
+
+        return each
+
+    return cut(map_rows(_sides(pairs, whole, ["shingles"]), ["a", "b", "shingles_a", "shingles_b"], start, "a long, b long"))
+
+
+def near_in_bucket(fps: np.ndarray, n: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with different roots whose sizes, and distances to reference fingerprints among them, allow a link."""
+    m = len(fps)
+    references = fps[np.unique(np.linspace(0, m - 1, min(m, REFERENCES)).astype(int))]
+    table = np.bitwise_count(fps[:, None, :] ^ references).sum(axis=2, dtype=np.int16)
+    lefts, rights = [], []
+    for start in range(0, m, 256):
+        i = np.arange(start, min(m, start + 256))
+        ok = (np.abs(table[i, :1] - table[:, 0]) <= REACH) & (root[i, None] != root) & (i[:, None] < np.arange(m))
+        a, b = np.nonzero(ok)
+        a += start
+        near = (np.abs(table[a, 1:] - table[b, 1:]) <= REACH).all(axis=1) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+        a, b = a[near], b[near]
+        near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= REACH
+        lefts.append(a[near])
+        rights.append(b[near])
+    return np.concatenate(lefts), np.concatenate(rights)
+
+
+def _apart(met: DataFrame, roots: DataFrame, whole: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets with a key in common and different roots that may be linked."""
+    rooted = met.select("key", "set").join(roots.hint("merge"), F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("root", "set").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rows = cut(rooted.join(split.hint("merge"), "key", "left_semi"))
+    rows = rows.join(whole.select("set", "n", *_WORDS).hint("merge"), "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, own, root, n, *words), bounds in buckets(batches, 2):
+            fps = np.stack(words, axis=1).view(np.uint64)
+            a, b = [], []
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if high - low > 1:
+                    i, j = near_in_bucket(fps[low:high], n[low:high], root[low:high])
+                    a.append(np.minimum(own[low + i], own[low + j]))
+                    b.append(np.maximum(own[low + i], own[low + j]))
+            yield from _edges(a, b)
+
+    rows = tiled(rows, ["key"], "set", SIMILAR_TILE).select("key", "tile", "set", "root", "n", *_WORDS)
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2, row_hash of each row of ``with_hashes``, and its group in ``group`` and ``part``."""
+    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    own = cut(_profiles(docs, _frequent(docs, docs.count())))
+    keyed = own.select("set", "prefix").dropDuplicates(["set"]).select("set", F.explode("prefix").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("set").alias("one"), F.max("set").alias("two")).where("one <> two")
+    met = cut(keyed.join(hubs.hint("merge"), "key"))
+    whole = _whole_sets(met.select("set").distinct(), own, docs)
+
+    ends = [met.where(f"set <> {hub}").select(F.least("set", hub).alias("a"), F.greatest("set", hub).alias("b")) for hub in ("one", "two")]
+    roots = cut(components(_verified(_within_reach(ends[0].union(ends[1]).distinct(), whole), whole)))
+    rest = _verified(_apart(met, roots, whole), whole)
+    named = whole.select("set").join(roots.hint("merge"), F.col("set") == F.col("node"), "left").select("set", F.coalesce("root", "set").alias("root"))
+    if not rest.isEmpty():
+        ends = rest
+        for x in "ab":
+            ends = ends.join(named.select(F.col("set").alias(x), F.col("root").alias(f"root_{x}")).hint("merge"), x)
+        again = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        again = again.select(F.col("node").alias("old"), F.col("root").alias("new"))
+        named = named.join(again.hint("merge"), F.col("root") == F.col("old"), "left").select("set", F.coalesce("new", "root").alias("root"))
+    # Rows of two different sets with one digest aren't copies: the second digest tells.
+    checks = own.groupBy("set").agg(F.min("check").alias("known"))
+    named = named.join(checks.hint("merge"), "set", "right").select("set", F.coalesce("root", "set").alias("root"), "known")
+    found = own.drop("prefix").join(named.hint("merge"), "set")
+    return found.select("doc_id", "t1", "t2", "row_hash", F.col("root").alias("group"), F.when(F.col("check") != F.col("known"), F.col("check")).otherwise(0).alias("part"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,7 +2,7 @@
 
 import random
 
-from ravelin.llm import copies
+from ravelin.llm import simhash
 
 
 def test_groups_of_near_copies_are_those_of_brute_force(spark, sf_dir):
@@ -17,7 +17,7 @@ def test_groups_of_near_copies_are_those_of_brute_force(spark, sf_dir):
             texts.append(" ".join("new" + str(rng.randrange(10**6)) if rng.random() < share else w for w in base))
     line = " ".join(f"l{i}" for i in range(30))  # many hold this line, and are no near copies for it
     texts += [line + " " + " ".join(str(rng.randrange(10**6)) for _ in range(40)) for _ in range(30)]
-    sets = [set(copies.shingles(t).tolist()) for t in texts]
+    sets = [set(simhash.shingles(t).tolist()) for t in texts]
     near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
     first = list(range(len(texts)))
     links = [(i, j) for j in range(len(texts)) for i in range(j) if near(sets[i], sets[j])]
