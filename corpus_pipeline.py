@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import bpe, copies, mixing, quality, toxicity
+from ravelin.llm import bpe, mixing, quality, simhash, toxicity
 from ravelin.llm.common import cut, fresh_name, map_rows, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,15 +32,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that links of similarity 4/5 or more of five-word shingles join: that of the least id.
 
-    A null id comes after all others; rows of one id are ordered by hashes of their text, then of the whole row."""
-    hashed = copies.with_hashes(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2", "row_hash")
-    firsts = cut(copies.near_copies(hashed).groupBy("group").agg(F.min(order).alias("first")).select("group", "first.*"))
-    same = hashed["doc_id"].eqNullSafe(firsts["doc_id"])
-    for c in ("t1", "t2", "row_hash"):
-        same = same & (hashed[c] == firsts[c])
-    joined = hashed.join(firsts, same).select(*[hashed[f"`{c}`"] for c in docs.columns], firsts["group"])
-    return joined.dropDuplicates(["group"]).drop("group")  # rows that are left of a group are equal
+    A null id comes after all others; rows of one id are ordered by hashes of their text, then of the whole row. Null texts
+    count as empty, and texts without words are one group."""
+    hashed = simhash.with_hashes(docs)
+    row = ["t1", "t2", "row_hash"]
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *row)
+    firsts = cut(simhash.similar_groups(hashed).groupBy("group", "part").agg(F.min(order).alias("first")).select(*[F.col(f"first.{c}").alias(f"first_{c}") for c in row]))
+    same = [hashed[c] == firsts[f"first_{c}"] for c in row]
+    joined = hashed.join(firsts.hint("merge"), same, "left_semi")
+    return joined.dropDuplicates(row).select(*[joined[f"`{c}`"] for c in docs.columns])  # of equal rows one
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
