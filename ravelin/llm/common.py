@@ -6,6 +6,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from itertools import count
 from typing import Any
 
 import pandas as pd
@@ -55,8 +57,10 @@ def map_chunks(
             rows = max(1, min(CHUNK_ROWS, batch.num_rows * CHUNK_BYTES // max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, rows):
                 gc.disable()  # a collection amid a chunk walks all that a worker remembers
-                made = list(each(*(c.to_pylist() for c in batch.slice(at, rows).columns)))
-                gc.enable()
+                try:
+                    made = list(each(*(c.to_pylist() for c in batch.slice(at, rows).columns)))
+                finally:
+                    gc.enable()
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), arrow.types)], schema=arrow)
 
@@ -76,8 +80,10 @@ def text_udf(spark: SparkSession, start: Callable[[], Callable[[list[str]], Iter
             texts = [t or "" for t in batch]
             rows = max(1, min(CHUNK_ROWS, len(texts) * CHUNK_BYTES // max(1, sum(map(len, texts)))))
             gc.disable()
-            found = [x for at in range(0, len(texts), rows) for x in each(texts[at : at + rows])]
-            gc.enable()
+            try:
+                found = [x for at in range(0, len(texts), rows) for x in each(texts[at : at + rows])]
+            finally:
+                gc.enable()
             yield pd.Series(found, dtype="float64")
 
     return F.pandas_udf(run, "double")
@@ -99,10 +105,12 @@ def map_rows(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one where it is unset in local mode."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="ravelin-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -116,6 +124,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that writes a table to the shared folder, compressed, and reads it again: as ``cut``, for large ones.
+    The tables are deleted at the end, so what is to outlive them must be computed before."""
+    folder = f"{shared_folder(spark)}/{fresh_name('scratch')}"
+    numbers = count()
+
+    def stored(df: DataFrame) -> DataFrame:
+        ship(spark)
+        path = f"{folder}/{next(numbers)}"
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield stored
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # type: ignore[union-attr]
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex}"
 

@@ -24,9 +24,10 @@ by more than ``REACH`` are discarded, then pairs that are farther than that them
 survivors. A linked pair's bits differ with a probability of 0.19 at most, so that ``REACH`` loses one is less likely than
 10^-6 for sets of five shingles and than 10^-11 for larger ones. The order puts shingles that a sample of the rows holds
 often last, so what many texts repeat is hardly ever a key; the order, and so the sample, bears on the work only.
-Groups need what connects them, not all links: each set is first held against the least and the greatest set of each of
-its keys, and only sets that this leaves apart are compared in pairs, so a dense group of copies takes about two
-comparisons a key.
+Groups need what connects them, not all links: each set is first held against the least set of each of its keys and the one
+before it, the nearest of these first, and only sets that this leaves apart are compared in pairs, so a dense group of
+copies takes about two comparisons a key. Keys that the sample holds often are salted, and their salts' least sets held
+against each other.
 
 Its defined cases: equal sets are one before any of this; fewer words than a shingle make one shingle; texts without words
 are one group; rows may repeat and ids be null, as each row is known by its hashes.
@@ -45,20 +46,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import cut, map_rows, small_batches, table
+from ravelin.llm.common import cut, map_rows, scratch, small_batches, table
 from ravelin.llm.components import components
-from ravelin.session import ship
 
 SHINGLE_WORDS, SEED, DISTANCE = 4, 42, 4
 PIVOTS, PIVOT_SEED = 32, 7
 SMALL, TILE = 8, 65_536
 #: Keys of large buckets are broadcast up to this many, and joined beyond.
-MOST_BROADCAST = 100_000
+MOST_BROADCAST = 200_000
 #: Of links by similarity: words in a shingle, words of 64 bits in a fingerprint, and the distance that links stay within.
 SIMILAR_WORDS, WIDE, REACH = 5, 4, 80
-REFERENCES, SIMILAR_TILE = 16, 8192
+REFERENCES, SIMILAR_TILE, SALTS = 16, 8192, 64
 #: Rows of the sample that tells frequent shingles, and how many of these are put last at most.
-SAMPLE_ROWS, MOST_FREQUENT = 4000, 50_000
+SAMPLE_ROWS, MOST_FREQUENT = 2000, 50_000
 
 
 def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
@@ -303,75 +303,122 @@ def _frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The hashes of each row, with its set: two digests and the shingles of the prefix."""
+    """The hashes of each row, with its set: two digests, the shingles of the prefix, and how many of these aren't frequent."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
     own = docs.select("doc_id", "t1", "t2", "row_hash", "text")
-    out = T.StructType([*own.drop("text").schema, *T._parse_datatype_string("set long, check long, prefix array<long>")])
+    out = T.StructType([*own.drop("text").schema, *T._parse_datatype_string("set long, check long, rare int, prefix array<long>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            digests, parts = np.empty((2, batch.num_rows), np.uint64), []
+            digests, rare, parts = np.empty((2, batch.num_rows), np.uint64), [], []
             for i, text in enumerate(batch.column(4)):
                 s = shingles(text.as_py())
                 n = len(s)
                 digests[:, i] = xxhash.xxh64_intdigest(s.tobytes()), xxhash.xxh64_intdigest(s.tobytes(), 1)
+                length = n - -(-4 * n // 5) + 1
+                rare.append(length)
                 if n and len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
-                parts.append(s[: n - -(-4 * n // 5) + 1])
+                    often = np.where(known[at] == s, counts[at], 0)
+                    s = s[np.argsort(often, kind="stable")]
+                    rare[-1] = min(length, int((often == 0).sum()))
+                parts.append(s[:length])
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, digests.view(np.int64)), prefix], names=out.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, digests.view(np.int64)), pa.array(rare, pa.int32()), prefix], names=out.names)
 
     return own.mapInArrow(run, out)
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, salt, set), sorted: each set that shares its key and salt, with the first such set and the one before.
+    Sets with a salt are all given. Nothing but the last row is kept between batches."""
+    last = None  # key, salt, set, the first set of its bucket, whether it is out
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, salt, own = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if last is not None:
+            key, salt, own = (np.concatenate(([x], c)) for x, c in zip(last, (key, salt, own)))
+        begins = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
+        starts = np.flatnonzero(begins)
+        first = own[starts].copy()
+        if last is not None:
+            first[0] = last[3]
+        one = first[np.cumsum(begins) - 1]
+        prev = np.where(begins, own, np.concatenate((own[:1], own[:-1])))
+        out = ~begins | (salt >= 0)
+        out[:-1] |= ~begins[1:] & begins[:-1]  # a bucket's first row, now that there is a second
+        if last is not None:
+            out[0] = not last[4] and out[0]
+        gone = bool(out[-1] or (len(key) == 1 and last is not None and last[4]))
+        last = (key[-1], salt[-1], own[-1], one[-1], gone)
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (key, salt >= 0, own, one, prev)], names=["key", "hot", "set", "one", "prev"])
+
+
 _WORDS = [f"f{i}" for i in range(WIDE)]
 
 
 def _whole_sets(sets: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
-    """set, n, the fingerprint's words and the shingles of each of ``sets``, from one row that has it."""
+    """set, n, the fingerprint's words and a text of each of ``sets``."""
     rows = own.join(sets.hint("merge"), "set", "left_semi").groupBy("set").agg(F.min(F.struct("t1", "t2", "row_hash")).alias("r")).select("set", "r.*")
-    texts = docs.select("t1", "t2", "row_hash", "text").join(rows.hint("merge"), ["t1", "t2", "row_hash"])
+    rows = cut(rows)
+    side = F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows.hint("merge")
+    texts = docs.select("t1", "t2", "row_hash", "text").join(side, ["t1", "t2", "row_hash"])
 
     def start() -> Any:
         def each(key: int, text: str | None) -> Iterator[tuple[Any, ...]]:
             s = shingles(text)
-            yield (key, len(s), *wide_fingerprint(s).view(np.int64).tolist(), s.tobytes())
+            yield (key, len(s), *wide_fingerprint(s).view(np.int64).tolist(), text)
 
         return each
 
-    return cut(map_rows(texts, ["set", "text"], start, f"set long, n int, {', '.join(f'{w} long' for w in _WORDS)}, shingles binary").dropDuplicates(["set"]))
+    # Equal rows give a set more than once.
+    return map_rows(texts, ["set", "text"], start, f"set long, n int, {', '.join(f'{w} long' for w in _WORDS)}, text string").dropDuplicates(["set"])
 
 
 def _sides(pairs: DataFrame, whole: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs (a, b) with ``columns`` of both."""
-    for x in "ab":
+    for x in "ba":
         side = whole.select(F.col("set").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
         pairs = pairs.join(side.hint("merge"), x)
     return pairs
 
 
 def _within_reach(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sizes and fingerprints allow a link."""
+    """Those of the pairs (a, b) whose sizes and fingerprints allow a link, and how far apart they are."""
     far = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS), F.lit(0))
-    return _sides(pairs, whole, ["n", *_WORDS]).where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").where(far <= REACH).select("a", "b")
+    near = _sides(pairs, whole, ["n", *_WORDS]).where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").withColumn("far", far)
+    return near.where(F.col("far") <= REACH).select("a", "b", "far")
 
 
 def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of sets that are linked."""
+    pairs = cut(pairs)
+    n = pairs.count()
+    if not n:
+        return pairs
+    texts = whole.select("set", "text")
+    if n <= MOST_BROADCAST:
+        texts = texts.join(F.broadcast(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()), "set", "left_semi")
 
     def start() -> Any:
-        def each(a: int, b: int, sa: bytes, sb: bytes) -> Iterator[tuple[int, int]]:
-            if linked(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)):
+        latest: dict[int, np.ndarray] = {}  # rows come in the order of a
+
+        def each(a: int, b: int, text_a: str | None, text_b: str | None) -> Iterator[tuple[int, int]]:
+            if a not in latest:
+                latest.clear()
+                latest[a] = shingles(text_a)
+            if linked(latest[a], shingles(text_b)):
                 yield a, b
 
         return each
 
-    return cut(map_rows(_sides(pairs, whole, ["shingles"]), ["a", "b", "shingles_a", "shingles_b"], start, "a long, b long"))
+    return cut(map_rows(_sides(pairs, texts, ["text"]), ["a", "b", "text_a", "text_b"], start, "a long, b long"))
 
 
 def near_in_bucket(fps: np.ndarray, n: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,9 +440,9 @@ def near_in_bucket(fps: np.ndarray, n: np.ndarray, root: np.ndarray) -> tuple[np
     return np.concatenate(lefts), np.concatenate(rights)
 
 
-def _apart(met: DataFrame, roots: DataFrame, whole: DataFrame) -> DataFrame:
+def _apart(met: DataFrame, named: DataFrame, whole: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets with a key in common and different roots that may be linked."""
-    rooted = met.select("key", "set").join(roots.hint("merge"), F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("root", "set").alias("root"))
+    rooted = met.select("key", "set").join(named.hint("merge"), "set")
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     rows = cut(rooted.join(split.hint("merge"), "key", "left_semi"))
     rows = rows.join(whole.select("set", "n", *_WORDS).hint("merge"), "set")
@@ -415,32 +462,50 @@ def _apart(met: DataFrame, roots: DataFrame, whole: DataFrame) -> DataFrame:
     return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "a long, b long").distinct()
 
 
+def _rooted(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the roots of both, where these differ."""
+    for x in "ab":
+        pairs = pairs.join(named.select(F.col("set").alias(x), F.col("root").alias(f"root_{x}")).hint("merge"), x)
+    return pairs.where("root_a <> root_b")
+
+
+def _joined(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """``named`` (set, root) after links (a, b) between sets."""
+    if edges.isEmpty():
+        return named
+    again = components(_rooted(edges, named).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    again = again.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    return cut(named.join(again.hint("merge"), F.col("root") == F.col("old"), "left").select("set", F.coalesce("new", "root").alias("root")))
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id, t1, t2, row_hash of each row of ``with_hashes``, and its group in ``group`` and ``part``."""
-    ship(docs.sparkSession)
-    small_batches(docs.sparkSession)
-    own = cut(_profiles(docs, _frequent(docs, docs.count())))
-    keyed = own.select("set", "prefix").dropDuplicates(["set"]).select("set", F.explode("prefix").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("set").alias("one"), F.max("set").alias("two")).where("one <> two")
-    met = cut(keyed.join(hubs.hint("merge"), "key"))
-    whole = _whole_sets(met.select("set").distinct(), own, docs)
-
-    ends = [met.where(f"set <> {hub}").select(F.least("set", hub).alias("a"), F.greatest("set", hub).alias("b")) for hub in ("one", "two")]
-    roots = cut(components(_verified(_within_reach(ends[0].union(ends[1]).distinct(), whole), whole)))
-    rest = _verified(_apart(met, roots, whole), whole)
-    named = whole.select("set").join(roots.hint("merge"), F.col("set") == F.col("node"), "left").select("set", F.coalesce("root", "set").alias("root"))
-    if not rest.isEmpty():
-        ends = rest
-        for x in "ab":
-            ends = ends.join(named.select(F.col("set").alias(x), F.col("root").alias(f"root_{x}")).hint("merge"), x)
-        again = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        again = again.select(F.col("node").alias("old"), F.col("root").alias("new"))
-        named = named.join(again.hint("merge"), F.col("root") == F.col("old"), "left").select("set", F.coalesce("new", "root").alias("root"))
-    # Rows of two different sets with one digest aren't copies: the second digest tells.
-    checks = own.groupBy("set").agg(F.min("check").alias("known"))
-    named = named.join(checks.hint("merge"), "set", "right").select("set", F.coalesce("root", "set").alias("root"), "known")
-    found = own.drop("prefix").join(named.hint("merge"), "set")
-    return found.select("doc_id", "t1", "t2", "row_hash", F.col("root").alias("group"), F.when(F.col("check") != F.col("known"), F.col("check")).otherwise(0).alias("part"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    with scratch(spark) as stored:
+        own = stored(_profiles(docs, _frequent(docs, docs.count())))
+        once = own.select("set", "rare", "prefix").dropDuplicates(["set"])
+        keyed = once.select("set", "rare", F.posexplode("prefix").alias("at", "key"))
+        salt = F.when(F.col("at") < F.col("rare"), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("set"), F.lit(SALTS)))
+        dealt = keyed.select("key", salt.alias("salt"), "set").repartition("key", "salt").sortWithinPartitions("key", "salt", "set")
+        met = stored(dealt.mapInArrow(_met, "key long, hot boolean, set long, one long, prev long"))
+        whole = stored(_whole_sets(met.select("set").distinct(), own, docs))
+
+        pair = lambda df, x, y: df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        salts = met.where("hot").select("key", "one").distinct()
+        least = salts.groupBy("key").agg(F.min("one").alias("least"))
+        stars = pair(met, "set", "one").union(pair(met, "set", "prev")).union(pair(salts.join(least.hint("merge"), "key"), "one", "least")).distinct()
+        near = cut(_within_reach(stars, whole))
+        nearest = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("m.a", "b")
+        named = whole.select("set", F.col("set").alias("root"))
+        named = _joined(named, _verified(nearest, whole))
+        named = _joined(named, _verified(_rooted(near.join(nearest.hint("merge"), ["a", "b"], "left_anti"), named).select("a", "b"), whole))
+        named = _joined(named, _verified(_apart(met, named, whole), whole))
+        # Rows of two different sets with one digest aren't copies: the second digest tells.
+        checks = own.groupBy("set").agg(F.min("check").alias("known"))
+        named = named.join(checks.hint("merge"), "set", "right").select("set", F.coalesce("root", "set").alias("root"), "known")
+        found = own.drop("rare", "prefix").join(named.hint("merge"), "set")
+        return cut(found.select("doc_id", "t1", "t2", "row_hash", F.col("root").alias("group"), F.when(F.col("check") != F.col("known"), F.col("check")).otherwise(0).alias("part")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
