@@ -118,10 +118,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder; survives lost executors, and its plan starts anew."""
-    ship(df.sparkSession)
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and written to the shared folder; survives lost executors, and its plan starts anew.
+
+    A checkpoint keeps what its plan told of its columns, which doubles with each join of columns that are equal; so
+    nothing is told while it is made."""
+    spark = df.sparkSession
+    ship(spark)
+    shared_folder(spark)
+    name = "spark.sql.constraintPropagation.enabled"
+    told = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, told)
 
 
 @contextmanager

@@ -25,7 +25,7 @@ survivors. A linked pair's bits differ with a probability of 0.19 at most, so th
 10^-6 for sets of five shingles and than 10^-11 for larger ones. The order puts shingles that a sample of the rows holds
 often last, so what many texts repeat is hardly ever a key; the order, and so the sample, bears on the work only.
 Groups need what connects them, not all links: each set is first held against the least set of each of its keys and the one
-before it, the nearest of these first, and only sets that this leaves apart are compared in pairs, so a dense group of
+before it, the least of those within reach first, and only sets that this leaves apart are compared in pairs, so a dense group of
 copies takes about two comparisons a key. Keys that the sample holds often are salted, and their salts' least sets held
 against each other.
 
@@ -48,6 +48,7 @@ from pyspark.sql import types as T
 
 from ravelin.llm.common import cut, map_rows, scratch, small_batches, table
 from ravelin.llm.components import components
+from ravelin.session import ship
 
 SHINGLE_WORDS, SEED, DISTANCE = 4, 42, 4
 PIVOTS, PIVOT_SEED = 32, 7
@@ -481,6 +482,7 @@ def _joined(named: DataFrame, edges: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id, t1, t2, row_hash of each row of ``with_hashes``, and its group in ``group`` and ``part``."""
     spark = docs.sparkSession
+    ship(spark)
     small_batches(spark)
     with scratch(spark) as stored:
         own = stored(_profiles(docs, _frequent(docs, docs.count())))
@@ -496,7 +498,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         least = salts.groupBy("key").agg(F.min("one").alias("least"))
         stars = pair(met, "set", "one").union(pair(met, "set", "prev")).union(pair(salts.join(least.hint("merge"), "key"), "one", "least")).distinct()
         near = cut(_within_reach(stars, whole))
-        nearest = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("m.a", "b")
+        nearest = cut(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         named = whole.select("set", F.col("set").alias("root"))
         named = _joined(named, _verified(nearest, whole))
         named = _joined(named, _verified(_rooted(near.join(nearest.hint("merge"), ["a", "b"], "left_anti"), named).select("a", "b"), whole))
