@@ -19,15 +19,13 @@ table gives an empty one; other columns may have any name.
 ``similar_groups`` is the same operator for links that are too wide for keys of bits: texts whose sets of five-word shingles
 have a Jaccard similarity of at least 4/5, about 39 of 256 bits. There, who meets is settled by rare shingles: in any one
 order of all shingles, two linked sets share one of the first ``n - ceil(4n / 5) + 1`` shingles of each. Fingerprints of
-256 bits of those that meet are held against reference fingerprints of their bucket, pairs whose distances to one differ
-by more than ``REACH`` are discarded, then pairs that are farther than that themselves, and whole sets decide on the
-survivors. A linked pair's bits differ with a probability of 0.19 at most, so that ``REACH`` loses one is less likely than
-10^-6 for sets of five shingles and than 10^-11 for larger ones. The order puts shingles that a sample of the rows holds
-often last, so what many texts repeat is hardly ever a key; the order, and so the sample, bears on the work only.
-Groups need what connects them, not all links: each set is first held against the least set of each of its keys and the one
-before it, the least of those within reach first, and only sets that this leaves apart are compared in pairs, so a dense group of
-copies takes about two comparisons a key. Keys that the sample holds often are salted, and their salts' least sets held
-against each other.
+256 bits of those that meet are held against reference fingerprints of their bucket, those whose distance to one differs
+by more than ``REACH`` are discarded, and what is then within ``REACH`` itself is near. Groups of near sets are small, and
+in each of them whole sets decide. Both steps take a set out when it is first reached, so groups of copies, dense ones or
+a text with thousands of variants, cost about a comparison a member, and forests of links are all that is given out. A
+linked pair's bits differ with a probability of 0.19 at most, so that ``REACH`` loses one is less likely than 10^-6 for
+sets of five shingles and than 10^-11 for larger ones. The order puts shingles that a sample of the rows holds often last,
+so what many texts repeat is hardly ever a key; the order, and so the sample, bears on the work only.
 
 Its defined cases: equal sets are one before any of this; fewer words than a shingle make one shingle; texts without words
 are one group; rows may repeat and ids be null, as each row is known by its hashes.
@@ -57,7 +55,7 @@ SMALL, TILE = 8, 65_536
 MOST_BROADCAST = 200_000
 #: Of links by similarity: words in a shingle, words of 64 bits in a fingerprint, and the distance that links stay within.
 SIMILAR_WORDS, WIDE, REACH = 5, 4, 80
-REFERENCES, SIMILAR_TILE, SALTS = 16, 8192, 64
+REFERENCES, SIMILAR_TILE, MOST_SHINGLES = 16, 8192, 1 << 21
 #: Rows of the sample that tells frequent shingles, and how many of these are put last at most.
 SAMPLE_ROWS, MOST_FREQUENT = 2000, 50_000
 
@@ -181,10 +179,10 @@ def bucket_links(fps: np.ndarray, near: np.ndarray, bounds: np.ndarray, distance
     return a, b
 
 
-def tiled(rows: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
-    """``rows`` with a column ``tile``. A bucket of more than ``most`` rows is split by a hash of ``by`` into parts, and each
-    row is in a tile for each part that its own meets, so every two rows of a bucket meet in a tile and no tile is large."""
-    counts = rows.groupBy(*keys).count()
+def tiled(rows: DataFrame, keys: list[str], by: str, most: int, weight: str = "1") -> DataFrame:
+    """``rows`` with a column ``tile``. A bucket that weighs more than ``most`` is split by a hash of ``by`` into parts, and
+    each row is in a tile for each part that its own meets, so every two rows of a bucket meet in a tile and no tile is large."""
+    counts = rows.groupBy(*keys).agg(F.sum(F.expr(weight)).alias("count"))
     large = cut(counts.where(F.col("count") > most).select(*[F.col(k).alias(f"of_{k}") for k in keys], F.expr(f"(count + {most - 1}) div {most}").alias("parts")))
     if large.isEmpty():
         return rows.withColumn("tile", F.lit(0).cast("long"))
@@ -194,11 +192,11 @@ def tiled(rows: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
     return found.select(*rows.columns, F.explode(tiles).alias("tile"))
 
 
-def buckets(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+def buckets(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 17) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """The columns of whole buckets, and where each begins, and the end. Rows come sorted by the first ``keys`` columns; a
-    binary column of a fixed length gives a row of bytes each. Some 10^5 rows are held at a time, or the largest bucket."""
+    binary column of a fixed length gives a row of bytes each. ``rows`` are held at a time, or the largest bucket."""
     held: list[list[np.ndarray]] = []
-    size, wait = 0, 1 << 17
+    size, wait = 0, rows
 
     def ready(last: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         nonlocal size, wait
@@ -208,7 +206,7 @@ def buckets(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list
         keep = len(whole[0]) if last else int(starts[-1])
         held[:] = [] if last else [[c[keep:] for c in whole]]
         size = len(whole[0]) - keep
-        wait = max(1 << 17, 2 * size)  # a bucket larger than that waits for twice as many rows
+        wait = max(rows, 2 * size)  # a bucket larger than that waits for twice as many rows
         if keep:
             yield [c[:keep] for c in whole], np.append(starts[starts < keep], keep)
 
@@ -217,7 +215,7 @@ def buckets(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list
             continue
         columns = []
         for c in batch.columns:
-            if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
+            if pa.types.is_binary(c.type):
                 columns.append(np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1))
             else:
                 columns.append(c.to_numpy(zero_copy_only=False))
@@ -277,11 +275,6 @@ def wide_fingerprint(own: np.ndarray) -> np.ndarray:
     return majority(mixed) if len(own) else np.zeros(WIDE, np.uint64)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets' Jaccard similarity is at least 4/5, in whole numbers."""
-    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
-
-
 def with_hashes(docs: DataFrame) -> DataFrame:
     """``docs`` with a text hash of two longs, and a hash of the whole row."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -303,180 +296,117 @@ def _frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return values[order], found["count"].to_numpy()[order]
 
 
+_WORDS = [f"f{i}" for i in range(WIDE)]
+
+
 def _profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The hashes of each row, with its set: two digests, the shingles of the prefix, and how many of these aren't frequent."""
+    """The hashes of each row, with its set: two digests, its size, the fingerprint's words and the shingles of the prefix."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
     own = docs.select("doc_id", "t1", "t2", "row_hash", "text")
-    out = T.StructType([*own.drop("text").schema, *T._parse_datatype_string("set long, check long, rare int, prefix array<long>")])
+    kind = f"set long, check long, n int, {', '.join(f'{w} long' for w in _WORDS)}, prefix array<long>"
+    out = T.StructType([*own.drop("text").schema, *T._parse_datatype_string(kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            digests, rare, parts = np.empty((2, batch.num_rows), np.uint64), [], []
+            made, sizes, parts = np.empty((2 + WIDE, batch.num_rows), np.uint64), [], []
             for i, text in enumerate(batch.column(4)):
                 s = shingles(text.as_py())
                 n = len(s)
-                digests[:, i] = xxhash.xxh64_intdigest(s.tobytes()), xxhash.xxh64_intdigest(s.tobytes(), 1)
-                length = n - -(-4 * n // 5) + 1
-                rare.append(length)
+                made[:2, i] = xxhash.xxh64_intdigest(s.tobytes()), xxhash.xxh64_intdigest(s.tobytes(), 1)
+                made[2:, i] = wide_fingerprint(s)
+                sizes.append(n)
                 if n and len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = np.where(known[at] == s, counts[at], 0)
-                    s = s[np.argsort(often, kind="stable")]
-                    rare[-1] = min(length, int((often == 0).sum()))
-                parts.append(s[:length])
+                    s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
+                parts.append(s[: n - -(-4 * n // 5) + 1])
+            longs = [pa.array(x) for x in made.view(np.int64)]
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, digests.view(np.int64)), pa.array(rare, pa.int32()), prefix], names=out.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *longs[:2], pa.array(sizes, pa.int32()), *longs[2:], prefix], names=out.names)
 
     return own.mapInArrow(run, out)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, salt, set), sorted: each set that shares its key and salt, with the first such set and the one before.
-    Sets with a salt are all given. Nothing but the last row is kept between batches."""
-    last = None  # key, salt, set, the first set of its bucket, whether it is out
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, salt, own = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if last is not None:
-            key, salt, own = (np.concatenate(([x], c)) for x, c in zip(last, (key, salt, own)))
-        begins = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
-        starts = np.flatnonzero(begins)
-        first = own[starts].copy()
-        if last is not None:
-            first[0] = last[3]
-        one = first[np.cumsum(begins) - 1]
-        prev = np.where(begins, own, np.concatenate((own[:1], own[:-1])))
-        out = ~begins | (salt >= 0)
-        out[:-1] |= ~begins[1:] & begins[:-1]  # a bucket's first row, now that there is a second
-        if last is not None:
-            out[0] = not last[4] and out[0]
-        gone = bool(out[-1] or (len(key) == 1 and last is not None and last[4]))
-        last = (key[-1], salt[-1], own[-1], one[-1], gone)
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (key, salt >= 0, own, one, prev)], names=["key", "hot", "set", "one", "prev"])
-
-
-_WORDS = [f"f{i}" for i in range(WIDE)]
-
-
-def _whole_sets(sets: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
-    """set, n, the fingerprint's words and a text of each of ``sets``."""
-    rows = own.join(sets.hint("merge"), "set", "left_semi").groupBy("set").agg(F.min(F.struct("t1", "t2", "row_hash")).alias("r")).select("set", "r.*")
-    rows = cut(rows)
-    side = F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows.hint("merge")
-    texts = docs.select("t1", "t2", "row_hash", "text").join(side, ["t1", "t2", "row_hash"])
-
-    def start() -> Any:
-        def each(key: int, text: str | None) -> Iterator[tuple[Any, ...]]:
-            s = shingles(text)
-            yield (key, len(s), *wide_fingerprint(s).view(np.int64).tolist(), text)
-
-        return each
-
-    # Equal rows give a set more than once.
-    return map_rows(texts, ["set", "text"], start, f"set long, n int, {', '.join(f'{w} long' for w in _WORDS)}, text string").dropDuplicates(["set"])
-
-
-def _sides(pairs: DataFrame, whole: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs (a, b) with ``columns`` of both."""
-    for x in "ba":
-        side = whole.select(F.col("set").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
-        pairs = pairs.join(side.hint("merge"), x)
-    return pairs
-
-
-def _within_reach(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sizes and fingerprints allow a link, and how far apart they are."""
-    far = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS), F.lit(0))
-    near = _sides(pairs, whole, ["n", *_WORDS]).where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").withColumn("far", far)
-    return near.where(F.col("far") <= REACH).select("a", "b", "far")
-
-
-def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are linked."""
-    pairs = cut(pairs)
-    n = pairs.count()
-    if not n:
-        return pairs
-    texts = whole.select("set", "text")
-    if n <= MOST_BROADCAST:
-        texts = texts.join(F.broadcast(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()), "set", "left_semi")
-
-    def start() -> Any:
-        latest: dict[int, np.ndarray] = {}  # rows come in the order of a
-
-        def each(a: int, b: int, text_a: str | None, text_b: str | None) -> Iterator[tuple[int, int]]:
-            if a not in latest:
-                latest.clear()
-                latest[a] = shingles(text_a)
-            if linked(latest[a], shingles(text_b)):
-                yield a, b
-
-        return each
-
-    return cut(map_rows(_sides(pairs, texts, ["text"]), ["a", "b", "text_a", "text_b"], start, "a long, b long"))
-
-
-def near_in_bucket(fps: np.ndarray, n: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with different roots whose sizes, and distances to reference fingerprints among them, allow a link."""
+def near_forest(fps: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one bucket that connect just what is connected by fingerprints within ``REACH`` and sizes of 4 to 5."""
     m = len(fps)
-    references = fps[np.unique(np.linspace(0, m - 1, min(m, REFERENCES)).astype(int))]
+    references = fps[np.unique(np.linspace(0, m - 1, min(m, REFERENCES)).astype(int))] if m > SMALL else fps[:1]
     table = np.bitwise_count(fps[:, None, :] ^ references).sum(axis=2, dtype=np.int16)
-    lefts, rights = [], []
-    for start in range(0, m, 256):
-        i = np.arange(start, min(m, start + 256))
-        ok = (np.abs(table[i, :1] - table[:, 0]) <= REACH) & (root[i, None] != root) & (i[:, None] < np.arange(m))
-        a, b = np.nonzero(ok)
-        a += start
-        near = (np.abs(table[a, 1:] - table[b, 1:]) <= REACH).all(axis=1) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
-        a, b = a[near], b[near]
-        near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= REACH
-        lefts.append(a[near])
-        rights.append(b[near])
-    return np.concatenate(lefts), np.concatenate(rights)
-
-
-def _apart(met: DataFrame, named: DataFrame, whole: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets with a key in common and different roots that may be linked."""
-    rooted = met.select("key", "set").join(named.hint("merge"), "set")
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rows = cut(rooted.join(split.hint("merge"), "key", "left_semi"))
-    rows = rows.join(whole.select("set", "n", *_WORDS).hint("merge"), "set")
+    a, b, left = [], [], np.arange(m)
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            hit = np.flatnonzero((np.abs(table[left] - table[i]) <= REACH).all(axis=1) & (5 * np.minimum(n[left], n[i]) >= 4 * np.maximum(n[left], n[i])))
+            hit = hit[np.bitwise_count(fps[left[hit]] ^ fps[i]).sum(axis=1, dtype=np.int64) <= REACH]
+            if len(hit):
+                a.append(np.full(len(hit), i))
+                b.append(left[hit])
+                queue.extend(left[hit].tolist())
+                left = np.delete(left, hit)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+
+
+def linked_forest(sets: list[np.ndarray], fps: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs of rows that connect just what links connect; whole sets decide."""
+    n = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(n)[:-1])
+    mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    a, b, left = [], [], np.arange(len(sets))
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = np.flatnonzero((5 * np.minimum(n[left], n[i]) >= 4 * np.maximum(n[left], n[i])) & (np.bitwise_count(fps[left] ^ fps[i]).sum(axis=1, dtype=np.int64) <= REACH))
+            mark[own[i]] = True
+            hit = [k for k in near.tolist() if 9 * np.count_nonzero(mark[own[left[k]]]) >= 4 * (n[i] + n[left[k]])]
+            mark[own[i]] = False
+            if hit:
+                reached = left[hit].tolist()
+                a += [i] * len(hit)
+                b += reached
+                queue += reached
+                left = np.delete(left, hit)
+    return a, b
+
+
+def _near(keyed: DataFrame) -> DataFrame:
+    """Edges (a, b) of near sets, from a row (key, set, n and the fingerprint's words) for each key of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, own, root, n, *words), bounds in buckets(batches, 2):
+        for (_, _, own, n, *words), bounds in buckets(batches, 2):
             fps = np.stack(words, axis=1).view(np.uint64)
             a, b = [], []
-            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if high - low > 1:
-                    i, j = near_in_bucket(fps[low:high], n[low:high], root[low:high])
-                    a.append(np.minimum(own[low + i], own[low + j]))
-                    b.append(np.maximum(own[low + i], own[low + j]))
+            for at in np.flatnonzero(np.diff(bounds) > 1):
+                low, high = bounds[at], bounds[at + 1]
+                i, j = near_forest(fps[low:high], n[low:high])
+                a.append(np.minimum(own[low + i], own[low + j]))
+                b.append(np.maximum(own[low + i], own[low + j]))
             yield from _edges(a, b)
 
-    rows = tiled(rows, ["key"], "set", SIMILAR_TILE).select("key", "tile", "set", "root", "n", *_WORDS)
+    rows = tiled(keyed, ["key"], "set", SIMILAR_TILE).select("key", "tile", "set", "n", *_WORDS)
     return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "a long, b long").distinct()
 
 
-def _rooted(pairs: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the roots of both, where these differ."""
-    for x in "ab":
-        pairs = pairs.join(named.select(F.col("set").alias(x), F.col("root").alias(f"root_{x}")).hint("merge"), x)
-    return pairs.where("root_a <> root_b")
+def _linked(texts: DataFrame) -> DataFrame:
+    """Edges (a, b) of linked sets within groups, from (root, set, n, the fingerprint's words, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, own, _, *words, texts), bounds in buckets(batches, 2, 1 << 12):
+            fps = np.stack(words, axis=1).view(np.uint64)
+            a, b = [], []
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                i, j = linked_forest([shingles(t) for t in texts[low:high]], fps[low:high])
+                a.append(own[low:high][i])
+                b.append(own[low:high][j])
+            yield from _edges(a, b)
 
-def _joined(named: DataFrame, edges: DataFrame) -> DataFrame:
-    """``named`` (set, root) after links (a, b) between sets."""
-    if edges.isEmpty():
-        return named
-    again = components(_rooted(edges, named).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    again = again.select(F.col("node").alias("old"), F.col("root").alias("new"))
-    return cut(named.join(again.hint("merge"), F.col("root") == F.col("old"), "left").select("set", F.coalesce("new", "root").alias("root")))
+    rows = tiled(texts, ["root"], "set", MOST_SHINGLES, "n + 500L").select("root", "tile", "set", "n", *_WORDS, "text")
+    return rows.repartition("root", "tile").sortWithinPartitions("root", "tile").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -486,27 +416,20 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     with scratch(spark) as stored:
         own = stored(_profiles(docs, _frequent(docs, docs.count())))
-        once = own.select("set", "rare", "prefix").dropDuplicates(["set"])
-        keyed = once.select("set", "rare", F.posexplode("prefix").alias("at", "key"))
-        salt = F.when(F.col("at") < F.col("rare"), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("set"), F.lit(SALTS)))
-        dealt = keyed.select("key", salt.alias("salt"), "set").repartition("key", "salt").sortWithinPartitions("key", "salt", "set")
-        met = stored(dealt.mapInArrow(_met, "key long, hot boolean, set long, one long, prev long"))
-        whole = stored(_whole_sets(met.select("set").distinct(), own, docs))
-
-        pair = lambda df, x, y: df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        salts = met.where("hot").select("key", "one").distinct()
-        least = salts.groupBy("key").agg(F.min("one").alias("least"))
-        stars = pair(met, "set", "one").union(pair(met, "set", "prev")).union(pair(salts.join(least.hint("merge"), "key"), "one", "least")).distinct()
-        near = cut(_within_reach(stars, whole))
-        nearest = cut(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        named = whole.select("set", F.col("set").alias("root"))
-        named = _joined(named, _verified(nearest, whole))
-        named = _joined(named, _verified(_rooted(near.join(nearest.hint("merge"), ["a", "b"], "left_anti"), named).select("a", "b"), whole))
-        named = _joined(named, _verified(_apart(met, named, whole), whole))
+        once = own.select("set", "n", *_WORDS, "prefix").dropDuplicates(["set"])
+        keyed = once.select("set", F.explode("prefix").alias("key"))
+        shared = keyed.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("key")
+        met = stored(keyed.join(shared.hint("merge"), "key"))
+        profiles = own.select("set", "n", *_WORDS, "t1", "t2", "row_hash").groupBy("set").agg(F.min(F.struct("t1", "t2", "row_hash", "n", *_WORDS)).alias("r")).select("set", "r.*")
+        near = components(_near(met.join(profiles.select("set", "n", *_WORDS).hint("merge"), "set")))
+        near = cut(near.join(profiles.hint("merge"), F.col("node") == F.col("set")).drop("node"))
+        side = F.broadcast(near) if near.count() <= MOST_BROADCAST else near.hint("merge")
+        texts = docs.select("t1", "t2", "row_hash", "text").join(side, ["t1", "t2", "row_hash"]).select("root", "set", "n", *_WORDS, "text")
+        named = components(_linked(stored(texts)))
         # Rows of two different sets with one digest aren't copies: the second digest tells.
         checks = own.groupBy("set").agg(F.min("check").alias("known"))
-        named = named.join(checks.hint("merge"), "set", "right").select("set", F.coalesce("root", "set").alias("root"), "known")
-        found = own.drop("rare", "prefix").join(named.hint("merge"), "set")
+        named = checks.join(named.hint("merge"), F.col("set") == F.col("node"), "left").select("set", F.coalesce("root", "set").alias("root"), "known")
+        found = own.select("doc_id", "t1", "t2", "row_hash", "set", "check").join(named.hint("merge"), "set")
         return cut(found.select("doc_id", "t1", "t2", "row_hash", F.col("root").alias("group"), F.when(F.col("check") != F.col("known"), F.col("check")).otherwise(0).alias("part")))
 
 
