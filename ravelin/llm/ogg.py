@@ -6,8 +6,9 @@ packet (begin-of-stream page), a comment packet, and data packets. A granule pos
 samples up to the end of the last packet that a page completes, -1 where it completes none.
 
 Reading checks every page's checksum; a page that fails is left out, its bytes are searched for the next capture pattern,
-and a packet that lost a part is dropped and counted. Packets get timestamps by counting samples back from their page's
-granule position.
+and a packet that lost a part is dropped and counted, as is each gap in a stream's page numbers. Packets get timestamps by
+counting samples back from their page's granule position, which also tells where in the payload a packet belongs: what is
+lost leaves a gap of zeros in its place (``assemble``), and never moves what follows.
 
 Defined cases: a null text is stored as an empty one, padded to 64 zero bytes; equal texts give equal media; repeated
 rows give repeated rows; an empty table gives an empty one; a null doc_id is kept; ``read`` of a null or garbage column
@@ -122,11 +123,12 @@ def read(media: bytes | None) -> Media:
             continue
         pages += 1
         stream = streams.setdefault(serial, Stream(serial))
-        if stream.next_page is not None and stream.next_page != number or not kind & CONTINUED:
-            stream.lost += stream.open is not None
+        gap = stream.next_page is not None and stream.next_page != number
+        if gap or not kind & CONTINUED:
+            stream.lost += gap or stream.open is not None
             stream.open = None
         skip = kind & CONTINUED and stream.open is None
-        stream.lost += bool(skip)
+        stream.lost += bool(skip and not gap)
         stream.next_page = number + 1
         first, size = len(stream.packets), 0
         for v in lacing:
@@ -152,14 +154,32 @@ def read(media: bytes | None) -> Media:
     return Media(streams, pages, bad)
 
 
-def samples(media: Media) -> bytes:
-    """The payload: data packets dealt back in turn, streams in the order that their comment packets state."""
-    own = {}
+def assemble(media: Media) -> tuple[bytes, int]:
+    """The payload, and how many of its samples are missing, for which there are zeros.
+
+    A data packet's place follows from its stream's number, which the comment packet states, and its granule position.
+    What is lost after the last packet that is left isn't known, but shows in a stream that has not ended or has losses."""
+    parts: list[tuple[int, bytes]] = []
     for stream in media.streams.values():
-        if len(stream.packets) >= 2 and stream.packets[0][:8] == b"PCM     " and stream.packets[1][:8] == b"ravelin\0":
-            own[struct.unpack_from("<HH", stream.packets[1], 8)[0]] = stream.packets[2:]
-    longest = max(map(len, own.values()), default=0)
-    return b"".join(own[n][i] for i in range(longest) for n in sorted(own) if i < len(own[n]))
+        if len(stream.packets) < 2 or stream.packets[0][:8] != b"PCM     " or stream.packets[1][:8] != b"ravelin\0":
+            continue
+        size = PCM_HEADER.unpack_from(stream.packets[0])[7]
+        n, streams = struct.unpack_from("<HH", stream.packets[1], 8)
+        for packet, granule in zip(stream.packets[2:], stream.granules[2:]):
+            if granule is not None:
+                parts.append((((granule - len(packet)) // size * streams + n) * size, packet))
+    parts.sort()
+    out, at = [], 0
+    for start, packet in parts:
+        if start > at:
+            out.append(bytes(start - at))
+        out.append(packet)
+        at = max(at, start + len(packet))
+    return b"".join(out), at - sum(len(p) for _, p in parts)
+
+
+def samples(media: Media) -> bytes:
+    return assemble(media)[0]
 
 
 def timestamps(stream: Stream, rate: int = RATE) -> list[float | None]:
@@ -215,7 +235,9 @@ def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         size, payload = pad(text)
         media = write(payload)
         held = read(media)
-        back = samples(held)
+        back, missing = assemble(held)
+        if missing or held.bad_pages or any(x.lost or not x.ended for x in held.streams.values()):
+            raise ValueError(f"the stored media of {key} are damaged: {missing} samples missing")
         yield (
             key, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]),
             len(media), hashlib.sha256(media).hexdigest(), feature(held, back),
