@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ravelin.llm.common import map_chunks, table
 
 #: Entries of a worker's memory of encoded pre-tokens; it is emptied when full, which changes speed only.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -262,6 +262,11 @@ class Encoder:
                 memory.pop(x, None)
         return result
 
+    def forget(self) -> None:
+        for memory in (self.of_match, self.of_part):
+            memory.clear()
+            memory.old = {}
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -315,7 +320,12 @@ def encode(
         import public_tokenizers
 
         own = encoder(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary), pattern or public_tokenizers.PATTERN)
-        return lambda keys, texts: [(k, *emit(own, ids)) for k, ids in zip(keys, own.encode([t or "" for t in texts]))]
+
+        def each(keys: list[Any], texts: list[str | None]) -> Iterable[tuple[Any, ...]]:
+            return [(k, *emit(own, ids)) for k, ids in zip(keys, own.encode([t or "" for t in texts]))]
+
+        each.close = own.forget  # type: ignore[attr-defined]
+        return each
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_chunks(docs, [id_col, text_col], start, f"{id_col} {kind}, {emitted}")

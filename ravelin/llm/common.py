@@ -44,7 +44,8 @@ def map_chunks(
 
     ``start()`` runs once a task and returns a function that takes a list of values for each column and gives any number
     of output tuples. Only ``columns`` are read, so other columns of ``df`` can have any name. Nothing is kept between
-    chunks, so a task's memory doesn't grow with its input.
+    chunks, so a task's memory doesn't grow with its input. If the function has an attribute ``close``, that is called when
+    the task ends, so that a worker that goes on to other work holds nothing of it.
     """
     ship(df.sparkSession)
     small_batches(df.sparkSession)
@@ -53,16 +54,19 @@ def map_chunks(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
-        for batch in batches:
-            rows = max(1, min(CHUNK_ROWS, batch.num_rows * CHUNK_BYTES // max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, rows):
-                gc.disable()  # a collection amid a chunk walks all that a worker remembers
-                try:
-                    made = list(each(*(c.to_pylist() for c in batch.slice(at, rows).columns)))
-                finally:
-                    gc.enable()
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), arrow.types)], schema=arrow)
+        try:
+            for batch in batches:
+                rows = max(1, min(CHUNK_ROWS, batch.num_rows * CHUNK_BYTES // max(1, batch.nbytes)))
+                for at in range(0, batch.num_rows, rows):
+                    gc.disable()  # a collection amid a chunk walks all that a worker remembers
+                    try:
+                        made = list(each(*(c.to_pylist() for c in batch.slice(at, rows).columns)))
+                    finally:
+                        gc.enable()
+                    if made:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), arrow.types)], schema=arrow)
+        finally:
+            getattr(each, "close", lambda: None)()
 
     return df.select(*[df[f"`{c}`"] for c in columns]).mapInArrow(run, out)
 
