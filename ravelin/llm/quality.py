@@ -228,7 +228,7 @@ def features(docs: DataFrame, words: np.ndarray, id_col: str, text_col: str) ->
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Word vectors from all of ``docs``, and the network from the labelled sample, a quarter of which calibrates."""
     words = vectors(contexts(docs, text_col))
-    picked = sample(docs.sparkSession, docs, labels, label_col, id_col, text_col)
+    picked = sample(docs.sparkSession, docs, labels, label_col, id_col, text_col, most_bytes=None)  # features are of one size
     known = picked.select(F.struct("key", "label").alias("known"), "text")
     rows = sorted((r.known.key, r.known.label, r.features) for r in features(known, words, "known", "text").collect())
     y = np.array([r[1] for r in rows], np.float64)

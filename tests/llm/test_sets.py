@@ -263,3 +263,87 @@ def test_pipeline_near_duplicates_and_mixing(spark, sf_dir):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
     mixed = P.mix_sources(spark, docs, sf_dir).collect()
     assert sum(len(r.text.split()) for r in mixed) == round(1.5 * sum(len(t.split()) for _, t, *_ in rows))
+
+
+def test_positions_are_a_permutation_and_shards_hold_their_quotas(spark):
+    at = mixing.position(F.col("sid"), F.col("number"), F.col("block"), F.lit(1000).cast("long"))
+    rows = spark.range(1000).selectExpr("3L AS sid", "1L AS number", "id AS block").select("block", at.alias("at")).orderBy("block").collect()
+    assert sorted(r["at"] for r in rows) == list(range(1000))
+    steps = {(b["at"] - a["at"]) % 1000 for a, b in zip(rows, rows[1:])}
+    assert len(steps) > 300  # no arithmetic progression
+    docs = spark.createDataFrame([(i, "w " * (300 + i), f"s{i % 3}") for i in range(200)], "doc_id long, text string, source string")
+    planned = mixing.plan(docs, shards=8).collect()
+    words = [0] * 8
+    for r in planned:
+        for p in r.pieces:
+            words[p.shard] += p.word_to - p.word_from
+    assert max(words) - min(words) <= 4 * mixing.BLOCK_WORDS  # as many blocks each; three sources have a short and a cut one
+    one = {(p["pass"], p.block) for r in mixing.plan(docs, shards=1).collect() for p in r.pieces}
+    assert one == {(p["pass"], p.block) for r in planned for p in r.pieces}
+
+
+def test_a_sample_has_one_row_an_id_and_long_and_null_texts(spark):
+    key = next(i for i in range(50) if not spark.range(i, i + 1).select(labels.held_out(F.col("id")).alias("h")).first().h)
+    docs = spark.createDataFrame([(key, "a"), (key, "b"), (key, None), (key, "x" * 20_000)], "doc_id long, text string")
+    known = spark.createDataFrame([(key, 1), (key, 0), (None, 1)], "doc_id long, toxic int")
+    rows = labels.sample(spark, docs, known, "toxic").collect()
+    assert len(rows) == 1 and rows[0].label == 1 and len(rows[0].text) <= labels.MOST_BYTES
+    assert labels.sample(spark, docs.where("length(text) > 9"), known, "toxic", most_bytes=None).count() == 1
+
+
+def slow_toxicity(model, packed, language):
+    """The forward pass by its definition, window by window."""
+    h = toxicity.buckets(packed)
+    x = np.concatenate([model.tables[t, h[t]] for t in range(toxicity.TABLES)], axis=1).astype(float)
+    while len(x) < toxicity.WIDTHS[-1]:
+        x = np.concatenate([x, np.zeros((1, x.shape[1]))])
+    z = float(model.bias)
+    for k, (w, f) in enumerate(zip(toxicity.WIDTHS, model.filters)):
+        for c in range(toxicity.FILTERS):
+            top = max(sum(float(x[i + j] @ f[j][:, c]) for j in range(w)) for i in range(len(x) - w + 1)) + float(model.biases[k][c])
+            z += max(0.0, top) * float(model.out[k * toxicity.FILTERS + c])
+    return 1 / (1 + np.exp(-(z - model.shift[language])))
+
+
+def test_scores_are_those_of_slow_forward_passes(spark):
+    rng = np.random.default_rng(7)
+    words = ["alpha", "beta", "gamma", "delta", "vile", "nasty", "the", "and"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 12)))) for _ in range(60)]
+    ids = toxicity.Words(1000).ids(texts)
+    model = toxicity.train([(p, int("vile" in t)) for (p, _), t in zip(ids, texts)])._replace(shift=np.array([0.1, 0, 0.2, 0, -0.3]))
+    scorer = toxicity.Scorer(model)
+    assert np.allclose([scorer.score(*x) for x in ids], [slow_toxicity(model, *x) for x in ids], atol=1e-4)
+    vectors = rng.normal(size=(quality.TYPES, quality.DIMENSIONS)).astype(np.float32)
+    own = quality.Types(1000).of(texts)
+    x = np.stack([quality.pool(o, vectors) for o in own])
+    net = quality.train(x, np.array([float("vile" in t) for t in texts]))._replace(temperature=1.7, bias=0.2)
+    for o, row, got in zip(own, x, net.probability(x)):
+        v = vectors[o].astype(float)
+        if len(v):
+            mean = v.mean(axis=0)
+            pairs = max(1, len(v) - 1)
+            want = [*mean, *np.sqrt(np.maximum((v * v).mean(axis=0) - mean * mean, 0)), sum(a @ b for a, b in zip(v, v[1:])) / pairs, sum(a == b for a, b in zip(o, o[1:])) / pairs, np.sqrt((mean * mean).sum())]
+            assert np.allclose(row, want, atol=1e-4)
+        hidden = [np.tanh(sum(np.clip((a - m) / s, -8, 8) * w for a, m, s, w in zip(row, net.mean, net.scale, column)) + b) for column, b in zip(net.w1.T, net.b1)]
+        z = sum(a * b for a, b in zip(hidden, net.w2)) + net.b2
+        assert got == pytest.approx(1 / (1 + np.exp(-(z / 1.7 + 0.2))), abs=1e-6)
+
+
+def test_groups_around_a_text_with_many_variants(spark):
+    """Variants of one text that are near it and not each other, and sets that share a key only."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = [" ".join(base)]
+    for n in range(60):
+        own = base[:]
+        for i in rng.choice(300, 5, replace=False):
+            own[i] = f"v{n}x{i}"
+        rows.append(" ".join(own))
+    rows += [" ".join(base[:40] + [f"u{n}x{i}" for i in range(200)]) for n in range(20)]
+    docs = simhash.with_hashes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    sets = [set(simhash.shingles(t).tolist()) for t in rows]
+    want = roots(len(rows), [(j, i) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    got = {r.doc_id: (r.group, r.part) for r in simhash.similar_groups(docs).collect()}
+    for i in range(len(rows)):
+        for j in range(i):
+            assert (got[i] == got[j]) == (want[i] == want[j])
