@@ -108,19 +108,24 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\\x00+$", ""), "[^\\x20-\\x7e]", "")
 
 
+def utc(micros: Column) -> Column:
+    """Epoch microseconds as a time without a zone, whatever the session's."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(micros.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+
+
 def iso_utc(seconds: Column) -> Column:
-    """ISO time with offset of epoch seconds, in a UTC session."""
-    at = F.timestamp_micros(F.floor(seconds * 1e6 + 0.5).cast("long"))
+    """ISO time with offset of epoch seconds."""
+    at = utc(F.floor(seconds * 1e6 + 0.5).cast("long"))
     return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(at, "SSSSSS") == "000000", "").otherwise(F.concat(F.lit("."), F.date_format(at, "SSSSSS"))), F.lit("+00:00"))
 
 
 def display_stamp(micros: Column) -> Column:
     """Time with milliseconds, cut."""
-    return F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd HH:mm:ss.SSS")
+    return F.date_format(utc(micros), "yyyy-MM-dd HH:mm:ss.SSS")
 
 
 def file_stamp(micros: Column) -> Column:
-    return F.date_format(F.timestamp_micros(micros), "yyyyMMdd_HHmmss")
+    return F.date_format(utc(micros), "yyyyMMdd_HHmmss")
 
 
 def half_up(value: Column, digits: int) -> Column:

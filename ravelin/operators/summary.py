@@ -36,8 +36,8 @@ def event_summary(boxes: DataFrame, keys: list[str], rate: float, least: float)
     """Events whose greatest rise, unrounded, is at least ``least``."""
     s = _shapes(boxes, keys, rate).where(F.col("delta") >= least)
     return s.select(
-        *keys, "start_frame", "end_frame", "n_detections", half_up(F.col("seconds"), 2).alias("duration_s"), half_up(F.col("displacement"), 3).alias("displacement_px"),
-        half_up(F.col("path"), 3).alias("path_px"), half_up(F.col("speed"), 3).alias("speed_px_s"), F.col("peak.frame_no").alias("peak_frame"),
+        *keys, "start_frame", "end_frame", "n_detections", half_up(F.col("seconds"), 2).alias("duration_s"), half_up(F.col("displacement"), 1).alias("displacement_px"),
+        half_up(F.col("path"), 1).alias("path_px"), half_up(F.col("speed"), 2).alias("speed_px_s"), F.col("peak.frame_no").alias("peak_frame"),
         half_up(F.col("delta"), 2).alias("peak_mean_delta"), "peak_area_px", *[F.col(f"peak.{c}").alias(f"peak_{c}") for c in ("x0", "y0", "x1", "y1")],
     )
 
@@ -58,11 +58,11 @@ def track_summary(boxes: DataFrame, keys: list[str], rate: float, width: int, he
     score = F.col("delta") * F.sqrt(F.col("peak_area_px").cast("double")) * (1 + F.col("displacement") / 20)
     return s.select(
         *keys, F.when(passes(config.high), "high").when(passes(config.medium), "medium").otherwise("low").alias("confidence"),
-        "start_frame", "end_frame", "n_detections", half_up(F.col("seconds"), 2).alias("duration_s"), half_up(F.col("displacement"), 3).alias("displacement_px"),
-        half_up(F.col("path"), 3).alias("path_px"), half_up(F.col("speed"), 3).alias("speed_px_s"), half_up(F.col("edge_frac"), 4).alias("edge_frac"),
-        half_up(F.col("n_detections") / (F.col("end_frame") - F.col("start_frame") + 1), 4).alias("continuity"), F.col("median_box_px").cast("double").alias("median_box_px"),
+        "start_frame", "end_frame", "n_detections", half_up(F.col("seconds"), 2).alias("duration_s"), half_up(F.col("displacement"), 1).alias("displacement_px"),
+        half_up(F.col("path"), 1).alias("path_px"), half_up(F.col("speed"), 2).alias("speed_px_s"), half_up(F.col("edge_frac"), 2).alias("edge_frac"),
+        half_up(F.col("n_detections") / (F.col("end_frame") - F.col("start_frame") + 1), 2).alias("continuity"), half_up(F.col("median_box_px").cast("double"), 1).alias("median_box_px"),
         F.col("peak.frame_no").alias("peak_frame"), half_up(F.col("delta"), 2).alias("peak_mean_delta"), "peak_area_px",
-        *[F.col(f"peak.{c}").alias(f"peak_{c}") for c in ("x0", "y0", "x1", "y1")], half_up(score, 3).alias("score"),
+        *[F.col(f"peak.{c}").alias(f"peak_{c}") for c in ("x0", "y0", "x1", "y1")], half_up(score, 1).alias("score"),
     )
 
 

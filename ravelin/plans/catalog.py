@@ -429,7 +429,7 @@ def assoc_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = []
         for n in sorted(by):
             tracks = [Track.begin(i, n - 1, b, CONFIG) for i, b in enumerate(by.get(n - 1, []))]
-            out += [(rows["stream_id"].iloc[0], n, t, b) for t, b in associate(tracks, by[n], CONFIG, float(np.hypot(WIDTH, HEIGHT)))[0]]
+            out += [(rows["stream_id"].iloc[0], n, t, b) for b, t in associate(tracks, by[n], CONFIG, float(np.hypot(WIDTH, HEIGHT))).items()]
         return pd.DataFrame(out, columns=["stream_id", "frame_no", "t", "b"])
 
     return sequences.fold(px3(spark, sf_dir), "stream_id", ["frame_no", "k"], step, "stream_id long, frame_no long, t long, b long")
@@ -476,7 +476,7 @@ _SHAPES = f"""WITH {PX4}, s AS (SELECT *, cx - lag(cx) OVER w AS dx, cy - lag(cy
         FROM s GROUP BY stream_id, track_id
     ), u AS (SELECT *, (end_frame - start_frame) / 10.0::DOUBLE AS sec, path / greatest((end_frame - start_frame) / 10.0::DOUBLE, 0.5::DOUBLE) AS speed, edges / n_detections::DOUBLE AS ef FROM t)"""
 _UP = lambda x, n: f"floor(({x}) * 1e{n}::DOUBLE + 0.5::DOUBLE) / 1e{n}::DOUBLE"
-_COMMON = f"start_frame, end_frame, n_detections, {_UP('sec', 2)} AS duration_s, {_UP('disp', 3)} AS displacement_px, {_UP('path', 3)} AS path_px, {_UP('speed', 3)} AS speed_px_s, peak_frame, {_UP('delta', 2)} AS peak_mean_delta, peak_area_px, peak_x0, peak_y0, peak_x1, peak_y1"
+_COMMON = f"start_frame, end_frame, n_detections, {_UP('sec', 2)} AS duration_s, {_UP('disp', 1)} AS displacement_px, {_UP('path', 1)} AS path_px, {_UP('speed', 2)} AS speed_px_s, peak_frame, {_UP('delta', 2)} AS peak_mean_delta, peak_area_px, peak_x0, peak_y0, peak_x1, peak_y1"
 
 
 def _passes(delta: float, disp: float, speed: float, area: float) -> str:
@@ -485,8 +485,8 @@ def _passes(delta: float, disp: float, speed: float, area: float) -> str:
 
 _TRACKS = (
     _SHAPES
-    + f", tracks AS (SELECT stream_id, track_id, CASE WHEN {_passes(80, 35, 2, 0.0013)} THEN 'high' WHEN {_passes(60, 35, 1, 0.0008)} THEN 'medium' ELSE 'low' END AS confidence, {_COMMON}, {_UP('ef', 4)} AS edge_frac,"
-    + f" {_UP('n_detections / (end_frame - start_frame + 1)::DOUBLE', 4)} AS continuity, median_box_px, {_UP('delta * sqrt(peak_area_px::DOUBLE) * (1 + disp / 20)', 3)} AS score FROM u WHERE {_UP('delta', 2)} >= 35)"
+    + f", tracks AS (SELECT stream_id, track_id, CASE WHEN {_passes(80, 35, 2, 0.0013)} THEN 'high' WHEN {_passes(60, 35, 1, 0.0008)} THEN 'medium' ELSE 'low' END AS confidence, {_COMMON}, {_UP('ef', 2)} AS edge_frac,"
+    + f" {_UP('n_detections / (end_frame - start_frame + 1)::DOUBLE', 2)} AS continuity, {_UP('median_box_px', 1)} AS median_box_px, {_UP('delta * sqrt(peak_area_px::DOUBLE) * (1 + disp / 20)', 1)} AS score FROM u WHERE {_UP('delta', 2)} >= 35)"
 )
 
 

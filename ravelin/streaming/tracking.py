@@ -1,8 +1,11 @@
 """Tracking as a stateful stream: the same tracker as in batch, whatever the micro-batches.
 
 A row is one frame of one stream with its boxes. Rows may come in any order: a stream's state holds those that are early
-and takes frames strictly by number. A row with ``last`` set flushes the tracks that are still alive; events of ended tracks
-are appended. State is checkpointed by Spark, so a restart goes on where it was.
+and takes frames by number. Recorders drop frames, so a missing one is waited for only until a frame ``horizon`` or more
+after it has come, or until nothing has come for ``patience``; then it is stepped over, and left out if it comes later. So
+at most ``horizon`` frames are held. A row with ``last`` set flushes the tracks that are still alive; when nothing has come
+for ``patience`` all that is held is taken, and the state of a stream whose last row was taken is dropped. Events of ended
+tracks are appended. State is checkpointed by Spark, so a restart goes on where it was.
 """
 
 from __future__ import annotations
@@ -21,47 +24,75 @@ from ravelin.session import ship
 
 EVENT_COLUMNS = (
     "stream_id long, track_id long, start_frame long, end_frame long, n_detections long, duration_s double, displacement_px double, "
-    "path_px double, speed_px_s double, peak_frame long, peak_mean_delta double, peak_area_px long"
+    "path_px double, speed_px_s double, peak_frame long, peak_mean_delta double, peak_area_px long, peak_box array<int>"
 )
 _NAMES = [c.split()[0] for c in EVENT_COLUMNS.split(", ")]
+#: Frames that a missing one is waited for, and milliseconds without any row.
+HORIZON, PATIENCE = 100, 60_000
 
 
 class Follower:
     """One stream's tracker behind a buffer that puts frames in order."""
 
-    def __init__(self, width: int, height: int, rate: float, detector: DetectorConfig, tracks: TrackConfig) -> None:
+    def __init__(self, width: int, height: int, rate: float, detector: DetectorConfig, tracks: TrackConfig, horizon: int = HORIZON) -> None:
         self.tracker = Tracker(width, height, tracks, detector.min_track_frames)
         self.rate, self.detector = rate, detector
-        self.next_frame = 0
+        self.next_frame, self.horizon, self.newest, self.done = 0, horizon, -1, False
         self.early: dict[int, tuple[list[tuple], bool]] = {}
 
     def take(self, frame: int, boxes: list[tuple], last: bool) -> list[dict[str, Any]]:
-        """Events that this frame ends; a frame seen before is left out."""
+        """Events that this frame ends; a frame seen before, or stepped over, is left out."""
         if frame >= self.next_frame:
             self.early.setdefault(frame, (boxes, last))
+            self.newest = max(self.newest, frame)
+        return self._advance(self.newest - self.horizon)
+
+    def drain(self) -> list[dict[str, Any]]:
+        """Events that all frames that are held end, gaps stepped over."""
+        return self._advance(self.newest)
+
+    def _advance(self, given_up: int) -> list[dict[str, Any]]:
+        """Takes what is next; a missing frame up to ``given_up`` is stepped over."""
         ended = []
-        while self.next_frame in self.early:
-            own, flush = self.early.pop(self.next_frame)
-            ended += self.tracker.step(self.next_frame, own)
+        while self.early and (self.next_frame in self.early or self.next_frame <= given_up):
+            held = self.early.pop(self.next_frame, None)
+            if held is None:
+                self.next_frame = min(min(self.early), given_up + 1)
+                continue
+            ended += self.tracker.step(self.next_frame, held[0])
             self.next_frame += 1
-            if flush:
+            if held[1]:
                 ended += self.tracker.flush()
+                self.done = True
         return [e for t in ended if (e := live_event(t, self.rate, self.detector))]
 
 
 def stream_events(
-    frames: DataFrame, width: int, height: int, rate: float, detector: DetectorConfig = DetectorConfig(), tracks: TrackConfig = TrackConfig()
+    frames: DataFrame,
+    width: int,
+    height: int,
+    rate: float,
+    detector: DetectorConfig = DetectorConfig(),
+    tracks: TrackConfig = TrackConfig(),
+    horizon: int = HORIZON,
+    patience: int = PATIENCE,
 ) -> DataFrame:
     """Events of a streaming frame table (stream_id, frame_no, last, boxes: x0, y0, x1, y1, mean_delta, area)."""
     ship(frames.sparkSession)
 
     def step(key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        follower = pickle.loads(state.get[0]) if state.exists else Follower(width, height, rate, detector, tracks)
+        follower = pickle.loads(state.get[0]) if state.exists else Follower(width, height, rate, detector, tracks, horizon)
         events = []
+        if state.hasTimedOut:
+            events = follower.drain()
         for rows in batches:
             for n, boxes, last in zip(rows["frame_no"], rows["boxes"], rows["last"]):
                 events += follower.take(int(n), [tuple(b[c] for c in ("x0", "y0", "x1", "y1", "mean_delta", "area")) for b in boxes], bool(last))
-        state.update((pickle.dumps(follower),))
+        if state.hasTimedOut and follower.done:
+            state.remove()
+        else:
+            state.update((pickle.dumps(follower),))
+            state.setTimeoutDuration(patience)
         yield pd.DataFrame([(key[0], *(e[c] for c in _NAMES[1:])) for e in events], columns=_NAMES)
 
-    return frames.groupBy("stream_id").applyInPandasWithState(step, EVENT_COLUMNS, "follower binary", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("stream_id").applyInPandasWithState(step, EVENT_COLUMNS, "follower binary", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -16,7 +16,22 @@ def test_full_tracking_has_graded_tracks(spark, sf_dir):
 
 
 def test_full_detect_track_is_the_plain_python_pipeline(spark, sf_dir):
-    assert catalog.full_detect_track(spark, sf_dir).count() > 0
+    import numpy as np
+    from ravelin.operators.config import DetectorConfig, TrackConfig
+    from ravelin.operators.detect import Detector
+    from ravelin.operators.tracker import Tracker, live_event
+
+    config = DetectorConfig.of(warmup=5, min_delta=0.1, sigma_k=0.0, min_mean_delta=0.0, max_area_frac=0.19, max_blobs=3, morph_kernel=1, min_track_frames=2, min_event_delta=0.0)
+    streams = {}
+    for r in catalog.px2(spark, sf_dir).orderBy("stream_id", "frame_no").collect():
+        streams.setdefault(r.stream_id, []).append(r.px)
+    want = set()
+    for s, frames in streams.items():
+        detector, tracker = Detector((8, 8), config), Tracker(8, 8, TrackConfig.of(max_dist_frac=0.4, max_age=3), 2)
+        ended = [t for n, px in enumerate(frames) for t in tracker.step(n, detector.step(np.array(px, np.float32).reshape(8, 8)))] + tracker.flush()
+        want |= {(s, e["track_id"], e["start_frame"], e["end_frame"], e["n_detections"], e["peak_frame"], e["peak_area_px"]) for t in ended if (e := live_event(t, 10.0, config))}
+    got = {(r.stream_id, r.track_id, r.start_frame, r.end_frame, r.n_detections, r.peak_frame, r.peak_area_px) for r in catalog.full_detect_track(spark, sf_dir).collect()}
+    assert got == want and len(want) > 0
 
 
 def test_entry():

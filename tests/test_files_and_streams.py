@@ -73,3 +73,33 @@ def test_stream_gives_what_batch_gives(spark, tmp_path):
     query = stream_events(source, 160, 120, 10.0).writeStream.format("memory").queryName("events_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.stream_id, r.track_id, r.start_frame, r.n_detections) for r in spark.table("events_out").collect()) == sorted(expected) != []
+
+
+def test_offline_job_from_caches_to_reports(spark, tmp_path):
+    from ravelin.plans import offline
+
+    moving = [[n, [[10 + 5 * n, 20, 20 + 5 * n, 30, 90.0 + n, 100]]] for n in range(12)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"video": "a.mp4", "fps": 10, "width": 160, "height": 120, "raw": moving}))
+    (tmp_path / "in" / "b.json").write_text(json.dumps({"video": "b.mp4", "error": "unreadable"}))
+    (tmp_path / "times").mkdir()
+    (tmp_path / "times" / "a.txt").write_text(" ".join(str(1.5 + n) for n in range(12)))
+    (r,) = offline.run(spark, str(tmp_path / "in"), str(tmp_path / "times"), str(tmp_path / "out")).collect()
+    assert (r.video_name, r.track_id, r.confidence, r.start_frame, r.end_frame, r.n_detections) == ("a", 0, "high", 0, 11, 12)
+    assert (r.start_time, r.displacement_px, r.duration_s, r.speed_px_s, r.peak_mean_delta) == ("1970-01-01T00:00:01.500000+00:00", 55.0, 1.1, 50.0, 101.0)
+    assert (r.peak_x_min, r.peak_y_min, r.peak_x_max, r.peak_y_max) == (65, 20, 75, 30)
+    assert [x.video_name for x in spark.read.option("header", True).csv(str(tmp_path / "out" / "tracks")).collect()] == ["a"]
+    assert len(json.loads(spark.read.text(str(tmp_path / "out" / "paths")).first().value)["tracks"]["0"]) == 12
+
+
+def test_stamps_do_not_depend_on_the_session_zone(spark):
+    from ravelin.functions import scalars
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            r = spark.range(1).select(scalars.iso_utc(F.lit(86400.25)).alias("a"), scalars.file_stamp(F.lit(1_700_000_000_000_000).cast("long")).alias("b"), scalars.display_stamp(F.lit(-1).cast("long")).alias("c")).first()
+            assert tuple(r) == ("1970-01-02T00:00:00.250000+00:00", "20231114_221320", "1969-12-31 23:59:59.999")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

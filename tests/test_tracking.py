@@ -42,14 +42,30 @@ def test_merge_is_single_linkage_and_ignores_order(own):
     assert sorted(merge_fragments(mixed, 3)) == sorted(found)
 
 
+def slow_pairs(tracks, found, diagonal):
+    """Of all pairs within the gate the cheapest, then the cheapest of what that leaves free, and so on."""
+    reach = CONFIG.max_dist_frac * diagonal
+    free = []
+    for i, t in enumerate(tracks):
+        for j, b in enumerate(found):
+            d = float(np.hypot((b[0] + b[2]) / 2 - t.x, (b[1] + b[3]) / 2 - t.y))
+            if d <= reach:
+                free.append((d / reach - CONFIG.iou_weight * overlap(t.box, b), i, j))
+    out = []
+    while free:
+        out.append(min(free))
+        free = [p for p in free if p[1] != out[-1][1] and p[2] != out[-1][2]]
+    return out
+
+
 @given(boxes, boxes)
 @settings(max_examples=50, deadline=None)
 def test_association_is_one_to_one_and_gated(a, b):
     tracks = [Track.begin(i, 0, x, CONFIG) for i, x in enumerate(a)]
-    pairs, rest = associate(tracks, b, CONFIG, 50.0)
-    assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
-    assert sorted([j for _, j in pairs] + rest) == list(range(len(b)))
-    for i, j in pairs:
+    owner = associate(tracks, b, CONFIG, 50.0)
+    assert len(set(owner.values())) == len(owner) and set(owner) <= set(range(len(b)))
+    assert list(owner.items()) == [(j, i) for _, i, j in slow_pairs(tracks, b, 50.0)]
+    for j, i in owner.items():
         assert math.dist(((a[i][0] + a[i][2]) / 2, (a[i][1] + a[i][3]) / 2), ((b[j][0] + b[j][2]) / 2, (b[j][1] + b[j][3]) / 2)) <= 8.0
 
 
@@ -74,7 +90,7 @@ def test_unreported_tracks_use_up_numbers():
     t.step(0, [box(0, 0)])
     t.step(1, [box(100, 100)])
     t.step(2, [box(100, 100)])
-    assert [x.id for x in t.flush()] == [2]
+    assert [x.id for x in t.flush()] == [1]
 
 
 def test_kalman_is_the_matrix_form():
@@ -164,3 +180,31 @@ def test_clips_extend_and_close_at_the_post_roll():
 def test_segments_and_statistics():
     assert list(sequences.segments([0, 5, 10, 12, 25], 10)) == [0, 0, 1, 1, 2]
     assert list(sequences.statistics_windows([0, 30, 60, 90, 125], 60)) == [(0, 60, 3), (60, 125, 2)]
+
+
+def test_reported_digits():
+    t = Track.begin(0, 0, box(10, 10, d=61.23456), CONFIG)
+    for n in range(1, 8):
+        t.update(n, box(10 + 7 * n, 10 + 3 * n, d=60.0))
+    row, event = summarise(t, 9.0, 160, 120, CONFIG), live_event(t, 9.0, DetectorConfig())
+    for r in (row, event):
+        assert r["track_id"] == 0 and r["peak_mean_delta"] == 61.23 and r["displacement_px"] == 53.3 and r["duration_s"] == 0.78
+        assert r["path_px"] == 53.3 and r["speed_px_s"] == 68.54 and r["peak_box"] == [10, 10, 14, 14]
+    assert row["score"] == round(61.23456 * 4 * (1 + math.hypot(49, 21) / 20), 1) and row["continuity"] == 1.0
+
+
+def test_a_missing_frame_is_stepped_over():
+    from ravelin.streaming.tracking import Follower
+
+    frames = [(n, [box(20 + n // 4, 30)] if n < 150 else [], n == 199) for n in range(200) if n not in (50, 51, 198)]
+    want = Tracker(160, 120, CONFIG, 3)
+    ended = [x for n, b, _ in frames for x in want.step(n, b)] + want.flush()
+    expected = [live_event(t, 10.0, DetectorConfig()) for t in ended]
+    for horizon in (5, 20, 1000):
+        rng = random.Random(horizon)
+        order = sorted(frames, key=lambda f: f[0] + (rng.random() * min(horizon, 40)))  # none is later than the horizon
+        f = Follower(160, 120, 10.0, DetectorConfig(), CONFIG, horizon)
+        got = [e for n, b, last in order for e in f.take(n, b, last)]
+        assert len(f.early) <= horizon
+        got += f.drain()
+        assert got == expected != [] and f.done and not f.early
