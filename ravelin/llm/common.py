@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from itertools import count
 from typing import Any
 
@@ -23,6 +24,21 @@ from ravelin.session import ship
 CHUNK_ROWS, CHUNK_BYTES = 1024, 8 << 20
 
 
+def tidied(run: Callable[..., Iterator[Any]]) -> Callable[..., Iterator[Any]]:
+    """``run``, a task's generator; when it ends, what it has freed goes back to the machine and isn't kept for the worker's
+    next task, as the executor's memory is shared with the JVM."""
+
+    def own(batches: Iterator[Any]) -> Iterator[Any]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library has no such function
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return own
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts are long, so Arrow batches of the default number of rows would take much memory on both sides."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -68,7 +84,7 @@ def map_chunks(
         finally:
             getattr(each, "close", lambda: None)()
 
-    return df.select(*[df[f"`{c}`"] for c in columns]).mapInArrow(run, out)
+    return df.select(*[df[f"`{c}`"] for c in columns]).mapInArrow(tidied(run), out)
 
 
 def text_udf(spark: SparkSession, start: Callable[[], Callable[[list[str]], Iterable[float]]]) -> Callable[[Column], Column]:
@@ -78,7 +94,7 @@ def text_udf(spark: SparkSession, start: Callable[[], Callable[[list[str]], Iter
     ship(spark)
     small_batches(spark)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         each = start()
         for batch in batches:
             texts = [t or "" for t in batch]
@@ -90,6 +106,9 @@ def text_udf(spark: SparkSession, start: Callable[[], Callable[[list[str]], Iter
                 gc.enable()
             yield pd.Series(found, dtype="float64")
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidied(scored)(batches)
+
     return F.pandas_udf(run, "double")
 
 

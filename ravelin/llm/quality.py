@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm.bpe import Memory
-from ravelin.llm.common import CHUNK_BYTES, map_chunks, small_batches, table, text_udf
+from ravelin.llm.common import CHUNK_BYTES, map_chunks, small_batches, table, text_udf, tidied
 from ravelin.llm.labels import held_out, sample
 from ravelin.session import ship
 
@@ -39,7 +39,7 @@ TYPES = 1 << CLASS_BITS + HASH_BITS
 ROW_BLOCKS = 64
 HIDDEN, EPOCHS, RATE, BATCH, DECAY = 24, 60, 3e-3, 32, 1e-3
 THRESHOLD = 0.3
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 
 
@@ -116,7 +116,7 @@ def contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         return pa.table({"part": own.column("part")[:1], "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     kind = "part int, sums binary"
-    parts = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(count, kind)
+    parts = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(tidied(count), kind)
     # First within each of a number of groups, so that no task takes a row from every other.
     parts = parts.withColumn("salt", F.spark_partition_id() % 16).groupBy("part", "salt").applyInArrow(lambda t: add(t.select(["part", "sums"])), kind)
     out = np.zeros((TYPES, DIMENSIONS), np.int64)

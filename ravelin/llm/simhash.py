@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import cut, map_rows, scratch, small_batches, table
+from ravelin.llm.common import cut, map_rows, scratch, small_batches, table, tidied
 from ravelin.llm.components import components
 from ravelin.session import ship
 
@@ -55,7 +55,7 @@ SMALL, TILE = 8, 65_536
 MOST_BROADCAST = 200_000
 #: Of links by similarity: words in a shingle, words of 64 bits in a fingerprint, and the distance that links stay within.
 SIMILAR_WORDS, WIDE, REACH = 5, 4, 80
-REFERENCES, SIMILAR_TILE, MOST_SHINGLES = 16, 8192, 1 << 21
+REFERENCES, SIMILAR_TILE, MOST_SHINGLES = 16, 8192, 1 << 20
 #: Rows of the sample that tells frequent shingles, and how many of these are put last at most.
 SAMPLE_ROWS, MOST_FREQUENT = 2000, 50_000
 
@@ -117,7 +117,7 @@ def pivot_table(distinct: DataFrame) -> DataFrame:
             fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PIVOTS), len(near), [None, raw])
             yield pa.RecordBatch.from_arrays([batch.column(0), fixed.cast(pa.binary())], names=["fp", "near"])
 
-    return distinct.select("fp").mapInArrow(run, "fp long, near binary")
+    return distinct.select("fp").mapInArrow(tidied(run), "fp long, near binary")
 
 
 def plan(n: int, distance: int = DISTANCE) -> tuple[int, list[int]]:
@@ -245,7 +245,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield from _edges(*bucket_links(fps.view(np.uint64), near, bounds, distance))
 
     rows = tiled(keyed, ["choice", "key"], "fp", TILE).select("choice", "key", "tile", "fp", "near")
-    return rows.repartition("choice", "key", "tile").sortWithinPartitions("choice", "key", "tile").mapInArrow(run, "a long, b long")
+    return rows.repartition("choice", "key", "tile").sortWithinPartitions("choice", "key", "tile").mapInArrow(tidied(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
@@ -290,7 +290,7 @@ def _frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
             for text in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], names=["s"])
 
-    found = part.mapInArrow(run, "s long").groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).toArrow()
+    found = part.mapInArrow(tidied(run), "s long").groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).toArrow()
     values = found["s"].to_numpy().view(np.uint64)
     order = np.argsort(values)
     return values[order], found["count"].to_numpy()[order]
@@ -327,7 +327,7 @@ def _profiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *longs[:2], pa.array(sizes, pa.int32()), *longs[2:], prefix], names=out.names)
 
-    return own.mapInArrow(run, out)
+    return own.mapInArrow(tidied(run), out)
 
 
 def near_forest(fps: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -389,7 +389,7 @@ def _near(keyed: DataFrame) -> DataFrame:
             yield from _edges(a, b)
 
     rows = tiled(keyed, ["key"], "set", SIMILAR_TILE).select("key", "tile", "set", "n", *_WORDS)
-    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def _linked(texts: DataFrame) -> DataFrame:
@@ -406,7 +406,7 @@ def _linked(texts: DataFrame) -> DataFrame:
             yield from _edges(a, b)
 
     rows = tiled(texts, ["root"], "set", MOST_SHINGLES, "n + 500L").select("root", "tile", "set", "n", *_WORDS, "text")
-    return rows.repartition("root", "tile").sortWithinPartitions("root", "tile").mapInArrow(run, "a long, b long")
+    return rows.repartition("root", "tile").sortWithinPartitions("root", "tile").mapInArrow(tidied(run), "a long, b long")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ BITS = 17
 TABLES, BUCKETS, DIMENSIONS = 3, 1 << BITS, 8
 WIDTHS, FILTERS = (1, 2, 3), 4
 EPOCHS, RATE, START, DECAY, SEED = 4, 0.03, np.float32(0.01), 1e-5, 11
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 LANGUAGES = ("en", "de", "fr", "es")
 #: Words that tell the languages apart.
 COMMON = {
