@@ -1,19 +1,26 @@
 """Rules that follow one stream in order: averages, throttles, segments, statistics windows, triggered clips.
 
 Each is a plain generator over a stream's rows, so batch and streaming share it; ``fold`` runs one a stream in Spark. Such
-rules are sequential within a stream, so the number of streams is the parallelism.
+rules are sequential within a stream, so the number of streams is the parallelism; none of them holds a whole stream.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice, tee
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ravelin.session import ship
 
+#: Rows that ``fold`` gives out at a time.
+CHUNK_ROWS = 4096
+
 
 def running_averages(values: Iterable[float], alpha: float, noise_alpha: float, warmup: int, least: float, k: float, cap: float) -> Iterator[tuple[float, float, float, bool]]:
     """For each value: background and noise before it, its rise, and whether it is hot."""
@@ -75,11 +82,13 @@ def clips(rows: Iterable[tuple[int, bool, int | None]], pre: int, post: int) ->
     A clip opens at an active row and takes the rows of the last ``pre`` too; it closes at the first inactive row that is
     ``post`` or more after the last activity, or when the rows end.
     """
-    held: list[int] = []
+    held: deque[int] = deque()
     clip: list[int] | None = None
     t = 0
     for t, active, last in rows:
-        held = [x for x in held if t - x <= pre] + [t]
+        held.append(t)
+        while t - held[0] > pre:
+            held.popleft()
         if clip is None:
             if active:
                 clip = [last if last is not None else t, t, held[0], len(held)]
@@ -92,11 +101,29 @@ def clips(rows: Iterable[tuple[int, bool, int | None]], pre: int, post: int) ->
         yield clip[0], clip[1], clip[2], t, clip[3], "shutdown"
 
 
-def fold(df: DataFrame, key: str, order: list[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``step`` on each stream's rows, in order."""
-    ship(df.sparkSession)
+def beside(rows: Iterable[tuple], rule: Callable[..., Iterator[Any]], *args: Any, **named: Any) -> Iterator[tuple[Any, Any]]:
+    """From rows (name, value): each name with what ``rule`` gives for its value, a value at a time."""
+    names, values = tee(rows)
+    return zip((r[0] for r in names), rule((r[1] for r in values), *args, **named))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return step(rows.sort_values(order, kind="stable").reset_index(drop=True))
 
-    return df.groupBy(key).applyInPandas(run, schema)
+def fold(df: DataFrame, keys: str | list[str], order: list[str], step: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``step`` on each stream's rows, in order.
+
+    ``step`` takes an iterator of tuples of the columns other than ``keys``, as ``df`` has them, and yields tuples of those of
+    ``schema``, which begins with the keys. Spark sorts, so a task holds an Arrow batch, what is given out next and what
+    ``step`` itself keeps, however long a stream is. Null keys are streams too."""
+    ship(df.sparkSession)
+    keys = [keys] if isinstance(keys, str) else keys
+    known = len(keys)
+    out = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        made = ((*stream, *found) for stream, own in groupby(rows, lambda r: r[:known]) for found in step(r[known:] for r in own))
+        while chunk := list(islice(made, CHUNK_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), arrow.types)], schema=arrow)
+
+    ordered = df.select(*keys, *[c for c in df.columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return ordered.mapInArrow(run, out)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -192,16 +193,15 @@ def dropped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT p.stream_id, p.frame_no, f.b + 0.02::DOUBLE * f.d, f.n + 0.01::DOUBLE * (abs(f.d) - f.n), p.v - (f.b + 0.02::DOUBLE * f.d), p.v FROM f JOIN px1 p ON p.stream_id = f.stream_id AND p.frame_no = f.frame_no + 1)
     SELECT stream_id, frame_no, b AS background, n AS noise, d AS delta, frame_no >= 10 AND d > greatest(22.0::DOUBLE, 6.0::DOUBLE * least(n, 18.0::DOUBLE)) AS hot FROM f""")
 def ema_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(list(sequences.running_averages(rows["v"].tolist(), **EMA)), columns=["background", "noise", "delta", "hot"])
-        return pd.concat([rows[["stream_id", "frame_no"]], found], axis=1)
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        return ((frame, *found) for frame, found in sequences.beside(rows, sequences.running_averages, **EMA))
 
     return sequences.fold(px1(spark, sf_dir).select("stream_id", "frame_no", "v"), "stream_id", ["frame_no"], step, "stream_id long, frame_no long, background double, noise double, delta double, hot boolean")
 
 
 def _throttled(spark: SparkSession, sf_dir: str, rule: Callable, interval: int) -> DataFrame:
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[np.array(list(rule(rows["us"].tolist(), interval)), bool)][["stream_id", "frame_no"]]
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        return ((frame,) for frame, taken in sequences.beside(rows, rule, interval) if taken)
 
     return sequences.fold(px1(spark, sf_dir).select("stream_id", "frame_no", "us"), "stream_id", ["frame_no"], step, "stream_id long, frame_no long")
 
@@ -228,8 +228,8 @@ _SEGMENTS = f"""WITH RECURSIVE {PX1}, f AS (
 
 
 def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(segment=list(sequences.segments(rows["us"].tolist(), DAY)))[["stream_id", "frame_no", "us", "segment"]]
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        return ((*own, segment) for own, segment in sequences.beside(((r, r[1]) for r in rows), sequences.segments, DAY))
 
     return sequences.fold(px1(spark, sf_dir).select("stream_id", "frame_no", "us"), "stream_id", ["frame_no"], step, "stream_id long, frame_no long, us long, segment long")
 
@@ -254,9 +254,8 @@ def every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT p.stream_id, p.frame_no, CASE WHEN p.us - f.began >= {DAY} THEN p.us ELSE f.began END, p.us, CASE WHEN p.us - f.began >= {DAY} THEN 0 ELSE f.n + 1 END, p.us - f.began >= {DAY}, f.began, f.n + 1 FROM f JOIN px1 p ON p.stream_id = f.stream_id AND p.frame_no = f.frame_no + 1)
     SELECT stream_id, start_us, us AS end_us, rows_ AS frames, rows_ / ((us - start_us) / 1e6::DOUBLE) AS captured_fps FROM f WHERE out""")
 def stats_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(list(sequences.statistics_windows(rows["us"].tolist(), DAY)), columns=["start_us", "end_us", "frames"])
-        return found.assign(stream_id=rows["stream_id"].iloc[0])[["stream_id", "start_us", "end_us", "frames"]]
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        return sequences.statistics_windows((us for _, us in rows), DAY)
 
     s = sequences.fold(px1(spark, sf_dir).select("stream_id", "frame_no", "us"), "stream_id", ["frame_no"], step, "stream_id long, start_us long, end_us long, frames long")
     return s.withColumn("captured_fps", F.col("frames") / ((F.col("end_us") - F.col("start_us")) / F.lit(1e6)))
@@ -376,25 +375,15 @@ _MERGED = f"""WITH {PX3}, root AS (SELECT b.stream_id, b.frame_no, b.k, min(a.k)
 _BOX = ["x0", "y0", "x1", "y1", "mean_delta", "area"]
 
 
-def _frames_of(rows: pd.DataFrame) -> dict[int, list[tuple]]:
-    """A stream's boxes by frame, in order."""
-    by: dict[int, list[tuple]] = {}
-    for frame, *box in zip(*(rows[c].tolist() for c in ["frame_no", *_BOX])):
-        by.setdefault(frame, []).append(tuple(box))
-    return by
-
-
-def _merge_frames(rows: pd.DataFrame) -> pd.DataFrame:
-    stream = rows["stream_id"].iloc[0]
-    out = [(stream, frame, n, *b) for frame, own in _frames_of(rows).items() for n, b in enumerate(merge_fragments(own, CONFIG.merge_gap))]
-    return pd.DataFrame(out, columns=["stream_id", "frame_no", "n", "x0", "y0", "x1", "y1", "mean_delta", "area"])
+def _merge_frame(rows: Iterator[tuple]) -> Iterator[tuple]:
+    return ((n, *b) for n, b in enumerate(merge_fragments([r[1:] for r in rows], CONFIG.merge_gap)))
 
 
 # A frame has two boxes at most here, so its groups are its pairs.
 @query(_MERGED + """ SELECT p.stream_id, p.frame_no, dense_rank() OVER (PARTITION BY p.stream_id, p.frame_no ORDER BY g) - 1 AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
     max(mean_delta) AS mean_delta, sum(area)::BIGINT AS area FROM px3 p JOIN root r USING (stream_id, frame_no, k) GROUP BY p.stream_id, p.frame_no, g""")
 def merge_fragment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.fold(px3(spark, sf_dir), "stream_id", ["frame_no", "k"], _merge_frames, "stream_id long, frame_no long, n long, x0 long, y0 long, x1 long, y1 long, mean_delta double, area long")
+    return sequences.fold(px3(spark, sf_dir).select("stream_id", "frame_no", "k", *_BOX), ["stream_id", "frame_no"], ["k"], _merge_frame, "stream_id long, frame_no long, n long, x0 long, y0 long, x1 long, y1 long, mean_delta double, area long")
 
 
 _CANDIDATES = f"""WITH {PX3}, c AS (SELECT b.stream_id, b.frame_no, t.k AS t, b.k AS b, sqrt(dx * dx + dy * dy) AS dist,
@@ -424,15 +413,18 @@ def unmatched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assoc_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each frame's boxes matched to those of the frame before, cheapest pair first, each used once."""
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        by = _frames_of(rows)
-        out = []
-        for n in sorted(by):
-            tracks = [Track.begin(i, n - 1, b, CONFIG) for i, b in enumerate(by.get(n - 1, []))]
-            out += [(rows["stream_id"].iloc[0], n, t, b) for b, t in associate(tracks, by[n], CONFIG, float(np.hypot(WIDTH, HEIGHT))).items()]
-        return pd.DataFrame(out, columns=["stream_id", "frame_no", "t", "b"])
+    # A box is one of its own frame, and goes to the next as what is followed.
+    frames = F.explode(F.array(F.struct(F.lit(0).alias("old"), F.col("frame_no").alias("frame")), F.struct(F.lit(1).alias("old"), (F.col("frame_no") + 1).alias("frame"))))
+    rows = px3(spark, sf_dir).select("stream_id", frames.alias("at"), "k", *_BOX).select("stream_id", F.col("at.frame").alias("frame_no"), "at.old", "k", *_BOX)
 
-    return sequences.fold(px3(spark, sf_dir), "stream_id", ["frame_no", "k"], step, "stream_id long, frame_no long, t long, b long")
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        boxes: tuple[list, list] = [], []
+        for old, _, *box in rows:
+            boxes[old].append(tuple(box))
+        tracks = [Track.begin(i, 0, b, CONFIG) for i, b in enumerate(boxes[1])]
+        return ((t, b) for b, t in associate(tracks, boxes[0], CONFIG, float(np.hypot(WIDTH, HEIGHT))).items())
+
+    return sequences.fold(rows, ["stream_id", "frame_no"], ["old", "k"], step, "stream_id long, frame_no long, t long, b long")
 
 
 _KALMAN = f"""WITH RECURSIVE {PX3}, z AS (SELECT p.stream_id, p.frame_no, x0 IS NOT NULL AS seen, (x0 + x1) / 2.0::DOUBLE AS zx, (y0 + y1) / 2.0::DOUBLE AS zy FROM px1 p LEFT JOIN px3 b ON p.stream_id = b.stream_id AND p.frame_no = b.frame_no AND b.k = 0
@@ -449,21 +441,21 @@ def kalman_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One filter a stream over its main boxes, coasting where there is none."""
     z = px1(spark, sf_dir).select("stream_id", "frame_no").join(px3(spark, sf_dir).where("k = 0").drop("k"), ["stream_id", "frame_no"], "left")
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        track, out = None, []
-        for r in rows.itertuples(index=False):
-            box = None if pd.isna(r.x0) else (r.x0, r.y0, r.x1, r.y1, r.mean_delta, r.area)
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        track = None
+        for frame, *box in rows:
+            seen = box[0] is not None
             if track is None:
-                track = Track.begin(0, r.frame_no, box, CONFIG) if box else None
+                track = Track.begin(0, frame, tuple(box), CONFIG) if seen else None
             else:
                 track.predict()
-                if box:
-                    track.update(r.frame_no, box)
+                if seen:
+                    track.update(frame, tuple(box))
+                    del track.history[:-1]  # the filter looks no further back
             if track:
-                out.append((r.stream_id, r.frame_no, *(np.floor(v * 1e6 + 0.5) / 1e6 for v in (track.x, track.y, track.p00))))
-        return pd.DataFrame(out, columns=["stream_id", "frame_no", "x", "y", "p00"])
+                yield frame, *(float(np.floor(v * 1e6 + 0.5) / 1e6) for v in (track.x, track.y, track.p00))
 
-    return sequences.fold(z, "stream_id", ["frame_no"], step, "stream_id long, frame_no long, x double, y double, p00 double")
+    return sequences.fold(z.select("stream_id", "frame_no", *_BOX), "stream_id", ["frame_no"], step, "stream_id long, frame_no long, x double, y double, p00 double")
 
 
 # Summaries
@@ -611,13 +603,14 @@ _CLIPS = f"""WITH RECURSIVE {PX1}, l AS (SELECT *, event_type = 'signup' AS acti
 
 @query(_CLIPS + " SELECT * FROM clips")
 def clip_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        last, level = None, []
-        for us, kind in zip(rows["us"].tolist(), rows["event_type"]):
+    def levels(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for _, us, kind in rows:
             last = us if kind == "signup" else last
-            level.append((us, kind == "signup", last))
-        found = pd.DataFrame(list(sequences.clips(level, HALF_DAY, HALF_DAY)), columns=["trigger", "opened_us", "first_us", "closed_us", "frames", "reason"])
-        return found.assign(stream_id=rows["stream_id"].iloc[0])[["stream_id", "opened_us", "first_us", "closed_us", "frames", "reason"]]
+            yield us, kind == "signup", last
+
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        return (clip[1:] for clip in sequences.clips(levels(rows), HALF_DAY, HALF_DAY))
 
     return sequences.fold(px1(spark, sf_dir).select("stream_id", "frame_no", "us", "event_type"), "stream_id", ["frame_no"], step, "stream_id long, opened_us long, first_us long, closed_us long, frames long, reason string")
 
@@ -657,12 +650,21 @@ def sidecar_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The whole pipeline, which SQL can't express: tested against plain Python
 
 
-def _box_frames(rows: pd.DataFrame) -> list[tuple[int, list[tuple]]]:
-    by: dict[int, list[tuple]] = {int(n): [] for n in range(int(rows["last"].iloc[0]) + 1)}
-    for r in rows.itertuples(index=False):
-        if not pd.isna(r.x0):
-            by[int(r.frame_no)].append((r.x0, r.y0, r.x1, r.y1, r.mean_delta, r.area))
-    return sorted(by.items())
+def _boxes_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with the number of their stream's last frame; a stream without any has one row."""
+    last = px1(spark, sf_dir).groupBy("stream_id").agg(F.max("frame_no").alias("last"))
+    return last.join(px3(spark, sf_dir), "stream_id", "left").select("stream_id", "last", "frame_no", "k", *_BOX)
+
+
+def _every_frame(rows: Iterator[tuple]) -> Iterator[tuple[int, list[tuple]]]:
+    """A stream's frames from 0 to its last with their boxes, from its rows of ``_boxes_to_the_end``."""
+    due, last = 0, -1
+    for (last, frame), own in groupby(rows, lambda r: r[:2]):
+        if frame is not None:
+            yield from ((n, []) for n in range(due, frame))
+            yield frame, [r[3:] for r in own]
+            due = frame + 1
+    yield from ((n, []) for n in range(due, last + 1))
 
 
 _TRACK_COLUMNS = "stream_id long, track_id long, confidence string, start_frame long, end_frame long, n_detections long, duration_s double, displacement_px double, path_px double, speed_px_s double, edge_frac double, continuity double, median_box_px double, peak_frame long, peak_mean_delta double, peak_area_px long, score double"
@@ -671,30 +673,25 @@ _TRACK_COLUMNS = "stream_id long, track_id long, confidence string, start_frame
 @query()
 def full_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes merged, tracked and graded, stream by stream; frames without boxes count as misses."""
-    last = px1(spark, sf_dir).groupBy("stream_id").agg(F.max("frame_no").alias("last"))
-    rows = last.join(px3(spark, sf_dir), "stream_id", "left")
     names = [c.split()[0] for c in _TRACK_COLUMNS.split(", ")][1:]
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [summarise(t, RATE, WIDTH, HEIGHT, CONFIG) for t in track_frames(_box_frames(rows), WIDTH, HEIGHT, CONFIG)]
-        return pd.DataFrame([(rows["stream_id"].iloc[0], *(r[c] for c in names)) for r in found if r], columns=["stream_id", *names])
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        found = (summarise(t, RATE, WIDTH, HEIGHT, CONFIG) for t in track_frames(_every_frame(rows), WIDTH, HEIGHT, CONFIG))
+        return (tuple(r[c] for c in names) for r in found if r)
 
-    return sequences.fold(rows, "stream_id", ["frame_no", "k"], step, _TRACK_COLUMNS)
+    return sequences.fold(_boxes_to_the_end(spark, sf_dir), "stream_id", ["frame_no", "k"], step, _TRACK_COLUMNS)
 
 
 @query()
 def overlay_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At each frame the boxes of reportable tracks, coasting ones as last observed."""
-    last = px1(spark, sf_dir).groupBy("stream_id").agg(F.max("frame_no").alias("last"))
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = Tracker(WIDTH, HEIGHT, CONFIG, DetectorConfig().min_track_frames), []
-        for n, boxes in _box_frames(rows):
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        tracker = Tracker(WIDTH, HEIGHT, CONFIG, DetectorConfig().min_track_frames)
+        for n, boxes in _every_frame(rows):
             tracker.step(n, boxes)
-            out += [(rows["stream_id"].iloc[0], n, *map(int, b)) for b in tracker.overlay()]
-        return pd.DataFrame(out, columns=["stream_id", "frame_no", "x0", "y0", "x1", "y1", "track_id"])
+            yield from ((n, *map(int, b)) for b in tracker.overlay())
 
-    return sequences.fold(last.join(px3(spark, sf_dir), "stream_id", "left"), "stream_id", ["frame_no", "k"], step, "stream_id long, frame_no long, x0 long, y0 long, x1 long, y1 long, track_id long")
+    return sequences.fold(_boxes_to_the_end(spark, sf_dir), "stream_id", ["frame_no", "k"], step, "stream_id long, frame_no long, x0 long, y0 long, x1 long, y1 long, track_id long")
 
 
 @query()
@@ -703,13 +700,17 @@ def full_detect_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = DetectorConfig.of(warmup=5, min_delta=0.1, sigma_k=0.0, min_mean_delta=0.0, max_area_frac=0.19, max_blobs=3, morph_kernel=1, min_track_frames=2, min_event_delta=0.0)
     own = TrackConfig.of(max_dist_frac=0.4, max_age=3)
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        detector, tracker, ended = Detector((8, 8), config), Tracker(8, 8, own, config.min_track_frames), []
-        for n, px in zip(rows["frame_no"], rows["px"]):
-            ended += tracker.step(int(n), detector.step(np.asarray(px, np.float32).reshape(8, 8)))
-        events = [e for t in ended + tracker.flush() if (e := live_event(t, RATE, config))]
-        columns = ["track_id", "start_frame", "end_frame", "n_detections", "duration_s", "displacement_px", "peak_frame", "peak_mean_delta", "peak_area_px"]
-        return pd.DataFrame([(rows["stream_id"].iloc[0], *(e[c] for c in columns)) for e in events], columns=["stream_id", *columns])
+    columns = ["track_id", "start_frame", "end_frame", "n_detections", "duration_s", "displacement_px", "peak_frame", "peak_mean_delta", "peak_area_px"]
+
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        detector, tracker = Detector((8, 8), config), Tracker(8, 8, own, config.min_track_frames)
+
+        def ended() -> Iterator[Track]:
+            for n, px in rows:
+                yield from tracker.step(n, detector.step(np.asarray(px, np.float32).reshape(8, 8)))
+            yield from tracker.flush()
+
+        return (tuple(e[c] for c in columns) for t in ended() if (e := live_event(t, RATE, config)))
 
     schema = "stream_id long, track_id long, start_frame long, end_frame long, n_detections long, duration_s double, displacement_px double, peak_frame long, peak_mean_delta double, peak_area_px long"
     return sequences.fold(px2(spark, sf_dir).select("stream_id", "frame_no", "px"), "stream_id", ["frame_no"], step, schema)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import chain
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.functions.scalars import iso_utc
 from ravelin.operators.config import TrackConfig
+from ravelin.operators.sequences import fold
 from ravelin.operators.tracker import summarise, track_frames
-from ravelin.session import ship
 from ravelin.sources import files
 
 _NUMBERS = {"duration_s", "displacement_px", "path_px", "speed_px_s", "edge_frac", "continuity", "median_box_px", "peak_mean_delta", "score"}
@@ -26,19 +28,19 @@ def tracks_of_caches(cached: DataFrame, timestamps: DataFrame, config: TrackConf
 
     One video is followed in order; videos are the parallelism. A file with an error gives no tracks; a track has a start
     time if its video's timestamps reach its first frame."""
-    ship(cached.sparkSession)
     kind = ", ".join(f"{n} {'string' if n == 'confidence' else 'double' if n in _NUMBERS else 'long'}" for n in _NAMES)
     schema = f"video_name string, {kind}, {', '.join(f'{c} long' for c in _CORNERS)}, score double, path array<array<long>>"
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_no")
-        width, height, rate = int(rows["width"].iloc[0]), int(rows["height"].iloc[0]), float(rows["fps"].iloc[0])
-        frames = [(int(n), [(*(b[c] for c in ("x0", "y0", "x1", "y1", "mean_delta")), int(b["area"])) for b in boxes]) for n, boxes in zip(rows["frame_no"], rows["boxes"])]
-        found = [(t, summarise(t, rate, width, height, config)) for t in track_frames(frames, width, height, config)]
-        out = [(rows["video_name"].iloc[0], *(r[c] for c in _NAMES), *r["peak_box"], r["score"], [[n, *map(int, b[:4])] for n, b in t.history]) for t, r in found if r]
-        return pd.DataFrame(out, columns=["video_name", *_NAMES, *_CORNERS, "score", "path"])
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        first = next(rows)
+        width, height, rate = int(first[1]), int(first[2]), float(first[3])
+        frames = ((n, [(*(b[c] for c in ("x0", "y0", "x1", "y1", "mean_delta")), int(b["area"])) for b in boxes]) for n, *_, boxes in chain([first], rows))
+        for t in track_frames(frames, width, height, config):
+            if r := summarise(t, rate, width, height, config):
+                yield *(r[c] for c in _NAMES), *r["peak_box"], r["score"], [[n, *map(int, b[:4])] for n, b in t.history]
 
-    own = cached.where("error IS NULL AND boxes IS NOT NULL").groupBy("video_name").applyInPandas(step, schema)
+    rows = cached.where("error IS NULL AND boxes IS NOT NULL").select("video_name", "frame_no", "width", "height", "fps", "boxes")
+    own = fold(rows, "video_name", ["frame_no"], step, schema)
     times = timestamps.select(F.col("video_name").alias("v"), F.col("frame_no").alias("f"), iso_utc(F.col("seconds")).alias("start_time"))
     timed = own.join(times, (F.col("video_name") == F.col("v")) & (F.col("start_frame") == F.col("f")), "left")
     boxes = own.select("video_name", "track_id", F.explode("path").alias("b"))

@@ -103,3 +103,27 @@ def test_stamps_do_not_depend_on_the_session_zone(spark):
             assert tuple(r) == ("1970-01-02T00:00:00.250000+00:00", "20231114_221320", "1969-12-31 23:59:59.999")
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_fold_runs_streams_in_order_and_takes_what_it_needs(spark):
+    from ravelin.operators.sequences import CHUNK_ROWS, fold
+
+    n = 2 * CHUNK_ROWS + 5
+    rows = spark.range(3 * n).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("s"), (-F.floor(F.col("id") / 3)).alias("t"), F.lit("x").alias("v"))
+
+    def firsts(own):
+        yield next(own)  # the rest of the stream is left unread
+
+    assert sorted((r.s or 0, r.t, r.v) for r in fold(rows, "s", ["t"], firsts, "s long, t long, v string").collect()) == [(s, 1 - n, "x") for s in range(3)]
+    every = fold(rows, ["s", "v"], ["t"], lambda own: ((t, i) for i, (t,) in enumerate(own)), "s long, v string, t long, i long")
+    assert every.count() == 3 * n and every.where(f"t + {n - 1} <> i").isEmpty()
+    assert fold(rows.where("false"), "s", ["t"], firsts, "s long, t long, v string").isEmpty()
+
+
+def test_clips_hold_the_pre_roll_only():
+    from ravelin.operators.sequences import beside, catch_up_throttle, clips
+
+    rows = [(t, t % 97 == 0, t - t % 97) for t in range(0, 3000, 3)]
+    want = [min(x for x, *_ in rows if opened - x <= 40 and x <= opened) for _, opened, *_ in clips(rows, 40, 20)]
+    assert [first for _, _, first, *_ in clips(rows, 40, 20)] == want and len(want) > 5
+    assert list(beside([("a", 0), ("b", 1), ("c", 9)], catch_up_throttle, 5)) == [("a", True), ("b", False), ("c", True)]
