@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.functions.scalars import half_up
+from ravelin.functions.scalars import file_stamp, half_up, iso_utc
 from ravelin.operators.config import TierRule, TrackConfig
 
 
@@ -71,3 +71,48 @@ def tier_summary(tracks: DataFrame, video: str) -> DataFrame:
     tiers = tracks.sparkSession.createDataFrame([("high",), ("medium",), ("low",)], "confidence string")
     found = tracks.groupBy("confidence").agg(F.count("*").alias("tracks"), F.countDistinct(video).alias("videos"))
     return tiers.join(found, "confidence", "left").select("confidence", F.coalesce("tracks", F.lit(0)).alias("tracks"), F.coalesce("videos", F.lit(0)).alias("videos"))
+
+
+def segment_sidecars(
+    segments: DataFrame,
+    prefix: str,
+    height: int,
+    width: int,
+    fps: float,
+    suffix: str = "mp4",
+    raw_every_n: int | None = 1,
+    timestamps: bool = True,
+    rotate: int = 0,
+    temperatures: tuple[float, float] | None = None,
+) -> DataFrame:
+    """What is told of each segment beside its files, from (start_us, end_us, frame_count, marker_mismatches).
+
+    ``raw_every_n`` of None keeps no raw planes; without ``temperatures`` the camera's own gain makes the picture. A segment
+    of no duration has a rate of 0."""
+    own = F.concat(F.lit(prefix + "_"), file_stamp(F.col("start_us")))
+    seconds = (F.col("end_us") - F.col("start_us")) / F.lit(1e6)
+    if rotate in (90, 270):
+        height, width = width, height
+    raw = raw_every_n is not None
+    low, high = temperatures or (None, None)
+    shape = F.array(F.ceil(F.col("frame_count") / F.lit(raw_every_n or 1)).cast("long"), F.lit(height).cast("long"), F.lit(width).cast("long"))
+    local = lambda c: F.regexp_replace(iso_utc(F.col(c) / F.lit(1e6)), r"\+00:00$", "")
+    return segments.select(
+        F.concat(own, F.lit("." + suffix)).alias("video_file"),
+        (F.concat(own, F.lit("_raw.dat")) if raw else F.lit(None).cast("string")).alias("raw_file"),
+        F.lit("uint16" if raw else None).cast("string").alias("raw_dtype"),
+        F.lit(raw_every_n).cast("long").alias("raw_every_n"),
+        (shape if raw else F.lit(None).cast("array<long>")).alias("raw_shape"),
+        (F.concat(own, F.lit("_timestamps.txt")) if timestamps else F.lit(None).cast("string")).alias("timestamps_file"),
+        F.lit(rotate).alias("rotate_degrees"),
+        F.lit("fixed_temp_range" if temperatures else "hardware_agc").alias("video_source"),
+        F.lit(low).cast("double").alias("temp_min_c"),
+        F.lit(high).cast("double").alias("temp_max_c"),
+        local("start_us").alias("start_time"),
+        local("end_us").alias("end_time"),
+        half_up(seconds, 2).alias("duration_seconds"),
+        "frame_count",
+        F.lit(float(fps)).alias("target_fps"),
+        F.when(seconds > 0, half_up(F.col("frame_count") / seconds, 2)).otherwise(0.0).alias("achieved_fps"),
+        "marker_mismatches",
+    )

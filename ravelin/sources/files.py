@@ -21,6 +21,11 @@ def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
+def recording(path: Column, kind: str) -> Column:
+    """The recording that a file beside it belongs to: ``<recording>_<kind>`` with any last suffix, or ``<recording>`` alone."""
+    return F.regexp_replace(stem(path), f"_{kind}$", "")
+
+
 def read_detection_cache(spark: SparkSession, path: str, stems: list[str] | None = None) -> DataFrame:
     """A row for each frame of each cache file: video_name, fps, width, height, frame_no, boxes and error.
 
@@ -40,15 +45,20 @@ def read_detection_cache(spark: SparkSession, path: str, stems: list[str] | None
 
 
 def read_timestamps(spark: SparkSession, path: str) -> DataFrame:
-    """video_name, frame_no and seconds; a file with anything but numbers gives no rows, as if it were missing."""
-    files = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("video_name"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("words"))
+    """video_name, frame_no and seconds; a file with anything but numbers gives no rows, as if it were missing.
+
+    A file is of the video that its name tells, or its folder if ``write_timestamps`` wrote it."""
+    at = F.col("_metadata.file_path")
+    folder = F.url_decode(F.url_decode(F.regexp_extract(at, "/video_name=([^/]*)/[^/]*$", 1)))  # escaped in the path, and as a URI
+    name = F.when(folder != "", folder).otherwise(recording(at, "timestamps"))
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(name.alias("video_name"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("words"))
     numbers = files.select("video_name", F.transform("words", lambda w: w.try_cast("double")).alias("numbers"))
     good = numbers.where(~F.exists("numbers", lambda x: x.isNull()))
     return good.select("video_name", F.posexplode("numbers").alias("frame_no", "seconds")).withColumn("frame_no", F.col("frame_no").cast("long"))
 
 
 def read_raw(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
-    """Frames of headless 16-bit files: video_name, frame_no, px; an incomplete last frame is dropped."""
+    """Frames of headless 16-bit files, ``<video_name>_raw`` or ``<video_name>``: video_name, frame_no, px; an incomplete last frame is dropped."""
     ship(spark)
     size = 2 * height * width
 
@@ -59,7 +69,7 @@ def read_raw(spark: SparkSession, path: str, height: int, width: int) -> DataFra
                     px = np.frombuffer(content, "<u2", height * width, n * size).astype(np.int32)
                     yield pd.DataFrame({"video_name": [name], "frame_no": [n], "px": [px]})
 
-    files = spark.read.format("binaryFile").load(path).select(stem(F.col("path")).alias("video_name"), "content")
+    files = spark.read.format("binaryFile").load(path).select(recording(F.col("path"), "raw").alias("video_name"), "content")
     return files.mapInPandas(split, "video_name string, frame_no long, px array<int>")
 
 
@@ -89,6 +99,18 @@ def write_paths(boxes: DataFrame, path: str, video: str = "stream_id") -> None:
     tracks.groupBy(video).agg(F.map_from_entries(F.collect_list(F.struct(F.col("track_id").cast("string"), "path"))).alias("tracks")).write.mode("overwrite").json(path)
 
 
+def write_timestamps(frames: DataFrame, path: str) -> None:
+    """A file of seconds, one a line in frame order, for each video_name; null times are left out. A video is one task's."""
+    times = frames.where("seconds IS NOT NULL").select("video_name", "frame_no", F.col("seconds").cast("double").cast("string").alias("value"))
+    sorted_times = times.repartition("video_name").sortWithinPartitions("video_name", "frame_no")
+    sorted_times.select("video_name", "value").write.mode("overwrite").partitionBy("video_name").text(path)
+
+
+def write_sidecars(segments: DataFrame, path: str) -> None:
+    """A JSON line for each segment of ``summary.segment_sidecars``, nulls written out."""
+    segments.write.mode("append").option("ignoreNullFields", False).json(path)
+
+
 def append_run_log(segments: DataFrame, path: str) -> None:
     """Segments' figures as CSV with a header in each file."""
     segments.write.mode("append").option("header", True).csv(path)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ravelin.operators.config import DetectorConfig, TrackConfig
 from ravelin.operators.joins import as_of, within
+from ravelin.operators.summary import segment_sidecars
 from ravelin.operators.tracker import Tracker, live_event
 from ravelin.sources import files
 from ravelin.streaming.tracking import stream_events
@@ -127,3 +128,34 @@ def test_clips_hold_the_pre_roll_only():
     want = [min(x for x, *_ in rows if opened - x <= 40 and x <= opened) for _, opened, *_ in clips(rows, 40, 20)]
     assert [first for _, _, first, *_ in clips(rows, 40, 20)] == want and len(want) > 5
     assert list(beside([("a", 0), ("b", 1), ("c", 9)], catch_up_throttle, 5)) == [("a", True), ("b", False), ("c", True)]
+
+
+def test_files_beside_a_recording_have_its_name(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "r").mkdir()
+    (tmp_path / "t" / "a_timestamps.txt").write_text("1.5\n2.5\n")
+    (tmp_path / "r" / "a_raw.dat").write_bytes(np.arange(6, dtype="<u2").tobytes())
+    assert {r.video_name for r in files.read_timestamps(spark, str(tmp_path / "t")).collect()} == {"a"}
+    assert [(r.video_name, r.frame_no) for r in files.read_raw(spark, str(tmp_path / "r"), 2, 3).collect()] == [("a", 0)]
+
+
+def test_timestamps_come_back(spark, tmp_path):
+    rows = [(v, n, 1700000000.25 + n / 3) for v in ("a", "7", "b c%d=e") for n in range(50)]
+    frames = spark.createDataFrame(rows[::-1] + [("a", 50, None)], "video_name string, frame_no long, seconds double").repartition(5)
+    files.write_timestamps(frames, str(tmp_path / "t"))
+    got = files.read_timestamps(spark, str(tmp_path / "t")).collect()
+    assert sorted((r.video_name, r.frame_no, r.seconds) for r in got) == sorted(rows)
+
+
+def test_segment_sidecars(spark, tmp_path):
+    kind = "start_us long, end_us long, frame_count long, marker_mismatches long"
+    segments = spark.createDataFrame([(1_700_000_000_000_000, 1_700_000_003_500_000, 40, 1), (1_700_000_100_000_000, 1_700_000_100_000_000, 1, 0)], kind)
+    files.write_sidecars(segment_sidecars(segments, "thermal", 120, 160, 12.5, raw_every_n=3, rotate=90), str(tmp_path / "s"))
+    first, second = sorted((json.loads(r.value) for r in spark.read.text(str(tmp_path / "s")).collect()), key=lambda r: r["start_time"])
+    assert len(first) == 17 and first["video_file"] == "thermal_20231114_221320.mp4" and first["raw_file"] == "thermal_20231114_221320_raw.dat"
+    assert first["raw_shape"] == [14, 160, 120] and first["temp_min_c"] is None and first["video_source"] == "hardware_agc"
+    assert first["start_time"] == "2023-11-14T22:13:20" and first["end_time"] == "2023-11-14T22:13:23.500000"
+    assert (first["duration_seconds"], first["achieved_fps"], first["marker_mismatches"]) == (3.5, 11.43, 1)
+    assert (second["duration_seconds"], second["achieved_fps"]) == (0.0, 0.0)
+    plain = segment_sidecars(segments, "thermal", 120, 160, 12.5, raw_every_n=None, timestamps=False, temperatures=(0.0, 40.0)).first()
+    assert plain.raw_file is None and plain.raw_shape is None and plain.timestamps_file is None and plain.temp_max_c == 40.0
