@@ -40,10 +40,10 @@ def tidied(run: Callable[..., Iterator[Any]]) -> Callable[..., Iterator[Any]]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are long, so Arrow batches of the default number of rows would take much memory on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > CHUNK_ROWS:
-        spark.conf.set(name, str(CHUNK_ROWS))
+    """Texts are long, so Arrow batches of the default number of rows or bytes would take much memory on both sides."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", CHUNK_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", CHUNK_BYTES)):
+        if not 0 < int(spark.conf.get(name).removesuffix("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def schema_of(ddl: str | T.StructType) -> T.StructType:

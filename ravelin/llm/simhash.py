@@ -276,9 +276,12 @@ def wide_fingerprint(own: np.ndarray) -> np.ndarray:
 
 
 def with_hashes(docs: DataFrame) -> DataFrame:
-    """``docs`` with a text hash of two longs, and a hash of the whole row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text), "row_hash": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
+    """The row under ``doc``, so that its columns may have any name; its doc_id and text; a hash of the text of two longs, and
+    a hash of the row."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    hashes = F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.xxhash64(*columns).alias("row_hash")
+    return docs.select(F.struct(*columns).alias("doc"), docs["doc_id"], docs["text"], *hashes)
 
 
 def _frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:

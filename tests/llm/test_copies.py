@@ -53,3 +53,26 @@ def test_the_last_stage_returns_token_ids(spark, sf_dir):
     rows = P.encode(spark, docs, sf_dir).collect()
     assert sorted(r.n_tokens for r in rows)[0] == 0 and len(rows) == 3
     assert all(len(r.ids) == r.n_tokens and hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 for r in rows)
+
+
+def test_columns_of_any_name_stay_as_they_are(spark, sf_dir):
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    text = [" ".join(f"{c}{j}" for j in range(50)) for c in "ab"]
+    rows = [(1, text[0], 11), (2, text[0], 12), (3, text[1], 13), (4, None, 14), (4, None, 14), (5, " \n", 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t1 long")
+    more = {"t2": F.lit("x"), "row_hash": F.col("doc_id").cast("int"), "group": F.lit(2.5), "part": F.lit(True), "doc": F.lit("d"), "set": F.col("t1"), "n": F.lit(None).cast("string"), "texts": F.col("text"), "score": F.lit(1), "key": F.lit("k"), "size": F.lit(9), "label": F.lit(3), "h": F.lit(4)}
+    docs = docs.withColumns(more).withColumn("a.b", F.array(F.lit(1))).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text"))
+    kept = P.drop_near_duplicates(spark, docs, sf_dir)
+    assert kept.schema == docs.schema
+    want = {r.doc_id: r for r in docs.collect()}
+    assert sorted(kept.collect(), key=lambda r: r.doc_id) == [want[1], want[3], want[4]]
+    for stage in (P.keep_quality, P.drop_toxic):
+        for part in (docs, docs.where("false")):
+            found = stage(spark, part, sf_dir)
+            assert found.columns == docs.columns and {str(r) for r in found.collect()} <= {str(r) for r in part.collect()}
+    mixed = P.mix_sources(spark, docs, sf_dir)
+    assert mixed.columns == docs.columns and {r.t1 for r in mixed.collect()} <= {11, 12, 13} and mixed.count() > 3
+    assert P.mix_sources(spark, docs.where("false"), sf_dir).count() == 0
+    assert P.encode(spark, docs, sf_dir).count() == 6 and P.encode(spark, docs.where("false"), sf_dir).count() == 0
