@@ -18,13 +18,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; fitted on those of its input that are labelled."""
+    """Documents that the quality classifier doesn't reject; fitted on those of its input that are labelled.
+
+    A null text is scored as an empty one, whole texts of any length count; rows whose score is the threshold stay, repeated
+    rows fare alike, an empty table and one without labels of both classes are kept as they are."""
     score = quality.score_of(spark, quality.fit(docs, table(spark, sf_dir, "labels")))
     return docs.where(score(docs["text"]) >= quality.THRESHOLD)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
+    """Documents that the toxicity classifier doesn't reject; fitted on those of its input that are labelled.
+
+    Null and empty texts have the score of a text without known words; rows whose score is 0.5 go, repeated rows fare alike,
+    an empty table and one without labels of both classes are kept as they are."""
     score = toxicity.score_of(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return docs.where(score(docs["text"]) < 0.5)
 
@@ -40,11 +46,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     firsts = cut(simhash.similar_groups(hashed).groupBy("group", "part").agg(F.min(order).alias("first")).select(*[F.col(f"first.{c}").alias(f"first_{c}") for c in row]))
     same = [hashed[c] == firsts[f"first_{c}"] for c in row]
     joined = hashed.join(firsts.hint("merge"), same, "left_semi")
-    return joined.dropDuplicates(row).select(*[joined[f"`{c}`"] for c in docs.columns])  # of equal rows one
+    return joined.dropDuplicates(row).select("doc.*")  # of equal rows one
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's rows: for each pass over a document a row for each run of words taken, with the text that they span."""
+    """The mix's rows: for each pass over a document a row for each run of words taken, with the text that they span.
+
+    Null, empty and wordless texts are never taken; a long text may be cut where a block ends; a null source is a source,
+    repeated rows are documents of their own, an empty table gives an empty one. Other columns are kept, n_chars follows."""
     kind = docs.schema
     columns = docs.columns
     at = columns.index("text")
@@ -83,7 +92,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the token ids of each row, with their number and the digests that tell whether they decode to the text."""
+    """doc_id and the token ids of each row, with their number and the digests that tell whether they decode to the text.
+
+    A null text has the ids of an empty one, none; a null doc_id and repeated rows are kept, other columns aren't read, an
+    empty table gives an empty one."""
     return bpe.encode(docs, emit=bpe.ids_and_digests, emitted="n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
