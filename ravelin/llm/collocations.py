@@ -5,8 +5,13 @@ languages are different words. A task sorts the suffixes of a shard of at most `
 numpy, as far as the longest phrase needs. Between neighbours in that order, the number of words that they share gives the
 LCP intervals: a run of suffixes that share n words is an n-gram, its length the count. A wall between pieces is a number of
 its own, so no interval reaches over it. A shard gives out each of its n-grams once, which is what combines counts before
-the only shuffle of the corpus, by phrase and language; sums there are exact. A text longer than a shard goes on in the next
-one, which begins with the words that the last phrases of the shard before still need.
+they are shuffled, by phrase and language; sums there are exact. A text longer than a shard goes on in the next one, which
+begins with the words that the last phrases of the shard before still need.
+
+Most phrases of three words occur once, so they would be most of what is shuffled. They are counted in a second pass, of
+those whose both pairs of words are frequent enough: a longer phrase can't be more frequent than its parts. The pairs are told
+by a bitmap of fixed size; an infrequent one that it lets through costs a row and is counted like any other, so the bitmap
+bears on the work only. It fills up as the corpus grows, and then the second pass shuffles more.
 
 A phrase of frequency a that is cut into parts of frequencies l and r has the score floor(10^6 * a * a / (l * r)); its
 lowest-scoring cut counts. Arithmetic is in decimals of 38 places, exact for frequencies up to 10^16. What is left after the
@@ -19,6 +24,7 @@ by the phrase's bytes.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import Any
@@ -26,6 +32,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +41,9 @@ from ravelin.session import ship
 
 MOST_WORDS, LEAST, COVERED_PERCENT, TOP = 3, 10, 50, 2000
 SHARD_WORDS, SLICE_BYTES, ROWS_OUT = 1 << 19, 4 << 20, 1 << 15
+#: Bits of the bitmap of frequent phrases, places of each in it, and the blocks in which it is put together.
+FILTER_BITS, PLACES, FILTER_BLOCKS = 1 << 26, 2, 64
+KIND = "lang string, phrase string, words int, f long"
 #: Groups of a language that are ranked by themselves first.
 RANK_PARTS = 64
 #: Separators all become a full stop, which is one, and a tab a blank.
@@ -77,11 +87,31 @@ def intervals(ids: np.ndarray, walls: np.ndarray, starts: int, most: int) -> Ite
         yield length, order[first[kept]], count[kept]
 
 
+def word_hashes(words: list[bytes], languages: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, len(lang) + zlib.crc32(lang.encode("utf-8"))) for w, lang in zip(words, languages)), np.uint64, len(words))
+
+
+def places(hashes: list[np.ndarray], bits: int) -> Iterator[np.ndarray]:
+    """Where phrases stand in a bitmap of ``bits``, a power of two, from the hashes of their first, second, ... words."""
+    mixed = np.zeros(len(hashes[0]), np.uint64)
+    for h in hashes:
+        mixed = (mixed ^ h) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    for n in range(PLACES):
+        yield (mixed >> np.uint64(32 * n) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def held(bitmap: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+    """Which phrases are in the bitmap, or seem to be."""
+    return np.logical_and.reduce([bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1 for at in places(hashes, 8 * len(bitmap))])
+
+
 class Shard:
-    """Gathers words; gives out n-grams when it is full."""
+    """Gathers words; gives out n-grams of ``lengths`` when it is full. With a bitmap, only those whose parts that are a word
+    shorter are in it."""
 
-    def __init__(self, most: int, size: int) -> None:
-        self.most, self.size = most, size
+    def __init__(self, lengths: tuple[int, ...], size: int, bitmap: np.ndarray | None = None) -> None:
+        self.lengths, self.most, self.size, self.bitmap = lengths, max(lengths), size, bitmap
         self.clear()
 
     def clear(self) -> None:
@@ -124,7 +154,13 @@ class Shard:
             words = pa.array(self.words, pa.binary()).cast(pa.string())
             tags = pa.array(self.languages, pa.string()).take(pa.array(self.language_of, pa.int64()))
             total = defaultdict(int)
+            own_hashes = None if self.bitmap is None else np.append(word_hashes(self.words, [self.languages[n] for n in self.language_of]), np.uint64(0))[np.minimum(ids, len(self.words))]
             for length, at, count in intervals(ids, walls, len(ids) - waits, self.most):
+                if length not in self.lengths:
+                    continue
+                if own_hashes is not None:
+                    kept = np.logical_and.reduce([held(self.bitmap, [own_hashes[at + first + k] for k in range(length - 1)]) for first in (0, 1)])
+                    at, count = at[kept], count[kept]
                 for low in range(0, len(at), ROWS_OUT):
                     own = at[low : low + ROWS_OUT]
                     if length == 1:
@@ -158,13 +194,15 @@ def slices(text: str) -> Iterator[list[bytes]]:
     yield [b"."]
 
 
-def shard_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST_WORDS, size: int = SHARD_WORDS) -> DataFrame:
-    """lang, phrase, words and f, the n-grams of each shard with their counts; a phrase of no words has the number of all."""
+def shard_counts(docs: DataFrame, lengths: tuple[int, ...], text_col: str = "text", lang_col: str = "lang", bitmap: np.ndarray | None = None, size: int = SHARD_WORDS) -> DataFrame:
+    """lang, phrase, words and f, the n-grams of each shard with their counts; for single words also the number of all, as a
+    phrase of no words."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(most, size)
+        shard = Shard(lengths, size, shared.value)
         for batch in batches:
             for language, text in zip(*batch.columns):
                 for words in slices(text.as_py()):
@@ -175,22 +213,66 @@ def shard_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         yield from shard.out(True)
 
     rows = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")), F.coalesce(docs[text_col], F.lit("")))
-    return rows.mapInArrow(tidied(run), "lang string, phrase string, words int, f long")
+    return rows.mapInArrow(tidied(run), KIND)
+
+
+def merged(own: DataFrame, least: int) -> DataFrame:
+    """The counts of all shards together, of phrases that occur ``least`` times or more."""
+    own = own.repartition("lang", "phrase")  # shards have combined already
+    total = own.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("f").alias("f"))
+    return total.where((F.col("f") >= least) | (F.col("words") == 0))
 
 
-def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST_WORDS, least: int = LEAST) -> DataFrame:
-    """lang, phrase, words, f: of all phrases of up to ``most`` words that occur ``least`` times or more, in all shards
-    together; and the number of all words with an empty phrase."""
-    own = shard_counts(docs, text_col, lang_col, most).repartition("lang", "phrase")  # shards have combined already
-    merged = own.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("f").alias("f"))
-    return merged.where((F.col("f") >= least) | (F.col("words") == 0))
+def frequent_bitmap(grams: DataFrame, total_bits: int = FILTER_BITS) -> np.ndarray:
+    """The bitmap of phrases (lang, phrase). Tasks give their parts of it in blocks, which are put together by block."""
+    size = total_bits // 8 // FILTER_BLOCKS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(total_bits, bool)
+        for batch in batches:
+            by_length = defaultdict(list)
+            for lang, phrase in zip(*(c.to_pylist() for c in batch.columns)):
+                words = phrase.encode("utf-8").split(b" ")
+                by_length[len(words)].append((lang, words))
+            for length, rows in by_length.items():
+                langs = [lang for lang, _ in rows]
+                for at in places([word_hashes([w[k] for _, w in rows], langs) for k in range(length)], total_bits):
+                    bits[at] = True
+        packed = np.packbits(bits, bitorder="little").reshape(FILTER_BLOCKS, size)
+        kept = [n for n in range(FILTER_BLOCKS) if packed[n].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([zlib.compress(packed[n].tobytes(), 1) for n in kept], pa.binary())], names=["part", "bits"])
+
+    def join(own: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.uint8)
+        for raw in own.column("bits"):
+            total |= np.frombuffer(zlib.decompress(raw.as_py()), np.uint8)
+        return pa.table({"part": own.column("part")[:1], "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    parts = grams.select("lang", "phrase").mapInArrow(tidied(mark), "part int, bits binary")
+    parts = parts.withColumn("salt", F.spark_partition_id() % 16).groupBy("part", "salt").applyInArrow(lambda t: join(t.select(["part", "bits"])), "part int, bits binary")
+    out = np.zeros((FILTER_BLOCKS, size), np.uint8)
+    for r in parts.groupBy("part").applyInArrow(join, "part int, bits binary").collect():
+        out[r.part] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return out.ravel()
+
+
+def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST_WORDS, least: int = LEAST, bits: int = FILTER_BITS) -> DataFrame:
+    """lang, phrase, words, f: of all phrases of up to ``most`` words that occur ``least`` times or more; and the number of all
+    words with an empty phrase."""
+    known = cut(merged(shard_counts(docs, tuple(range(1, min(most, 2) + 1)), text_col, lang_col), least))
+    for length in range(3, most + 1):
+        shorter = known.where(F.col("words") == length - 1)
+        if shorter.isEmpty():
+            break
+        known = known.unionByName(cut(merged(shard_counts(docs, (length,), text_col, lang_col, frequent_bitmap(shorter, bits)), least)))
+    return known
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = MOST_WORDS, least: int = LEAST, covered: int = COVERED_PERCENT, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best ``top`` phrases of 2 to ``most`` words.
 
     A phrase is left out if a longer one of at least ``covered`` percent of its frequency holds it."""
-    known = cut(counts(docs, text_col, lang_col, most, least))
+    known = counts(docs, text_col, lang_col, most, least)
     grams = known.where("words > 0")
     totals = known.where("words = 0").select("lang", F.col("f").alias("n"))
     of = grams.select("lang", F.col("phrase").alias("part"), F.col("f").alias("part_f"))

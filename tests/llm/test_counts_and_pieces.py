@@ -57,10 +57,10 @@ def test_collocations_query(spark, sf_dir, duck):
 
 
 @pytest.mark.parametrize("size", [7, 64, 1 << 19])
-def test_collocations_are_those_of_brute_force(spark, size, monkeypatch):
+def test_collocations_are_those_of_brute_force(spark, size):
     rows = text_rows()
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string").selectExpr("*", "1 AS phrase", "'x' AS f", "2 AS `a.b`").repartition(3)
-    own = collocations.shard_counts(docs, size=size).groupBy("lang", "phrase").sum("f").collect()
+    own = collocations.shard_counts(docs, (1, 2, 3), size=size).groupBy("lang", "phrase").sum("f").collect()
     want = slow_counts(rows)
     flat = {(lang, " ".join(p)): c for lang, f in want.items() for p, c in f.items()} | {(lang, ""): sum(c for p, c in f.items() if len(p) == 1) for lang, f in want.items() if f}
     assert {(r.lang, r.phrase): r[2] for r in own} == flat
@@ -68,6 +68,8 @@ def test_collocations_are_those_of_brute_force(spark, size, monkeypatch):
         for least, covered, top in ((10, 50, 2000), (3, 90, 5)):
             got = collocations.collocations(docs, least=least, covered=covered, top=top).collect()
             assert sorted(tuple(r) for r in got) == slow_collocations(rows, least, covered, top) != []
+        few, many = (sorted(tuple(r) for r in collocations.counts(docs, least=3, bits=bits).collect()) for bits in (512, 1 << 20))  # few bits let much through
+        assert few == many
         assert collocations.collocations(docs.where("false")).count() == 0
 
 
