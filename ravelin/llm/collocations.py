@@ -40,10 +40,10 @@ from ravelin.llm.common import cut, small_batches, table, tidied
 from ravelin.session import ship
 
 MOST_WORDS, LEAST, COVERED_PERCENT, TOP = 3, 10, 50, 2000
-SHARD_WORDS, SLICE_BYTES, ROWS_OUT = 1 << 19, 4 << 20, 1 << 15
+SHARD_WORDS, SLICE_BYTES, ROWS_OUT = 1 << 20, 4 << 20, 1 << 15
 #: Bits of the bitmap of frequent phrases, places of each in it, and the blocks in which it is put together.
 FILTER_BITS, PLACES, FILTER_BLOCKS = 1 << 26, 2, 64
-KIND = "lang string, phrase string, words int, f long"
+KIND = "lang string, phrase string, f long"
 #: Groups of a language that are ranked by themselves first.
 RANK_PARTS = 64
 #: Separators all become a full stop, which is one, and a tab a blank.
@@ -168,18 +168,17 @@ class Shard:
                             total[self.language_of[n]] += c
                     parts = [words.take(pa.array(ids[own + k])) for k in range(length)]
                     phrase = pc.binary_join_element_wise(*parts, " ")
-                    yield _batch(tags.take(pa.array(ids[own])), phrase, length, count[low : low + ROWS_OUT])
+                    yield _batch(tags.take(pa.array(ids[own])), phrase, count[low : low + ROWS_OUT])
             if total:
-                yield _batch(pa.array([self.languages[n] for n in total]), pa.array([""] * len(total)), 0, np.array(list(total.values())))
+                yield _batch(pa.array([self.languages[n] for n in total]), pa.array([""] * len(total)), np.array(list(total.values())))
         tail = [("", b".") if walls[n] else (self.languages[self.language_of[ids[n]]], self.words[ids[n]]) for n in range(len(ids) - waits, len(ids))]
         self.clear()
         for language, word in tail:
             self.add(language, [word])
 
 
-def _batch(languages: pa.Array, phrases: pa.Array, length: int, counts: np.ndarray) -> pa.RecordBatch:
-    n = len(phrases)
-    return pa.RecordBatch.from_arrays([languages.cast(pa.string()), phrases.cast(pa.string()), pa.array(np.full(n, length, np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "words", "f"])
+def _batch(languages: pa.Array, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([languages.cast(pa.string()), phrases.cast(pa.string()), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "f"])
 
 
 def slices(text: str) -> Iterator[list[bytes]]:
@@ -195,7 +194,7 @@ def slices(text: str) -> Iterator[list[bytes]]:
 
 
 def shard_counts(docs: DataFrame, lengths: tuple[int, ...], text_col: str = "text", lang_col: str = "lang", bitmap: np.ndarray | None = None, size: int = SHARD_WORDS) -> DataFrame:
-    """lang, phrase, words and f, the n-grams of each shard with their counts; for single words also the number of all, as a
+    """lang, phrase and f, the n-grams of each shard with their counts; for single words also the number of all, as a
     phrase of no words."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
@@ -219,8 +218,8 @@ def shard_counts(docs: DataFrame, lengths: tuple[int, ...], text_col: str = "tex
 def merged(own: DataFrame, least: int) -> DataFrame:
     """The counts of all shards together, of phrases that occur ``least`` times or more."""
     own = own.repartition("lang", "phrase")  # shards have combined already
-    total = own.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("f").alias("f"))
-    return total.where((F.col("f") >= least) | (F.col("words") == 0))
+    total = own.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
+    return total.select("lang", "phrase", F.when(F.col("phrase") != "", F.size(F.split("phrase", " "))).otherwise(0).alias("words"), "f")
 
 
 def frequent_bitmap(grams: DataFrame, total_bits: int = FILTER_BITS) -> np.ndarray:
@@ -297,6 +296,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         worst = worst.join(holders, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a")))
     found = worst.select("lang", "phrase", "a", F.col("at.l").alias("l"), F.col("at.r").alias("r"), "at.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # A language's last ranking is of at most top * RANK_PARTS phrases, whatever the corpus.
     part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
     found = found.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
