@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 from itertools import groupby, islice, tee
 from typing import Any
 
@@ -76,29 +77,49 @@ def statistics_windows(times: Iterable[int], length: int) -> Iterator[tuple[int,
             start, rows = t, 0
 
 
+@dataclass
+class Clip:
+    """The clip of a stream while it goes on, and the times of the last ``pre``."""
+
+    pre: int
+    post: int
+    held: deque[int] = field(default_factory=deque)
+    opened: list[int] | None = None  # trigger, opened, first frame's time, frames
+    now: int = 0
+
+    def step(self, t: int, active: bool, last: int | None) -> tuple[int, int, int, int, int, str] | None:
+        """Takes a row: its time, whether the trigger is active and when it was so last. Gives the clip that it closes."""
+        self.now = t
+        self.held.append(t)
+        while t - self.held[0] > self.pre:
+            self.held.popleft()
+        if self.opened is None:
+            if active:
+                self.opened = [last if last is not None else t, t, self.held[0], len(self.held)]
+            return None
+        self.opened[3] += 1
+        return self.close("post-roll elapsed") if not active and last is not None and t - last >= self.post else None
+
+    def close(self, why: str) -> tuple[int, int, int, int, int, str] | None:
+        if self.opened is None:
+            return None
+        trigger, opened, first, frames = self.opened
+        self.opened = None
+        return trigger, opened, first, self.now, frames, why
+
+
 def clips(rows: Iterable[tuple[int, bool, int | None]], pre: int, post: int) -> Iterator[tuple[int, int, int, int, int, str]]:
     """From (time, active, last active time): (trigger, opened, first frame's time, closed, frames, why) of each clip.
 
     A clip opens at an active row and takes the rows of the last ``pre`` too; it closes at the first inactive row that is
     ``post`` or more after the last activity, or when the rows end.
     """
-    held: deque[int] = deque()
-    clip: list[int] | None = None
-    t = 0
-    for t, active, last in rows:
-        held.append(t)
-        while t - held[0] > pre:
-            held.popleft()
-        if clip is None:
-            if active:
-                clip = [last if last is not None else t, t, held[0], len(held)]
-        else:
-            clip[3] += 1
-            if not active and last is not None and t - last >= post:
-                yield clip[0], clip[1], clip[2], t, clip[3], "post-roll elapsed"
-                clip = None
-    if clip is not None:
-        yield clip[0], clip[1], clip[2], t, clip[3], "shutdown"
+    clip = Clip(pre, post)
+    for row in rows:
+        if closed := clip.step(*row):
+            yield closed
+    if closed := clip.close("shutdown"):
+        yield closed
 
 
 def beside(rows: Iterable[tuple], rule: Callable[..., Iterator[Any]], *args: Any, **named: Any) -> Iterator[tuple[Any, Any]]:

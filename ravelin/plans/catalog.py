@@ -150,19 +150,12 @@ def register_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", scalars.clean(F.col("raw")).alias("name"))
 
 
-@query("SELECT * FROM (VALUES ('P1', 160::BIGINT, 120::BIGINT, 242::BIGINT, 77440::BIGINT, 77464::BIGINT), ('P3', 256, 192, 386, 197632, 197656)) t(model, width, height, frame_rows, frame_size, frame_read_size)")
-def model_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_config(spark: SparkSession) -> DataFrame:
+    """The sensor models' geometry: a table of fixed values, to be looked up."""
     rows = [(m, w, h, *[model_geometry(w, h)[k] for k in ("frame_rows", "frame_size", "frame_read_size")]) for m, (_, w, h) in MODELS.items()]
     return spark.createDataFrame(rows, "model string, width long, height long, frame_rows long, frame_size long, frame_read_size long")
 
 
-@query("""SELECT n AS native, w AS wanted, n::DOUBLE / ceil(n::DOUBLE / w - 1e-9) AS achieved, coalesce(nullif((n % 3)::DOUBLE, 0.0), 10.0)::DOUBLE AS rate
-    FROM (SELECT unnest(generate_series(20, 30)) AS n), (SELECT unnest([5, 8, 10, 12.5])::DOUBLE AS w)""")
-def rate_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(20, 31).select(F.col("id").alias("native"), F.explode(F.array(*map(F.lit, (5.0, 8.0, 10.0, 12.5)))).alias("wanted"))
-    return grid.select("native", "wanted", scalars.achieved_rate(F.col("native").cast("double"), F.col("wanted")).alias("achieved"), scalars.or_default((F.col("native") % 3).cast("double"), 10.0).alias("rate"))
-
-
 @query(f"""WITH {PX1} SELECT event_id, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.%g') AS shown, strftime(make_timestamp(us), '%Y%m%d_%H%M%S') AS file,
     strftime(make_timestamp(us // 1000000 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM px1""")
 def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,11 +500,6 @@ def _tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track_summary(spark, sf_dir).where(rank <= 1).select("stream_id", "track_id", "confidence")
 
 
-@query(_TRACKS + " SELECT stream_id, track_id, confidence FROM tracks WHERE CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END <= 1 AND stream_id IN (1, 2, 3, 5, 8, 13)")
-def tier_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiered(spark, sf_dir).where(F.col("stream_id").isin(1, 2, 3, 5, 8, 13))
-
-
 @query(_TRACKS + " SELECT stream_id, track_id, confidence FROM tracks WHERE CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END <= 1 AND stream_id IN (SELECT stream_id FROM px1 WHERE event_type = 'signup')")
 def tier_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks of the upper tiers in streams that have a signup."""
@@ -538,13 +526,6 @@ def _start_times(spark: SparkSession, sf_dir: str, timed: DataFrame) -> DataFram
     return track_summary(spark, sf_dir).join(times, ["stream_id", "start_frame"], "left").select("stream_id", "track_id", scalars.iso_utc(F.floor(F.col("us") / 1000000).cast("double")).alias("start_time"))
 
 
-@query(_TRACKS + """, times AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_no, epoch_us(ts) AS us FROM events)
-    SELECT t.stream_id, track_id, strftime(make_timestamp(us // 1000000 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS start_time FROM tracks t LEFT JOIN times e ON t.stream_id = e.stream_id AND t.start_frame = e.frame_no AND e.frame_no < 60""")
-def start_time_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timestamp lists here end after 60 frames: later tracks have no start time."""
-    return _start_times(spark, sf_dir, px1(spark, sf_dir).where("frame_no < 60"))
-
-
 @query(_TRACKS + """, times AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_no, epoch_us(ts) AS us FROM events)
     SELECT t.stream_id, track_id, strftime(make_timestamp(us // 1000000 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS start_time FROM tracks t LEFT JOIN times e ON t.stream_id = e.stream_id AND t.start_frame = e.frame_no""")
 def start_time_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -552,14 +533,6 @@ def start_time_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _start_times(spark, sf_dir, px1(spark, sf_dir))
 
 
-@query(_SHAPES + f""", n AS (SELECT stream_id, max(frame_no) AS last FROM px1 GROUP BY stream_id) SELECT u.stream_id, track_id, peak_frame, p.event_id FROM u JOIN n ON n.stream_id = u.stream_id JOIN px1 p ON p.stream_id = u.stream_id AND p.frame_no = peak_frame
-    WHERE delta >= 35 AND peak_frame > last - 40""")
-def event_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose peak frame is still among a stream's last 40."""
-    p = px1(spark, sf_dir).withColumn("last", F.max("frame_no").over(Window.partitionBy("stream_id"))).where("frame_no > last - 40")
-    return event_summary(spark, sf_dir).join(p.select("stream_id", F.col("frame_no").alias("peak_frame"), "event_id"), ["stream_id", "peak_frame"]).select("stream_id", "track_id", "peak_frame", "event_id")
-
-
 _EMITTED = f"least(end_frame + {CONFIG.max_age + 1}, last)"
 
 
@@ -643,7 +616,7 @@ def job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sidecar_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stream with its sensor's geometry; null for an unknown one."""
     model = F.when(F.col("stream_id") % 3 == 0, "P1").when(F.col("stream_id") % 3 == 1, "P3").otherwise("P9")
-    known = model_config(spark, sf_dir).select("model", "width", "height")
+    known = model_config(spark).select("model", "width", "height")
     return px1(spark, sf_dir).select("stream_id").distinct().withColumn("model", model).join(F.broadcast(known), "model", "left").select("stream_id", "model", "width", "height")
 
 

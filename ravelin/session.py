@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +25,27 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder, so that rounds don't compute it again and lost executors don't
+    matter: a checkpoint in spark.checkpoint.dir, or in a temporary folder where that is unset in local mode.
+
+    What its plan tells of its columns isn't kept, as that doubles with each join of a round."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            path = tempfile.mkdtemp(prefix="ravelin-checkpoint-")
+        sc.setCheckpointDir(path)
+    ship(spark)
+    name = "spark.sql.constraintPropagation.enabled"
+    told = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, told)

@@ -62,6 +62,15 @@ def px4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("boxes", F.count("*").over(Window.partitionBy("stream_id", "track_id"))).where("boxes >= 3").drop("boxes", "k")
 
 
+def px5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of up to six boxes, in which boxes often form chains: columns as of ``px3``, a frame for each six of a stream."""
+    p = px1(spark, sf_dir).where("event_type <> 'error'")
+    return p.selectExpr(
+        "stream_id", "frame_no div 6 AS frame_no", "frame_no % 6 AS k", "v", "4 + event_id % 9 AS bw", "4 + event_id % 7 AS bh",
+        "(10 * (frame_no % 6) + event_id % 7 + stream_id) % 130 AS x0", "12 * (event_id % 3) + stream_id % 60 AS y0",
+    ).selectExpr("stream_id", "frame_no", "k", "x0", "y0", "x0 + bw AS x1", "y0 + bh AS y1", "v AS mean_delta", "bw * bh AS area")
+
+
 #: The same in DuckDB's SQL, as common table expressions.
 PX1 = """px1 AS (
     SELECT *, ((40 * (frame_no + 3 * lost)) % 2048)::BIGINT AS cnt3 FROM (
@@ -90,3 +99,11 @@ PX4 = (
     + """, px4 AS (
     SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY stream_id, track_id) AS boxes FROM (SELECT *, frame_no // 12 AS track_id FROM px3 WHERE k = 0)) WHERE boxes >= 3)"""
 )
+PX5 = (
+    PX1
+    + """, px5 AS (
+    SELECT stream_id, frame_no, k, x0, y0, x0 + bw AS x1, y0 + bh AS y1, v AS mean_delta, bw * bh AS area FROM (
+        SELECT stream_id, frame_no // 6 AS frame_no, frame_no % 6 AS k, v, 4 + event_id % 9 AS bw, 4 + event_id % 7 AS bh,
+               (10 * (frame_no % 6) + event_id % 7 + stream_id) % 130 AS x0, 12 * (event_id % 3) + stream_id % 60 AS y0
+        FROM px1 WHERE event_type <> 'error'))"""
+)

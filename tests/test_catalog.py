@@ -59,4 +59,17 @@ def test_every_event_has_its_snapshot(spark, sf_dir):
 
 def test_every_track_has_its_start_time(spark, sf_dir):
     assert catalog.start_time_lookup_all(spark, sf_dir).where("start_time IS NULL").isEmpty()
-    assert not catalog.start_time_lookup(spark, sf_dir).where("start_time IS NULL").isEmpty()
+    short = catalog._start_times(spark, sf_dir, catalog.px1(spark, sf_dir).where("frame_no < 60"))  # a list that ends early
+    late = catalog.track_summary(spark, sf_dir).where("start_frame >= 60").count()
+    assert short.where("start_time IS NULL").count() == late > 0
+
+
+def test_models_geometry(spark):
+    assert {tuple(r) for r in catalog.model_config(spark).collect()} == {("P1", 160, 120, 242, 77440, 77464), ("P3", 256, 192, 386, 197632, 197656)}
+
+
+def test_registered_queries_read_whole_tables():
+    from ravelin.plans import split
+
+    assert not {"event_snapshots", "start_time_lookup", "tier_filter", "model_config", "rate_rounding"} & (set(catalog.QUERIES) | set(split.QUERIES))
+    assert not set(catalog.QUERIES) & set(split.QUERIES)
