@@ -40,7 +40,7 @@ from ravelin.llm.common import cut, small_batches, table, tidied
 from ravelin.session import ship
 
 MOST_WORDS, LEAST, COVERED_PERCENT, TOP = 3, 10, 50, 2000
-SHARD_WORDS, SLICE_BYTES, ROWS_OUT = 1 << 20, 4 << 20, 1 << 15
+SHARD_WORDS, SLICE_BYTES, ROWS_OUT = 1 << 19, 4 << 20, 1 << 15
 #: Bits of the bitmap of frequent phrases, places of each in it, and the blocks in which it is put together.
 FILTER_BITS, PLACES, FILTER_BLOCKS = 1 << 26, 2, 64
 KIND = "lang string, phrase string, f long"
@@ -53,13 +53,13 @@ _PLAIN = bytes(ord(".") if chr(b) in ".,;:!?\n\x0b\x0c\r" else ord(" ") if b ==
 def suffix_order(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Places ordered by their next ``most`` numbers (at least), and how many of these each shares with the place before it."""
     n = len(ids)
-    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-    order, sorted_by = np.argsort(rank, kind="stable"), 1
+    rank, sorted_by = ids.copy(), 1
+    order = np.argsort(rank) if most == 1 else np.zeros(n, np.int64)
     while sorted_by < most:
         later = np.zeros(n, np.int64)
         later[: n - sorted_by] = rank[sorted_by:] + 1
-        key = rank * (n + 1) + later
-        order = np.argsort(key, kind="stable")
+        key = rank * (int(rank.max(initial=0)) + 2) + later
+        order = np.argsort(key)  # the order of equal ones doesn't matter
         key = key[order]
         rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
         sorted_by *= 2
@@ -73,13 +73,13 @@ def suffix_order(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def intervals(ids: np.ndarray, walls: np.ndarray, starts: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length up to ``most``: the length, a place of each n-gram, and how often it begins before ``starts``."""
+def intervals(ids: np.ndarray, walls: np.ndarray, starts: int, lengths: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of ``lengths``: the length, a place of each n-gram, and how often it begins before ``starts``."""
     n = len(ids)
-    order, shared = suffix_order(ids, most)
+    order, shared = suffix_order(ids, max(lengths))
     ends = np.flatnonzero(walls)
     room = np.append(ends, n)[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # words up to the next wall
-    for length in range(1, most + 1):
+    for length in lengths:
         first = np.flatnonzero(shared < length)
         fits = (room[order] >= length) & (order < starts)
         count = np.add.reduceat(fits.astype(np.int64), first)
@@ -88,7 +88,8 @@ def intervals(ids: np.ndarray, walls: np.ndarray, starts: int, most: int) -> Ite
 
 
 def word_hashes(words: list[bytes], languages: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, len(lang) + zlib.crc32(lang.encode("utf-8"))) for w, lang in zip(words, languages)), np.uint64, len(words))
+    seeds = {lang: zlib.crc32(lang.encode("utf-8")) for lang in set(languages)}
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, map(seeds.__getitem__, languages)), np.uint64, len(words))
 
 
 def places(hashes: list[np.ndarray], bits: int) -> Iterator[np.ndarray]:
@@ -155,9 +156,7 @@ class Shard:
             tags = pa.array(self.languages, pa.string()).take(pa.array(self.language_of, pa.int64()))
             total = defaultdict(int)
             own_hashes = None if self.bitmap is None else np.append(word_hashes(self.words, [self.languages[n] for n in self.language_of]), np.uint64(0))[np.minimum(ids, len(self.words))]
-            for length, at, count in intervals(ids, walls, len(ids) - waits, self.most):
-                if length not in self.lengths:
-                    continue
+            for length, at, count in intervals(ids, walls, len(ids) - waits, self.lengths):
                 if own_hashes is not None:
                     kept = np.logical_and.reduce([held(self.bitmap, [own_hashes[at + first + k] for k in range(length - 1)]) for first in (0, 1)])
                     at, count = at[kept], count[kept]
