@@ -1,11 +1,14 @@
 """License scans: ordered signature rules behind a keyword prefilter, overlaps resolved by priority and containment.
 
 ``RULES`` are hand-written regular expressions over lower-cased text, made from a table of licenses by the forms in which
-texts state one: an SPDX tag, a full title, a "licensed under" notice, a short title, a web address. Each rule has a
-keyword that any match must contain. An Aho-Corasick pass over a text finds which keywords occur at all; only their rules
-run, so most texts run none. Detections are ordered by priority, then length: one that lies inside a detection that is taken
-is suppressed, and so is one that overlaps a detection of a higher priority. All runs in the rules are bounded (three
-blanks, words of 64 letters), so a rule takes time linear in a text.
+texts state one: an SPDX tag, a full title, a "licensed under" notice, a short title, a web address; and sentences that are
+found in the licenses themselves (``BODIES``). Each rule has a keyword that any match must contain. An Aho-Corasick pass over
+a text finds which keywords occur at all; only their rules run, so most texts run none. Detections are ordered by priority,
+then length: one that lies inside a detection that is taken is suppressed, and so is one that overlaps a detection of a
+higher priority.
+
+Rules are matched on the text with each run of white space as one blank, so lines may break anywhere, and places are turned
+back by a table of the runs. With that no rule needs a bound on blanks, words or lists, and none takes more than linear time.
 
 Base detections are counted apart, over words: phrases whose words stand consecutively.
 
@@ -16,6 +19,7 @@ gives an empty one; a null doc_id is kept; texts are scanned whole, whatever the
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 from typing import Any, NamedTuple
@@ -41,20 +45,20 @@ class Rule(NamedTuple):
     weight: float  # how sure a detection is, 0 to 1
 
 
-OR_LATER = r"(?: {0,3}(?:\+|or[ -]later|or \(at your option\) any later version))?"
+OR_LATER = r"(?: ?(?:\+|or[ -]later|or \(at your option\) any later version))?"
 
 #: label, SPDX ids, title as a pattern, a keyword that the title contains.
 LICENSES: list[tuple[str, str, str, str]] = [
-    ("agpl-3.0", r"agpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu )?affero general public licen[cs]e(?:,? {0,3}v(?:ersion|\.)? {0,3}3(?:\.0)?)?", "affero general public"),
-    ("lgpl-2.0", r"lgpl-2\.0(?:-only|-or-later|\+)?", r"gnu library general public licen[cs]e(?:,? {0,3}v(?:ersion|\.)? {0,3}2(?:\.0)?)?", "library general public"),
-    ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"(?:gnu )?lesser general public licen[cs]e,? {0,3}v(?:ersion|\.)? {0,3}2\.1", "lesser general public"),
-    ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu )?lesser general public licen[cs]e,? {0,3}v(?:ersion|\.)? {0,3}3(?:\.0)?", "lesser general public"),
-    ("gpl-1.0", r"gpl-1\.0(?:-only|-or-later|\+)?", r"gnu general public licen[cs]e,? {0,3}v(?:ersion|\.)? {0,3}1(?:\.0)?(?!\.?\d)", "gnu general public"),
-    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu general public licen[cs]e,? {0,3}v(?:ersion|\.)? {0,3}2(?:\.0)?(?!\.?\d)", "gnu general public"),
-    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", r"gnu general public licen[cs]e,? {0,3}v(?:ersion|\.)? {0,3}3(?:\.0)?(?!\.?\d)", "gnu general public"),
-    ("gfdl-1.3", r"gfdl-1\.3(?:-only|-or-later)?", r"gnu free documentation licen[cs]e(?:,? {0,3}v(?:ersion|\.)? {0,3}1\.3)?", "free documentation"),
-    ("apache-1.1", r"apache-1\.1", r"apache (?:software )?licen[cs]e,? {0,3}v(?:ersion|\.)? {0,3}1\.1", "apache"),
-    ("apache-2.0", r"apache-2\.0", r"apache (?:software )?licen[cs]e,? {0,3}\(?v(?:ersion|\.)? {0,3}2(?:\.0)?\)?", "apache"),
+    ("agpl-3.0", r"agpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu )?affero general public licen[cs]e(?:,? ?v(?:ersion|\.)? ?3(?:\.0)?)?", "affero general public"),
+    ("lgpl-2.0", r"lgpl-2\.0(?:-only|-or-later|\+)?", r"gnu library general public licen[cs]e(?:,? ?v(?:ersion|\.)? ?2(?:\.0)?)?", "library general public"),
+    ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"(?:gnu )?lesser general public licen[cs]e,? ?v(?:ersion|\.)? ?2\.1", "lesser general public"),
+    ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu )?lesser general public licen[cs]e,? ?v(?:ersion|\.)? ?3(?:\.0)?", "lesser general public"),
+    ("gpl-1.0", r"gpl-1\.0(?:-only|-or-later|\+)?", r"gnu general public licen[cs]e,? ?v(?:ersion|\.)? ?1(?:\.0)?(?!\.?\d)", "gnu general public"),
+    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu general public licen[cs]e,? ?v(?:ersion|\.)? ?2(?:\.0)?(?!\.?\d)", "gnu general public"),
+    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", r"gnu general public licen[cs]e,? ?v(?:ersion|\.)? ?3(?:\.0)?(?!\.?\d)", "gnu general public"),
+    ("gfdl-1.3", r"gfdl-1\.3(?:-only|-or-later)?", r"gnu free documentation licen[cs]e(?:,? ?v(?:ersion|\.)? ?1\.3)?", "free documentation"),
+    ("apache-1.1", r"apache-1\.1", r"apache (?:software )?licen[cs]e,? ?v(?:ersion|\.)? ?1\.1", "apache"),
+    ("apache-2.0", r"apache-2\.0", r"apache (?:software )?licen[cs]e,? ?\(?v(?:ersion|\.)? ?2(?:\.0)?\)?", "apache"),
     ("mit", r"mit", r"(?:the )?(?:mit|expat) licen[cs]e", "licen"),
     ("mit-0", r"mit-0", r"mit no attribution", "no attribution"),
     ("x11", r"x11", r"x11 licen[cs]e", "x11"),
@@ -64,18 +68,18 @@ LICENSES: list[tuple[str, str, str, str]] = [
     ("bsd-4-clause", r"bsd-4-clause(?:-uc)?", r"(?:(?:bsd[ -])?4-clause(?: bsd)?|original bsd) licen[cs]e", "licen"),
     ("0bsd", r"0bsd", r"zero[- ]clause bsd", "clause bsd"),
     ("isc", r"isc", r"isc licen[cs]e", "isc licen"),
-    ("mpl-1.1", r"mpl-1\.1", r"mozilla public licen[cs]e,? {0,3}v(?:ersion|\.)? {0,3}1\.1", "mozilla public"),
-    ("mpl-2.0", r"mpl-2\.0(?:-no-copyleft-exception)?", r"mozilla public licen[cs]e,? {0,3}v(?:ersion|\.)? {0,3}2(?:\.0)?", "mozilla public"),
-    ("epl-1.0", r"epl-1\.0", r"eclipse public licen[cs]e,? {0,3}-? {0,3}v(?:ersion|\.)? {0,3}1(?:\.0)?", "eclipse public"),
-    ("epl-2.0", r"epl-2\.0", r"eclipse public licen[cs]e,? {0,3}-? {0,3}v(?:ersion|\.)? {0,3}2(?:\.0)?", "eclipse public"),
+    ("mpl-1.1", r"mpl-1\.1", r"mozilla public licen[cs]e,? ?v(?:ersion|\.)? ?1\.1", "mozilla public"),
+    ("mpl-2.0", r"mpl-2\.0(?:-no-copyleft-exception)?", r"mozilla public licen[cs]e,? ?v(?:ersion|\.)? ?2(?:\.0)?", "mozilla public"),
+    ("epl-1.0", r"epl-1\.0", r"eclipse public licen[cs]e,? ?-? ?v(?:ersion|\.)? ?1(?:\.0)?", "eclipse public"),
+    ("epl-2.0", r"epl-2\.0", r"eclipse public licen[cs]e,? ?-? ?v(?:ersion|\.)? ?2(?:\.0)?", "eclipse public"),
     ("edl-1.0", r"edl-1\.0", r"eclipse distribution licen[cs]e", "eclipse distribution"),
     ("cpl-1.0", r"cpl-1\.0", r"common public licen[cs]e", "common public"),
     ("ipl-1.0", r"ipl-1\.0", r"ibm public licen[cs]e", "ibm public"),
-    ("cddl-1.0", r"cddl-1\.0", r"common development and distribution licen[cs]e(?:,? {0,3}v(?:ersion|\.)? {0,3}1(?:\.0)?)?", "common development"),
-    ("cddl-1.1", r"cddl-1\.1", r"common development and distribution licen[cs]e,? {0,3}v(?:ersion|\.)? {0,3}1\.1", "common development"),
-    ("artistic-1.0", r"artistic-1\.0(?:-perl)?", r"artistic licen[cs]e,? {0,3}v?(?:ersion)? {0,3}1(?:\.0)?", "artistic"),
-    ("artistic-2.0", r"artistic-2\.0", r"artistic licen[cs]e,? {0,3}v?(?:ersion)? {0,3}2(?:\.0)?", "artistic"),
-    ("bsl-1.0", r"bsl-1\.0", r"boost software licen[cs]e(?:,? {0,3}v(?:ersion|\.)? {0,3}1(?:\.0)?)?", "boost software"),
+    ("cddl-1.0", r"cddl-1\.0", r"common development and distribution licen[cs]e(?:,? ?v(?:ersion|\.)? ?1(?:\.0)?)?", "common development"),
+    ("cddl-1.1", r"cddl-1\.1", r"common development and distribution licen[cs]e,? ?v(?:ersion|\.)? ?1\.1", "common development"),
+    ("artistic-1.0", r"artistic-1\.0(?:-perl)?", r"artistic licen[cs]e,? ?v?(?:ersion)? ?1(?:\.0)?", "artistic"),
+    ("artistic-2.0", r"artistic-2\.0", r"artistic licen[cs]e,? ?v?(?:ersion)? ?2(?:\.0)?", "artistic"),
+    ("bsl-1.0", r"bsl-1\.0", r"boost software licen[cs]e(?:,? ?v(?:ersion|\.)? ?1(?:\.0)?)?", "boost software"),
     ("busl-1.1", r"busl-1\.1", r"business source licen[cs]e(?: 1\.1)?", "business source"),
     ("sspl-1.0", r"sspl-1\.0", r"server side public licen[cs]e", "server side public"),
     ("elastic-2.0", r"elastic-2\.0", r"elastic licen[cs]e(?: 2\.0)?", "elastic licen"),
@@ -86,14 +90,14 @@ LICENSES: list[tuple[str, str, str, str]] = [
     ("openssl", r"openssl", r"openssl licen[cs]e", "openssl"),
     ("python-2.0", r"(?:python-2\.0|psf-2\.0)", r"(?:python software foundation|psf|python) licen[cs]e", "licen"),
     ("ruby", r"ruby", r"ruby(?:'s)? licen[cs]e", "ruby"),
-    ("php-3.01", r"php-3\.01?", r"php licen[cs]e,? {0,3}(?:v(?:ersion|\.)? {0,3}3(?:\.01?)?)?", "php licen"),
+    ("php-3.01", r"php-3\.01?", r"php licen[cs]e,? ?(?:v(?:ersion|\.)? ?3(?:\.01?)?)?", "php licen"),
     ("postgresql", r"postgresql", r"postgresql licen[cs]e", "postgresql"),
     ("ncsa", r"ncsa", r"(?:university of illinois|uiuc|ncsa)(?:/ncsa)? open source licen[cs]e", "open source licen"),
     ("ecl-2.0", r"ecl-2\.0", r"educational community licen[cs]e", "educational community"),
-    ("eupl-1.1", r"eupl-1\.1", r"european union public licen[cs]e,? {0,3}v?(?:ersion|\.)? {0,3}1\.1", "european union public"),
-    ("eupl-1.2", r"eupl-1\.2", r"european union public licen[cs]e(?:,? {0,3}v?(?:ersion|\.)? {0,3}1\.2)?", "european union public"),
-    ("osl-3.0", r"osl-3\.0", r"open software licen[cs]e(?:,? {0,3}v?(?:ersion|\.)? {0,3}3(?:\.0)?)?", "open software"),
-    ("afl-3.0", r"afl-3\.0", r"academic free licen[cs]e(?:,? {0,3}v?(?:ersion|\.)? {0,3}3(?:\.0)?)?", "academic free"),
+    ("eupl-1.1", r"eupl-1\.1", r"european union public licen[cs]e,? ?v?(?:ersion|\.)? ?1\.1", "european union public"),
+    ("eupl-1.2", r"eupl-1\.2", r"european union public licen[cs]e(?:,? ?v?(?:ersion|\.)? ?1\.2)?", "european union public"),
+    ("osl-3.0", r"osl-3\.0", r"open software licen[cs]e(?:,? ?v?(?:ersion|\.)? ?3(?:\.0)?)?", "open software"),
+    ("afl-3.0", r"afl-3\.0", r"academic free licen[cs]e(?:,? ?v?(?:ersion|\.)? ?3(?:\.0)?)?", "academic free"),
     ("ms-pl", r"ms-pl", r"microsoft public licen[cs]e", "microsoft public"),
     ("ms-rl", r"ms-rl", r"microsoft reciprocal licen[cs]e", "microsoft reciprocal"),
     ("qpl-1.0", r"qpl-1\.0", r"q public licen[cs]e", "q public"),
@@ -102,7 +106,7 @@ LICENSES: list[tuple[str, str, str, str]] = [
     ("w3c", r"w3c(?:-\d+)?", r"w3c software (?:notice and )?licen[cs]e", "w3c software"),
     ("zpl-2.1", r"zpl-2\.1", r"zope public licen[cs]e", "zope public"),
     ("upl-1.0", r"upl-1\.0", r"universal permissive licen[cs]e", "universal permissive"),
-    ("ofl-1.1", r"ofl-1\.1(?:-rfn|-no-rfn)?", r"(?:sil )?open font licen[cs]e(?:,? {0,3}v?(?:ersion|\.)? {0,3}1\.1)?", "open font"),
+    ("ofl-1.1", r"ofl-1\.1(?:-rfn|-no-rfn)?", r"(?:sil )?open font licen[cs]e(?:,? ?v?(?:ersion|\.)? ?1\.1)?", "open font"),
     ("odbl-1.0", r"odbl-1\.0", r"open (?:data commons open )?database licen[cs]e", "database licen"),
     ("odc-by-1.0", r"odc-by-1\.0", r"open data commons attribution licen[cs]e", "open data commons"),
     ("pddl-1.0", r"pddl-1\.0", r"public domain dedication and licen[cs]e", "public domain dedication"),
@@ -147,9 +151,9 @@ FAMILIES: list[tuple[str, str, str]] = [
     ("public-domain", r"(?:dedicated to|released into|placed in|in) the public domain", "the public domain"),
     ("proprietary", r"all rights reserved", "all rights reserved"),
     ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", "proprietary"),
-    ("copyright", r"(?:copyright|\(c\)|©) {0,3}(?:\(c\)|©)? {0,3}\d{4}(?:[-, ]{1,3}\d{4})*", "copyright"),
-    ("copyright", r"(?:copyright|\(c\)|©) {0,3}(?:\(c\)|©)? {0,3}\d{4}(?:[-, ]{1,3}\d{4})*", "(c)"),
-    ("copyright", r"(?:copyright|\(c\)|©) {0,3}(?:\(c\)|©)? {0,3}\d{4}(?:[-, ]{1,3}\d{4})*", "©"),
+    ("copyright", r"(?:copyright|\(c\)|©) ?(?:\(c\)|©)? ?\d{4}(?:[-, ]+\d{4})*", "copyright"),
+    ("copyright", r"(?:copyright|\(c\)|©) ?(?:\(c\)|©)? ?\d{4}(?:[-, ]+\d{4})*", "(c)"),
+    ("copyright", r"(?:copyright|\(c\)|©) ?(?:\(c\)|©)? ?\d{4}(?:[-, ]+\d{4})*", "©"),
     ("no-ai", r"(?:may|must|shall) not be used (?:for|to) (?:train|the training of) (?:ai|machine learning|language) models?", "not be used"),
 ]
 
@@ -179,19 +183,59 @@ ADDRESSES: list[tuple[str, str, str]] = [
     ("cc-by-sa", r"creativecommons\.org/licenses/by-sa/\d\.\d", "creativecommons.org"),
     ("cc-by", r"creativecommons\.org/licenses/by/\d\.\d", "creativecommons.org"),
     ("odbl-1.0", r"opendatacommons\.org/licenses/odbl", "opendatacommons"),
-    ("eupl-1.2", r"joinup\.ec\.europa\.eu/\S{0,200}eupl", "eupl"),
+    ("eupl-1.2", r"joinup\.ec\.europa\.eu/(?:(?!joinup\.ec)\S)*?eupl", "eupl"),
+]
+
+
+_PUBLISHED = r"general public licen[cs]e,? as published by the free software foundation[;:,] ?(?:either )?version"
+_GRANT = r"permission is hereby granted, free of charge, to any person obtaining a copy of"
+_FEE = r"permission to use, copy, modify,? (?:and/or|and) distribute this software for any purpose with or without fee is hereby granted"
+
+#: Sentences of licenses: label, pattern, keyword, priority. A stronger one is the more special.
+BODIES: list[tuple[str, str, str, int]] = [
+    ("mit", _GRANT + r" this software and associated documentation files", "hereby granted", 4),
+    ("ncsa", _GRANT + r" this software and associated documentation files(?: \(the \W?software\W?\))?,? to deal with the software", "hereby granted", 5),
+    ("bsl-1.0", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", "hereby granted", 5),
+    ("ofl-1.1", _GRANT + r" the font software", "hereby granted", 5),
+    ("isc", _FEE + r",? provided that the above copyright notice", "hereby granted", 5),
+    ("0bsd", _FEE + r"(?!,? provided)", "hereby granted", 4),
+    ("postgresql", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted", "hereby granted", 5),
+    ("bsd", r"redistribution and use in source and binary forms, with or without modification, are permitted", "source and binary forms", 3),
+    ("bsd-3-clause", r"neither the names? of (?:(?!neither the)[^.;])*? nor the names of (?:its|the|their) contributors may be used to endorse or promote", "nor the names of", 4),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "advertising materials", 4),
+    ("apache-2.0", r"you may not use this file except in compliance with the licen[cs]e", "in compliance with the licen", 4),
+    ("apache-2.0", r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable", "hereby grants to you", 4),
+    ("gpl-2.0", r"gnu " + _PUBLISHED + r" 2(?!\.?\d)", "free software foundation", 5),
+    ("gpl-3.0", r"gnu " + _PUBLISHED + r" 3(?!\.?\d)", "free software foundation", 5),
+    ("lgpl-2.1", r"(?:gnu )?lesser " + _PUBLISHED + r" 2\.1", "free software foundation", 5),
+    ("lgpl-3.0", r"(?:gnu )?lesser " + _PUBLISHED + r" 3(?!\.?\d)", "free software foundation", 5),
+    ("lgpl-2.0", r"gnu library " + _PUBLISHED + r" 2(?!\.?\d)", "free software foundation", 5),
+    ("agpl-3.0", r"(?:gnu )?affero " + _PUBLISHED + r" 3(?!\.?\d)", "free software foundation", 5),
+    ("gpl", r"the licenses for most software (?:and other practical works )?are designed to take away your freedom to share", "freedom to share", 4),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public licen[cs]e,? v\. 2\.0", "source code form", 5),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public licen[cs]e version 1\.1", "contents of this file", 5),
+    ("zlib", r"in no event will the authors be held liable for any damages arising from the use of this software", "authors be held liable", 4),
+    ("zlib", r"the origin of this software must not be misrepresented", "misrepresented", 4),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 5),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document", "verbatim or modified", 4),
+    ("artistic-1.0", r"the intent of this document is to state the conditions under which a package may be copied", "a package may be copied", 4),
+    ("cc0-1.0", r"the person who associated (?:a work|cc0) with (?:this deed|a work) has dedicated the work to the public domain", "dedicated the work", 5),
+    ("cc", r"by exercising the licensed rights \(defined below\), you accept and agree to be bound", "licensed rights", 2),
+    ("cc", r"creative commons corporation (?:\(\W?creative commons\W?\) )?is not a law firm", "not a law firm", 2),
+    ("epl-1.0", r"the accompanying program is provided under the terms of this eclipse public licen[cs]e", "accompanying program", 4),
 ]
 
 
 def _rules() -> list[Rule]:
-    """In order: notices, tags, addresses, titles, families."""
+    """In order: notices, tags, bodies, addresses, titles, families."""
     rules = []
     for label, ids, title, keyword in LICENSES:
         for keyword in ("creative commons", "cc by", "cc-by", "cc0") if keyword == "c" else (keyword,):
-            rules.append(Rule(label, rf"\b(?:licen[cs]ed|released|distributed|available|published|provided)(?: \w{{1,64}}){{0,4}} (?:under|by)(?: the| an?)?(?: terms(?: and conditions)? of the)? {title}{OR_LATER}", keyword, 5, 1.0))
+            rules.append(Rule(label, rf"\b(?:licen[cs]ed|released|distributed|available|published|provided)(?: \w++){{0,4}} (?:under|by)(?: the| an?)?(?: terms(?: and conditions)? of the)? {title}{OR_LATER}", keyword, 5, 1.0))
             rules.append(Rule(label, rf"\b{title}{OR_LATER}", keyword, 2, 0.8))
-        rules.append(Rule(label, rf"spdx-license-identifier: {{0,3}}\(?(?:[\w.+-]{{1,64}} (?:or|and|with) ){{0,20}}{ids}(?![\w.+-])", "spdx-license-identifier", 6, 1.0))
-        rules.append(Rule(label, rf"\blicen[cs]e\"?'? {{0,3}}[:=] {{0,3}}[\"'\[]{{0,3}}{ids}(?![\w.+-])", "licen", 4, 0.9))
+        rules.append(Rule(label, rf"spdx-license-identifier: ?\(?(?:[\w.+-]++ (?:or|and|with) )*{ids}(?![\w.+-])", "spdx-license-identifier", 6, 1.0))
+        rules.append(Rule(label, rf"\blicen[cs]e\"?'? ?[:=] ?[\"'\[]*{ids}(?![\w.+-])", "licen", 4, 0.9))
+    rules += [Rule(label, pattern, keyword, priority, 0.95) for label, pattern, keyword, priority in BODIES]
     rules += [Rule(label, pattern, keyword, 3, 0.9) for label, pattern, keyword in ADDRESSES]
     rules += [Rule(label, pattern, keyword, 1, 0.3 if label == "copyright" else 0.6) for label, pattern, keyword in FAMILIES]
     return rules
@@ -208,6 +252,32 @@ class Detection(NamedTuple):
     weight: float
 
 
+_RUN = re.compile(r"\s{2,}|[^\S ]")
+
+
+class Plain(NamedTuple):
+    """A text with a blank for each run of white space. ``at`` are the blanks' places of runs that were longer, ``more`` how
+    many characters have been left out up to each of them, that one included."""
+
+    text: str
+    at: list[int]
+    more: list[int]
+
+    @classmethod
+    def of(cls, text: str) -> Plain:
+        at, more, lost = [], [], 0
+        for run in _RUN.finditer(text):
+            at.append(run.start() - lost)
+            lost += run.end() - run.start() - 1
+            more.append(lost)
+        return cls(_RUN.sub(" ", text) if at else text, at, more)
+
+    def place(self, i: int) -> int:
+        """Where the character ``i`` of the plain text begins in the text."""
+        n = bisect_left(self.at, i)
+        return i + (self.more[n - 1] if n else 0)
+
+
 class Scanner:
     """Runs the rules whose keywords occur."""
 
@@ -224,6 +294,10 @@ class Scanner:
 
     def detect(self, text: str) -> list[Detection]:
         """Detections in ``text``, lower-cased already, by place."""
+        plain = Plain.of(text)
+        return [d._replace(start=plain.place(d.start), end=plain.place(d.end - 1) + 1) for d in self._plain(plain.text)]
+
+    def _plain(self, text: str) -> list[Detection]:
         wanted: set[int] = set()
         for _, own in self.automaton.iter(text):
             if own[0] not in wanted:

@@ -93,7 +93,8 @@ def test_license_rules_take_linear_time():
     import time
 
     s = licenses.Scanner(licenses.RULES)
-    for text in ("copyright" + " " * 10**6 + "x", "eclipse public license" + " " * 10**6, "license:" + " " * 10**6, "spdx-license-identifier: " + "a" * 10**6, "joinup.ec.europa.eu/" * 20_000 + "eupl"):
+    for text in ("copyright" + " " * 10**6 + "x", "eclipse public license" + " " * 10**6, "license:" + " " * 10**6, "spdx-license-identifier: " + "a" * 10**6, "joinup.ec.europa.eu/" * 20_000 + "eupl",
+                 "licensed " + "a" * 10**6, "neither the name of " * 50_000 + "nor the names of", "spdx-license-identifier: " + "a or " * 200_000, "copyright 2020" + ", 2020" * 200_000, "mit\n\n" * 300_000):
         began = time.perf_counter()
         s.detect(text)
         assert time.perf_counter() - began < 5
@@ -208,7 +209,7 @@ def _instance(tree, rng):
             out += _instance(rng.choice(arg[1]), rng)
         elif name == "SUBPATTERN":
             out += _instance(arg[3], rng)
-        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
             for _ in range(rng.randint(arg[0], max(arg[0], min(arg[1], 2)))):
                 out += _instance(arg[2], rng)
     return out
@@ -232,6 +233,61 @@ def test_what_a_license_rule_matches_holds_a_keyword_of_its_label():
     assert found("(c) 2020 Someone") == found("© 2020 Someone") == found("Copyright (c) 2020 Someone") == ["copyright"]
 
 
+def test_license_text_may_break_anywhere():
+    s = licenses.Scanner(licenses.RULES)
+    for text, label in (("gnu general\npublic license, version 3", "gpl-3.0"), ("licensed under the apache\n   license", "apache"), ("gnu general public license,     version 3", "gpl-3.0"), ("mit\t\u00a0license", "mit"), ("copyright     (c)\n 2020", "copyright")):
+        for before in ("", "x  y\n\n", " "):
+            (d,) = s.detect(before + text + "  z")
+            assert d.label == label and (before + text)[d.start : d.end] == text.removeprefix("licensed under the ")
+
+
+def test_license_bodies():
+    s = licenses.Scanner(licenses.RULES)
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+        "ncsa": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal with the Software without restriction",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\n purpose with or without fee is hereby granted, provided that the above copyright notice",
+        "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
+        "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
+        "apache-2.0": "you may not use this file except\n# in compliance".replace("# ", "") + " with the License",
+        "gpl-3.0": "under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "lgpl-2.1": "the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "zlib": "In no event will the authors be held liable for any damages arising from\nthe use of this software.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "cc": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms",
+    }
+    for label, text in texts.items():
+        assert [d.label for d in s.detect(text.lower())] == [label]
+
+
+def test_license_scan_is_that_of_all_rules_without_prefilter(spark, sf_dir):
+    s = licenses.Scanner(licenses.RULES)
+    rng = random.Random(6)
+    words = ["mit", "license", "gnu", "general", "public", "apache", "version", "2.0", "3", "licensed under the", "cc", "by", "cc by-sa 4.0", "spdx-license-identifier:", "gpl-3.0", "or", "bsd", "2-clause", "lesser", "all rights reserved", "copyright 2020", "(c)", "creative commons", "free", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"]
+    texts = ["".join(rng.choice(words) + rng.choice((" ", " ", "\n", "  ", ", ")) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+    texts += [t.lower() for _, t in docs(spark, sf_dir)[:40]]
+    rules = [re.compile(r.pattern) for r in licenses.RULES]
+    for text in texts:
+        plain = re.sub(r"\s+", " ", text)
+        every = sorted((-licenses.RULES[n].priority, m.start() - m.end(), m.start(), n, m.end()) for n, r in enumerate(rules) for m in r.finditer(plain) if m.end() > m.start())
+        kept = []
+        for priority, _, start, n, end in every:
+            if not any((a <= start and end <= b) or (a < end and start < b and p < priority) for p, a, b, _ in kept):
+                kept.append((priority, start, end, n))
+        want = sorted((a, b, licenses.RULES[n].label) for _, a, b, n in kept)
+        assert sorted((d.start, d.end, d.label) for d in s._plain(plain)) == want
+        assert sorted((re.sub(r"\s+", " ", text[d.start : d.end]), d.label) for d in s.detect(text)) == sorted((plain[a:b], label) for a, b, label in want)
+
+
+def test_license_edges(spark):
+    own = spark.createDataFrame([(None, "MIT License"), (1, None), (1, None), (2, "")], "doc_id long, text string").selectExpr("*", "1 AS label", "'x' AS labels", "2 AS `a.b`", "3 AS score")
+    rows = licenses.summarise(own).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.labels) for r in rows) == [(0, 2, "mit"), (1, 0, ""), (1, 0, ""), (2, 0, "")]
+    assert licenses.summarise(own.where("false")).count() == licenses.scan(own.where("false")).count() == 0
+
+
 def test_warc_archive_round_trip():
     rng = random.Random(8)
     records = [warc.make_record(i, f"http://x/{i}", "<p>" + " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(80)) + f"{i}</p>") for i in range(200)]
