@@ -71,7 +71,7 @@ def cells(x: np.ndarray, block: int, cosine: float) -> tuple[np.ndarray, np.ndar
 
 
 def _visits(distinct: DataFrame, cosine: float) -> DataFrame:
-    """(label, size, block, cx, cy, home, rep, n, embedding): a row for each cell a vector lives in or visits."""
+    """(label, size, block, cx, cy, home, rep): a row for each cell a vector lives in or visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,6 +79,7 @@ def _visits(distinct: DataFrame, cosine: float) -> DataFrame:
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
                 own = batch.take(pa.array(rows))
+                names = own.select(["label", "rep"])
                 x = turned(np.array(own.column("embedding").to_pylist(), np.float64))
                 for block in range(min(BLOCKS, size)):
                     home, corners = cells(x, block, cosine)
@@ -88,21 +89,18 @@ def _visits(distinct: DataFrame, cosine: float) -> DataFrame:
                     kind = np.repeat([True, False], (len(x), 4 * len(x)))
                     _, first = np.unique(np.column_stack((at, cell, kind)), axis=0, return_index=True)
                     at, cell, kind = at[first], cell[first], kind[first]
-                    given = own.take(pa.array(at))
+                    given = names.take(pa.array(at))
                     n = len(at)
                     yield pa.RecordBatch.from_arrays(
                         [
                             given.column("label"), pa.array(np.full(n, size), pa.int32()), pa.array(np.full(n, block), pa.int32()),
-                            pa.array(cell[:, 0]), pa.array(cell[:, 1]), pa.array(kind), given.column("rep"), given.column("n"), given.column("embedding"),
+                            pa.array(cell[:, 0]), pa.array(cell[:, 1]), pa.array(kind), given.column("rep"),
                         ],
-                        names=["label", "size", "block", "cx", "cy", "home", "rep", "n", "embedding"],
+                        names=["label", "size", "block", "cx", "cy", "home", "rep"],
                     )
 
     kind = distinct.schema["label"].dataType.simpleString()
-    element = distinct.schema["embedding"].dataType.simpleString()
-    return distinct.select("label", "rep", "n", "embedding").mapInArrow(
-        run, f"label {kind}, size int, block int, cx long, cy long, home boolean, rep long, n long, embedding {element}"
-    )
+    return distinct.select("label", "rep", "embedding").mapInArrow(run, f"label {kind}, size int, block int, cx long, cy long, home boolean, rep long")
 
 
 def tile_links(home: np.ndarray, visitors: np.ndarray, block: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -175,14 +173,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     )
     rows = df.select(df[id_col].cast("long").alias("vec_id"), df[label_col].alias("label"), df[vector_col].alias("embedding"))
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    # Vectors are told apart by two hashes of their components and the label.
-    keyed = cut(rows.select("vec_id", "label", "usable", F.when(F.col("usable"), F.xxhash64(F.lit(1), "label", "embedding")).alias("rep"), F.when(F.col("usable"), F.xxhash64(F.lit(2), "embedding", "label")).alias("check"), F.when(F.col("usable"), v).alias("embedding")))
-    distinct = cut(
-        keyed.where("usable").groupBy("rep").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.count("*").alias("n"), (F.min("check") == F.max("check")).alias("sound"))
-    )
-    if not distinct.where("NOT sound").isEmpty():
-        raise RuntimeError("two vectors have the same hash")
-    visits = _visits(distinct, cosine)
+    # Vectors are told apart by two hashes of their components and the label; a distinct one has a number of its own.
+    told = {"h1": F.xxhash64(F.lit(1), "label", "embedding"), "h2": F.xxhash64(F.lit(2), "embedding", "label"), "embedding": v}
+    keyed = cut(rows.select("vec_id", "label", "usable", *[F.when(F.col("usable"), c).alias(name) for name, c in told.items()]))
+    same = keyed.where("usable").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    distinct = cut(same.withColumn("rep", F.monotonically_increasing_id()))  # written, so that numbers stay
+    visits = cut(_visits(distinct, cosine))
     cell = ["label", "size", "block", "cx", "cy"]
     counts = visits.groupBy(*cell).agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visitors"))
     large = cut(
@@ -196,16 +192,17 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         IF(home, transform(sequence(0L, v - 1), k -> named_struct('i', pmod(xxhash64(rep), h), 'j', k)),
                  transform(sequence(0L, h - 1), k -> named_struct('i', k, 'j', pmod(xxhash64(rep), v))))
     """)
-    tiles = tiled.withColumn("tile", F.explode(place)).select(*cell, "tile.i", "tile.j", "home", "rep", "n", "embedding")
+    tiles = tiled.withColumn("tile", F.explode(place)).select(*cell, "tile.i", "tile.j", "home", "rep")
+    tiles = tiles.join(distinct.select("rep", "n", "embedding"), "rep").select(*cell, "i", "j", "home", "rep", "n", "embedding")
     found = cut(tiles.groupBy(*cell, "i", "j").applyInArrow(lambda t: _tile(t, cosine), "rep long, n long, other long"))
     links = found.groupBy("rep").agg(F.sum("n").alias("links"))
     roots = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     rooted = cut(
-        distinct.select("rep", "least", "n").join(roots, distinct.rep == roots.node, "left").select("rep", "least", "n", F.coalesce("root", "rep").alias("root")).join(links, "rep", "left")
+        distinct.select("rep", "h1", "h2", "least", "n").join(roots, distinct.rep == roots.node, "left").select("rep", "h1", "h2", "least", "n", F.coalesce("root", "rep").alias("root")).join(links, "rep", "left")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rooted.join(least, "root").select(F.col("rep").alias("of"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    result = keyed.where("usable").select("vec_id", "rep").join(named, F.col("rep") == F.col("of")).select("vec_id", "n_links", "component_id")
+    named = cut(rooted.join(least, "root").select("h1", "h2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    result = keyed.where("usable").select("vec_id", "h1", "h2").join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = keyed.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return result.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
