@@ -7,6 +7,8 @@ gives a row of kind ``late`` or ``repeated``.
 
 A timer ends a stream: when nothing has come for ``patience`` (by the clock, or by event time if the rows have a time ``at``
 and a watermark), what is held is taken, the rule finishes, and the state goes. What comes after is a new stream of that name.
+With timers by the clock Spark runs batches for ever, so for ``availableNow`` a stream should end by event time, or not at
+all (``patience`` of None: no timers, its state stays).
 Rows that are behind the watermark itself are dropped by Spark, which counts them: ``late_rows``.
 """
 
@@ -27,6 +29,30 @@ HORIZON, PATIENCE = 100, 60_000
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+class Order:
+    """Puts frames in order: ``held`` are those that are early, ``due`` is the next, ``newest`` the greatest that has come."""
+
+    def __init__(self, horizon: int, due: int = 0, newest: int = -1, held: dict[int, Any] | None = None) -> None:
+        self.horizon, self.due, self.newest, self.held = horizon, due, newest, held or {}
+
+    def put(self, frame: int, carried: Any) -> Iterator[tuple[int, Any]]:
+        """Takes a frame that is neither late nor held; gives what is next, stepping over what isn't waited for any more."""
+        self.held[frame] = carried
+        self.newest = max(self.newest, frame)
+        while self.held and (self.due in self.held or self.due <= self.newest - self.horizon):
+            if self.due in self.held:
+                yield self.due, self.held.pop(self.due)
+                self.due += 1
+            else:
+                self.due = min(min(self.held), self.newest - self.horizon + 1)
+
+    def rest(self) -> Iterator[tuple[int, Any]]:
+        """All that is held."""
+        for frame in sorted(self.held):
+            yield frame, self.held.pop(frame)
+            self.due = frame + 1
+
+
 class InOrder(StatefulProcessor):
     """A rule over frames in order. ``payload`` is what a frame carries besides its number, ``columns`` what the rule gives
     besides stream_id and kind; frame_no is among these, for late rows."""
@@ -35,7 +61,7 @@ class InOrder(StatefulProcessor):
     columns = "frame_no long"
     kind = "row"
 
-    def __init__(self, horizon: int = HORIZON, patience: int = PATIENCE, event_time: bool = False) -> None:
+    def __init__(self, horizon: int = HORIZON, patience: int | None = PATIENCE, event_time: bool = False) -> None:
         self.horizon, self.patience, self.event_time = horizon, patience, event_time
         self.names = ["stream_id", "kind", *T._parse_datatype_string(self.columns).names]
         self.carried = T._parse_datatype_string(self.payload).names
@@ -75,36 +101,33 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         due, newest, timer = self.place.get() if self.place.exists() else (0, -1, -1)
         stored = {int(k[0]): tuple(v) for k, v in self.early.iterator()}
-        held = dict(stored)
+        order = Order(self.horizon, due, newest, dict(stored))
         self.load()
         latest = -1
         for row in rows:
             frame = row["frame_no"]
             if self.event_time:
                 latest = max(latest, row["at_ms"])
-            if frame < due or frame in held:
-                yield self._left_out(key, "repeated" if frame in held else "late", frame)
+            if frame < order.due or frame in order.held:
+                yield self._left_out(key, "repeated" if frame in order.held else "late", frame)
                 continue
-            held[frame] = tuple(row[c] for c in self.carried)
-            newest = max(newest, frame)
-            while held and (due in held or due <= newest - self.horizon):
-                if due in held:
-                    for found in self.take(due, *held.pop(due)):
-                        yield self._row(key, self.kind, found)
-                    due += 1
-                else:
-                    due = min(min(held), newest - self.horizon + 1)
-        for frame in stored.keys() - held.keys():
+            for at, carried in order.put(frame, tuple(row[c] for c in self.carried)):
+                for found in self.take(at, *carried):
+                    yield self._row(key, self.kind, found)
+        for frame in stored.keys() - order.held.keys():
             self.early.removeKey((frame,))
-        for frame in held.keys() - stored.keys():
-            self.early.updateValue((frame,), held[frame])
+        for frame in order.held.keys() - stored.keys():
+            self.early.updateValue((frame,), order.held[frame])
         self.store()
+        if self.patience is None:
+            self.place.update((order.due, order.newest, -1))
+            return
         deadline = max(timer, latest + self.patience) if self.event_time else timerValues.getCurrentProcessingTimeInMs() + self.patience
         if timer != deadline:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(deadline)
-        self.place.update((due, newest, deadline))
+        self.place.update((order.due, order.newest, deadline))
 
     def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         self.load()
@@ -131,7 +154,7 @@ def followed(frames: DataFrame, rule: InOrder) -> DataFrame:
     times = [F.col("at"), F.unix_millis(F.col("at").cast("timestamp")).alias("at_ms")] if rule.event_time else []
     rows = frames.select("stream_id", "frame_no", *rule.carried, *times)
     schema = f"stream_id {frames.schema['stream_id'].dataType.simpleString()}, kind string, {rule.columns}"
-    return rows.groupBy("stream_id").transformWithState(rule, schema, "Append", "EventTime" if rule.event_time else "ProcessingTime")
+    return rows.groupBy("stream_id").transformWithState(rule, schema, "Append", "None" if rule.patience is None else "EventTime" if rule.event_time else "ProcessingTime")
 
 
 def late_rows(query: StreamingQuery) -> int:

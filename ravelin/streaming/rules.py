@@ -82,11 +82,11 @@ class Throttled(InOrder):
         self.due = due
 
 
-def stream_clips(levels: DataFrame, pre: int, post: int, horizon: int = HORIZON, patience: int = PATIENCE, event_time: bool = False) -> DataFrame:
+def stream_clips(levels: DataFrame, pre: int, post: int, horizon: int = HORIZON, patience: int | None = PATIENCE, event_time: bool = False) -> DataFrame:
     """Clips of a streaming table (stream_id, frame_no, us, active): one is closed by its post-roll, or by the stream's end."""
     return followed(levels, Clipped(pre, post, horizon=horizon, patience=patience, event_time=event_time))
 
 
-def stream_throttled(frames: DataFrame, interval: int, catch_up: bool = False, horizon: int = HORIZON, patience: int = PATIENCE, event_time: bool = False) -> DataFrame:
+def stream_throttled(frames: DataFrame, interval: int, catch_up: bool = False, horizon: int = HORIZON, patience: int | None = PATIENCE, event_time: bool = False) -> DataFrame:
     """The frames of a streaming table (stream_id, frame_no, us) that a throttle lets through."""
     return followed(frames, Throttled(interval, catch_up, horizon=horizon, patience=patience, event_time=event_time))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ravelin.operators.config import DetectorConfig, TrackConfig
 from ravelin.operators.detect import Detector
 from ravelin.operators.tracker import LIVE_STATE, LiveTrack, Tracker, live_event
-from ravelin.streaming.ordered import HORIZON, PATIENCE, InOrder, followed
+from ravelin.streaming.ordered import HORIZON, PATIENCE, InOrder, Order, followed
 
 EVENT_COLUMNS = (
     "frame_no long, track_id long, start_frame long, end_frame long, n_detections long, duration_s double, displacement_px double, "
@@ -27,6 +27,35 @@ _NAMES = [c.split()[0] for c in EVENT_COLUMNS.split(", ")][1:]
 _BOX = ("x0", "y0", "x1", "y1", "mean_delta", "area")
 
 
+class Follower:
+    """One stream's tracker behind the order of frames, as ``Tracked`` has it, for rows that are at hand in one place."""
+
+    def __init__(self, width: int, height: int, rate: float, detector: DetectorConfig, tracks: TrackConfig, horizon: int = HORIZON) -> None:
+        self.tracker = Tracker(width, height, tracks, detector.min_track_frames, LiveTrack)
+        self.order, self.rate, self.detector, self.done = Order(horizon), rate, detector, False
+
+    @property
+    def early(self) -> dict[int, Any]:
+        return self.order.held
+
+    def take(self, frame: int, boxes: list[tuple], last: bool) -> list[dict[str, Any]]:
+        """Events that this frame ends; a frame seen before, or stepped over, is left out."""
+        return self._ended(self.order.put(frame, (boxes, last))) if frame >= self.order.due and frame not in self.early else []
+
+    def drain(self) -> list[dict[str, Any]]:
+        """Events that the frames that are held end, gaps stepped over."""
+        return self._ended(self.order.rest())
+
+    def _ended(self, frames: Iterator[tuple[int, Any]]) -> list[dict[str, Any]]:
+        ended = []
+        for frame, (boxes, last) in frames:
+            ended += self.tracker.step(frame, boxes)
+            if last:
+                ended += self.tracker.flush()
+                self.done = True
+        return [e for t in ended if (e := live_event(t, self.rate, self.detector))]
+
+
 class Tracked(InOrder):
     """Boxes to events. ``frame_no`` is the frame at which a track ended, or null when its stream did."""
 
@@ -100,7 +129,7 @@ class Detected(Tracked):
 
 def stream_events(
     frames: DataFrame, width: int, height: int, rate: float, detector: DetectorConfig = DetectorConfig(), tracks: TrackConfig = TrackConfig(),
-    horizon: int = HORIZON, patience: int = PATIENCE, event_time: bool = False,
+    horizon: int = HORIZON, patience: int | None = PATIENCE, event_time: bool = False,
 ) -> DataFrame:
     """Events of a streaming frame table (stream_id, frame_no, last, boxes: x0, y0, x1, y1, mean_delta, area).
 
@@ -110,7 +139,7 @@ def stream_events(
 
 def stream_detections(
     frames: DataFrame, width: int, height: int, rate: float, detector: DetectorConfig = DetectorConfig(), tracks: TrackConfig = TrackConfig(),
-    horizon: int = HORIZON, patience: int = PATIENCE, event_time: bool = False,
+    horizon: int = HORIZON, patience: int | None = PATIENCE, event_time: bool = False,
 ) -> DataFrame:
     """As ``stream_events``, from pixels: (stream_id, frame_no, last, px in row order)."""
     frames = frames.withColumn("px", F.col("px").cast("array<float>"))

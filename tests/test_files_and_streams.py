@@ -71,7 +71,7 @@ def test_stream_gives_what_batch_gives(spark, tmp_path):
         (tmp_path / "in" / f"{part}.json").write_text("\n".join(json.dumps(frames[i]) for i in order[part::4]))
     schema = "stream_id long, frame_no long, last boolean, boxes array<struct<x0:double,y0:double,x1:double,y1:double,mean_delta:double,area:long>>"
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    query = stream_events(source, 160, 120, 10.0).writeStream.format("memory").queryName("events_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = stream_events(source, 160, 120, 10.0, patience=None).writeStream.format("memory").queryName("events_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.stream_id, r.track_id, r.start_frame, r.n_detections) for r in spark.table("events_out").collect()) == sorted(expected) != []
 
