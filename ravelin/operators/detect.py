@@ -42,9 +42,16 @@ def open_and_close(mask: np.ndarray, size: int) -> np.ndarray:
     """Opening, then closing; a size of 1 or less leaves the mask as it is."""
     if size <= 1:
         return mask
-    own = ellipse(size)
-    opened = dilate(erode(mask, own), own)
-    return erode(dilate(opened, own), own)
+    ys, xs = np.nonzero(mask)
+    if not len(ys):
+        return mask
+    # Nothing changes further away than twice the radius; one pixel more is left out of reach of the part's border.
+    far = 2 * (size // 2) + 1
+    part = slice(max(0, ys.min() - far), ys.max() + far + 1), slice(max(0, xs.min() - far), xs.max() + far + 1)
+    own, out = ellipse(size), mask.copy()
+    opened = dilate(erode(mask[part], own), own)
+    out[part] = erode(dilate(opened, own), own)
+    return out
 
 
 def label_components(mask: np.ndarray) -> np.ndarray:
@@ -65,13 +72,22 @@ def label_components(mask: np.ndarray) -> np.ndarray:
     return np.where(mask, np.searchsorted(firsts, label) + 1, 0)
 
 
-def blobs(mask: np.ndarray, delta: np.ndarray) -> list[Box]:
-    """Each component's bounding box, mean rise and area."""
-    label = label_components(mask)
+def blobs(mask: np.ndarray, delta: np.ndarray, least: int = 1, most: int | None = None) -> list[Box]:
+    """Bounding box, mean rise and area of each component of ``least`` to ``most`` pixels."""
+    ys, xs = np.nonzero(mask)
+    if not len(ys):
+        return []
+    top, side = ys.min(), xs.min()
+    own = label_components(mask[top : ys.max() + 1, side : xs.max() + 1])[ys - top, xs - side]
+    order = np.argsort(own, kind="stable")  # a component's pixels, row by row
+    ys, xs, values = ys[order], xs[order], delta[ys, xs][order]
+    starts = np.flatnonzero(np.diff(own[order], prepend=0))
+    areas = np.diff(np.append(starts, len(ys)))
+    left, right = np.minimum.reduceat(xs, starts), np.maximum.reduceat(xs, starts)
     found = []
-    for n in range(1, int(label.max(initial=0)) + 1):
-        ys, xs = np.nonzero(label == n)
-        found.append((int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1, float(delta[ys, xs].mean()), len(xs)))
+    for n in np.flatnonzero((areas >= least) & (areas <= (len(ys) if most is None else most))).tolist():
+        low, high = int(starts[n]), int(starts[n] + areas[n])
+        found.append((int(left[n]), int(ys[low]), int(right[n]) + 1, int(ys[high - 1]) + 1, float(values[low:high].mean()), high - low))
     return found
 
 
@@ -99,5 +115,5 @@ class Detector:
         moved = ~mask if warm and c.freeze_update else np.ones(frame.shape, bool)
         self.noise = np.where(moved, self.noise + np.float32(c.noise_alpha) * (np.abs(delta) - self.noise), self.noise)
         self.background = np.where(moved, self.background + np.float32(c.bg_alpha) * delta, self.background)
-        kept = [b for b in blobs(mask, delta) if self.least_area <= b[5] <= self.most_area and b[4] >= c.min_mean_delta]
+        kept = [b for b in blobs(mask, delta, self.least_area, self.most_area) if b[4] >= c.min_mean_delta]
         return kept if len(kept) <= c.max_blobs else []

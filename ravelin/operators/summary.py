@@ -116,3 +116,13 @@ def segment_sidecars(
         F.when(seconds > 0, half_up(F.col("frame_count") / seconds, 2)).otherwise(0.0).alias("achieved_fps"),
         "marker_mismatches",
     )
+
+
+def clip_sidecars(clips: DataFrame, prefix: str, keys: list[str], suffix: str = "avi") -> DataFrame:
+    """What is told of each clip beside its file, from (trigger_us, opened_us, closed_us, frames, reason); times in seconds."""
+    seconds = lambda c: F.col(c) / F.lit(1e6)
+    return clips.select(
+        *keys, F.concat(F.lit(prefix + "_"), file_stamp(F.col("opened_us")), F.lit("." + suffix)).alias("video_file"), seconds("trigger_us").alias("trigger_started_at"),
+        seconds("opened_us").alias("clip_started_at"), seconds("closed_us").alias("clip_ended_at"), half_up((F.col("closed_us") - F.col("opened_us")) / F.lit(1e6), 2).alias("duration_seconds"),
+        F.col("frames").alias("frame_count"), F.col("reason").alias("close_reason"),
+    )

@@ -12,6 +12,7 @@ from ravelin.functions.scalars import iso_utc
 from ravelin.operators.config import TrackConfig
 from ravelin.operators.sequences import fold
 from ravelin.operators.tracker import summarise, track_frames
+from ravelin.session import written
 from ravelin.sources import files
 
 _NUMBERS = {"duration_s", "displacement_px", "path_px", "speed_px_s", "edge_frac", "continuity", "median_box_px", "peak_mean_delta", "score"}
@@ -40,7 +41,7 @@ def tracks_of_caches(cached: DataFrame, timestamps: DataFrame, config: TrackConf
                 yield *(r[c] for c in _NAMES), *r["peak_box"], r["score"], [[n, *map(int, b[:4])] for n, b in t.history]
 
     rows = cached.where("error IS NULL AND boxes IS NOT NULL").select("video_name", "frame_no", "width", "height", "fps", "boxes")
-    own = fold(rows, "video_name", ["frame_no"], step, schema)
+    own = written(fold(rows, "video_name", ["frame_no"], step, schema))  # tracked once, for the tracks and their boxes
     times = timestamps.select(F.col("video_name").alias("v"), F.col("frame_no").alias("f"), iso_utc(F.col("seconds")).alias("start_time"))
     timed = own.join(times, (F.col("video_name") == F.col("v")) & (F.col("start_frame") == F.col("f")), "left")
     boxes = own.select("video_name", "track_id", F.explode("path").alias("b"))

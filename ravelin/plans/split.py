@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions import scalars
-from ravelin.operators import groups, joins, scans
+from ravelin.operators import groups, joins, scans, summary
 from ravelin.plans import catalog
 from ravelin.plans.catalog import CONFIG, DAY, EMA, GATE, QUARTER_DAY, Query
 from ravelin.sources.proxies import PX1, PX5, px1, px5
@@ -112,3 +112,33 @@ def achieved_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = px1(spark, sf_dir).groupBy("stream_id").agg(F.count("*").alias("n"), (F.max("us") - F.min("us")).alias("span"), (F.count_if(F.col("event_type") == "error") % 3).alias("told")).where("span > 0")
     s = s.withColumn("native", F.col("n") / (F.col("span") / F.lit(float(DAY))))
     return s.select("stream_id", "native", scalars.achieved_rate(F.col("native"), (1 + F.col("stream_id") % 5).cast("double")).alias("achieved"), scalars.or_default(F.col("told").cast("double"), 10.0).alias("rate"))
+
+
+@query(f"""WITH {PX1} SELECT w.stream_id, w.start_us, w.end_us, any_value(w.captured_fps) AS captured_fps, count(p.frame_no) / ((w.end_us - w.start_us) / 1e6::DOUBLE) AS detected_fps, coalesce({_SIX('avg(p.v)')}, 0.0::DOUBLE) AS mean_ms
+    FROM ({catalog.ORACLES["stats_windows"]}) w LEFT JOIN (SELECT px1.* FROM px1 JOIN ({catalog.ORACLES["throttle_drift"]}) t USING (stream_id, frame_no)) p
+    ON p.stream_id = w.stream_id AND p.us <= w.end_us AND (p.us > w.start_us OR p.us = w.start_us AND p.frame_no = 0) GROUP BY w.stream_id, w.start_us, w.end_us""")
+def stats_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each statistics window's captured and detected rate, and what a detection cost on average, 0 where there was none.
+
+    What the throttle lets through is detected; its value is taken as its cost."""
+    rows = px1(spark, sf_dir).select("stream_id", "frame_no", "us", "v")
+    ends = scans.openers(rows, "stream_id", "frame_no", "us", DAY)
+    w = Window.partitionBy("stream_id").orderBy("us")
+    ends = ends.withColumns({"start_us": F.lag("us").over(w), "before": F.lag("frame_no").over(w), "window": (F.row_number().over(w) - 2).cast("long")}).where("start_us IS NOT NULL")
+    windows = ends.select("stream_id", "window", "start_us", F.col("us").alias("end_us"), (F.col("frame_no") - F.col("before") + F.when(F.col("before") == 0, 1).otherwise(0)).alias("frames"))
+    detected = scans.openers(rows, "stream_id", "frame_no", "us", QUARTER_DAY).join(rows.drop("us"), ["stream_id", "frame_no"]).select("stream_id", "frame_no", "v")
+    later = ends.select("stream_id", (F.col("frame_no") + 1).alias("frame_no"), (F.col("window") + 1).alias("window"))
+    placed = scans.as_of_cells(detected, later, "stream_id", "frame_no", ["window"], 4096).withColumn("window", F.coalesce("window", F.lit(0).cast("long")))
+    costs = placed.groupBy("stream_id", "window").agg(F.count("*").alias("n"), F.avg("v").alias("cost"))
+    seconds = (F.col("end_us") - F.col("start_us")) / F.lit(1e6)
+    return windows.join(costs, ["stream_id", "window"], "left").select(
+        "stream_id", "start_us", "end_us", (F.col("frames") / seconds).alias("captured_fps"), (F.coalesce("n", F.lit(0)) / seconds).alias("detected_fps"), F.coalesce(scalars.half_up(F.col("cost"), 6), F.lit(0.0)).alias("mean_ms")
+    )
+
+
+@query(catalog._CLIPS + """ SELECT stream_id, 'rgb_event_' || strftime(make_timestamp(opened_us), '%Y%m%d_%H%M%S') || '.avi' AS video_file, opened_us / 1e6::DOUBLE AS trigger_started_at, opened_us / 1e6::DOUBLE AS clip_started_at,
+    closed_us / 1e6::DOUBLE AS clip_ended_at, floor((closed_us - opened_us) / 1e6::DOUBLE * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS duration_seconds, frames AS frame_count, reason AS close_reason FROM clips""")
+def clip_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told of each clip beside its file."""
+    clips = catalog.clip_sessions(spark, sf_dir).withColumn("trigger_us", F.col("opened_us"))
+    return summary.clip_sidecars(clips, "rgb_event", ["stream_id"])

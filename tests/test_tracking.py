@@ -208,3 +208,22 @@ def test_a_missing_frame_is_stepped_over():
         assert len(f.early) <= horizon
         got += f.drain()
         assert got == expected != [] and f.done and not f.early
+
+
+def test_detection_in_the_hot_part_is_that_of_whole_frames():
+    import numpy as np
+    from ravelin.operators import detect
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        height, width = rng.integers(1, 30, 2)
+        size = int(rng.integers(2, 7))
+        mask = rng.random((height, width)) < rng.choice((0.02, 0.1, 0.4, 0.9))
+        own = detect.ellipse(size)
+        assert (detect.erode(detect.dilate(detect.dilate(detect.erode(mask, own), own), own), own) == detect.open_and_close(mask, size)).all()
+        delta, label, want = rng.normal(size=(height, width)).astype(np.float32), detect.label_components(mask), []
+        for n in range(1, int(label.max(initial=0)) + 1):
+            ys, xs = np.nonzero(label == n)
+            want.append((int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1, float(delta[ys, xs].mean()), len(xs)))
+        assert detect.blobs(mask, delta) == want
+        assert detect.blobs(mask, delta, 2, 5) == [b for b in want if 2 <= b[5] <= 5]
