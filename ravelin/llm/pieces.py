@@ -117,9 +117,9 @@ class Model:
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit numbers."""
-        if not words:
-            return []
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int32)
+        if not len(codes):
+            return [b""] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
         symbol = self.symbol_of[codes]
@@ -149,8 +149,10 @@ class Model:
             first = at[run][np.cumsum(run) - 1]
             taken = (at - first) % 2 == 0
             if (back := self.steps_back[made[at]]).any():
-                apart = np.concatenate(([True], (segment[at][1:] != segment[at][:-1]) | (np.diff(place[at]) > 2 * self.most)))
-                taken = np.where(np.maximum.reduceat(back, np.flatnonzero(np.diff(segment[at], prepend=-1)))[np.cumsum(np.diff(segment[at], prepend=-1) > 0) - 1], apart, taken)
+                begins = np.diff(segment[at], prepend=-1) > 0
+                apart = begins | (np.diff(place[at], prepend=0) > 2 * self.most)
+                careful = np.maximum.reduceat(back, np.flatnonzero(begins))[np.cumsum(begins) - 1]  # all of a segment
+                taken = np.where(careful, apart, taken)
             at = at[taken]
             symbol[at] = made[at]
             last[at] = last[at + 1]
@@ -158,10 +160,10 @@ class Model:
             kept[at + 1] = False
             new = (np.cumsum(kept) - 1)[at]
             symbol, place, made, last = symbol[kept], place[kept], made[kept], last[kept]
-            for left in (new, new[(new > 0)] - 1):
+            made[new[last[new]]] = -1
+            for left in (new, new[new > 0] - 1):  # the pairs on both sides
                 left = left[~last[left]]
                 made[left] = self.pair(symbol[left], symbol[left + 1])
-            made[new[last[new]]] = -1
         ids = np.where(out >= 0, self.id_of[np.maximum(out, 0)], -1)[alive]
         edges = np.concatenate(([0], np.cumsum(alive)))[np.concatenate(([0], ends))]
         raw, bounds = ids.astype("<u4").tobytes(), (4 * edges).tolist()

@@ -140,7 +140,8 @@ def test_rounds_equal_one_merge_at_a_time():
             p = "".join(rng.choice("ab") for _ in range(rng.randrange(2, 5))) if rng.random() < 0.8 else "▁" * rng.randrange(2, 5)
             known.setdefault(p, (len(known), float(rng.choice((-5, -6, -7, -8)) if trial % 2 else -rng.randrange(100))))
         model = pieces.Model(known, list(range(100, 356)), [p.encode() for p in known] + [None] * 400, 50, 51)
-        words = ["".join(rng.choice("aab▁c") for _ in range(rng.randrange(1, 120))) for _ in range(30)]
+        words = ["".join(rng.choice("aab▁c") for _ in range(rng.randrange(120))) for _ in range(30)]
+        assert model.merge(["", ""]) == [b"", b""] and model.merge([]) == []
         for word, raw in zip(words, model.merge(words)):
             own = list(word)
             while True:
