@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -25,9 +26,13 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ravelin.session import written
+
 SCHEMA = "video_name string, frame_no long, px array<int>"
 RANGE_BYTES, BATCH_FRAMES, FRAMES_OUT = 32 << 20, 1000, 64
 
@@ -168,3 +173,47 @@ class RawRecordings(DataSource):
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
         return RawStreamReader(_Options(self.options))
+
+
+def write_raw(frames: DataFrame, path: str, height: int, width: int, every: int = 1) -> DataFrame:
+    """Writes ``<video_name>_raw.dat`` and its ``<video_name>.json`` with ``raw_shape`` of each video of (video_name, frame_no,
+    px), in frame order; of the frames that a video has, the first and each ``every``-th after it. Gives video_name and frames.
+
+    A video is one task's, which holds a batch of frames. It writes beside the file and moves it there at the end, so a task
+    that is run again, or twice, leaves a whole file. Names with a slash are a ValueError, frames of another size too."""
+    pixels = height * width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _opened(path)
+        store.create_dir(root, recursive=True)
+        name, out, held, seen, kept = None, None, "", 0, 0
+
+        def end() -> pa.RecordBatch:
+            out.close()
+            store.move(held, f"{root}/{name}_raw.dat")
+            with store.open_output_stream(f"{root}/{name}.json") as sidecar:
+                sidecar.write(json.dumps({"raw_shape": [kept, height, width]}).encode("utf-8"))
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([kept])], names=["video_name", "frames"])
+
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for i, own in enumerate(names):
+                if own != name:
+                    if "/" in own:
+                        raise ValueError(f"{own}: a video's name can't hold a slash")
+                    if name is not None:
+                        yield end()
+                    name, held, seen, kept = own, f"{root}/.{own}-{uuid.uuid4().hex}", 0, 0
+                    out = store.open_output_stream(held)
+                if seen % every == 0:
+                    px = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
+                    if len(px) != pixels:
+                        raise ValueError(f"{own}: a frame of {len(px)} pixels")
+                    out.write(px.astype("<u2").tobytes())
+                    kept += 1
+                seen += 1
+        if name is not None:
+            yield end()
+
+    rows = frames.where(F.col("video_name").isNotNull()).select("video_name", "px", "frame_no").repartition("video_name").sortWithinPartitions("video_name", "frame_no")
+    return written(rows.select("video_name", "px").mapInArrow(run, "video_name string, frames long"))

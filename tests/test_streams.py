@@ -214,6 +214,22 @@ def test_raw_recordings_are_read_by_ranges_of_frames(spark, tmp_path):
         recordings(str(tmp_path), None, None)
 
 
+def test_raw_planes_come_back(spark, tmp_path):
+    from ravelin.sources.replay import RawRecordings, write_raw
+
+    spark.dataSource.register(RawRecordings)
+    rng = np.random.default_rng(3)
+    rows = [(name, n, rng.integers(0, 65536, 6).tolist()) for name, count in (("a", 50), ("b c", 7), ("d", 1)) for n in range(count)]
+    frames = spark.createDataFrame(rows[::-1] + [(None, 0, [0] * 6)], "video_name string, frame_no long, px array<int>").repartition(5)
+    out = str(tmp_path / "out")
+    assert sorted(tuple(r) for r in write_raw(frames, out, 2, 3, every=3).collect()) == [("a", 17), ("b c", 3), ("d", 1)]
+    got = spark.read.format("raw_recordings").option("path", out).load().collect()
+    assert sorted((r.video_name, r.frame_no, r.px) for r in got) == sorted((name, n // 3, px) for name, n, px in rows if n % 3 == 0)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["a.json", "a_raw.dat", "b c.json", "b c_raw.dat", "d.json", "d_raw.dat"]
+    with pytest.raises(Exception, match="pixels"):
+        write_raw(frames, out, 3, 3)
+
+
 def test_replay_goes_on_where_it_was_and_stops_early(spark, tmp_path):
     from ravelin.sources.replay import RawRecordings
 
