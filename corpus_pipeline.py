@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm import bpe, mixing, quality, simhash, toxicity
-from ravelin.llm.common import cut, fresh_name, map_rows, shared_folder, table
+from ravelin.llm.common import cut, fresh_name, map_rows, release, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,6 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null text is scored as an empty one, whole texts of any length count; rows whose score is the threshold stay, repeated
     rows fare alike, an empty table and one without labels of both classes are kept as they are."""
     score = quality.score_of(spark, quality.fit(docs, table(spark, sf_dir, "labels")))
+    release()  # what fitting took of the driver
     return docs.where(score(docs["text"]) >= quality.THRESHOLD)
 
 
@@ -32,6 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have the score of a text without known words; rows whose score is 0.5 go, repeated rows fare alike,
     an empty table and one without labels of both classes are kept as they are."""
     score = toxicity.score_of(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    release()  # what fitting took of the driver
     return docs.where(score(docs["text"]) < 0.5)
 
 

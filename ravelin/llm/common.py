@@ -24,6 +24,13 @@ from ravelin.session import ship
 CHUNK_ROWS, CHUNK_BYTES = 1024, 8 << 20
 
 
+def release() -> None:
+    """What this process has freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidied(run: Callable[..., Iterator[Any]]) -> Callable[..., Iterator[Any]]:
     """``run``, a task's generator; when it ends, what it has freed goes back to the machine and isn't kept for the worker's
     next task, as the executor's memory is shared with the JVM."""
@@ -32,9 +39,7 @@ def tidied(run: Callable[..., Iterator[Any]]) -> Callable[..., Iterator[Any]]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):  # where the C library has no such function
-                ctypes.CDLL(None).malloc_trim(0)
+            release()
 
     return own
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ravelin.llm import embeddings, labels, mixing, quality, simhash, toxicity
-from ravelin.llm.components import components
+from ravelin.llm.components import _small, components
 
 
 def roots(n, pairs):
@@ -37,6 +37,14 @@ def test_components(spark, shape):
             assert (found[a] == found[b]) == (want[a] == want[b])
 
 
+def test_components_are_written_round_by_round(spark):
+    """The driver holds no plan of all rounds, and a small table is read by one task, however many partitions it has."""
+    found = components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 31
+    parts = spark.range(30).repartition(53)
+    assert _small(parts, 30).rdd.getNumPartitions() == 1 and _small(parts, 10**6).rdd.getNumPartitions() == 10
+
+
 def slow_fingerprint(text, k=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
