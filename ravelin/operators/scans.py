@@ -2,14 +2,16 @@
 
 Running averages are affine maps, and a block of rows composes to one map: rows are summed up by block, the blocks' maps are
 put after each other, and each block's rows start from where that leads. Throttles, segments and windows go from a row to the
-first one an interval later: each row points there, and doubled pointers mark those that are reached from the first. As-of
+first one an interval later: a block tells where ways through it lead, and each block's rows are followed from where the way
+from the first enters it. As-of
 values are carried from cell to cell of time, then from row to row within a cell.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from ravelin.session import written
 
 #: Rows of a block, at most; fewer for a fast decay, as its powers within a block must stay in a double's range.
 BLOCK_ROWS = 1024
+#: Intervals in a block of time, of which a way from row to row passes through one row each at most.
+BLOCK_INTERVALS = 8
 
 
 def block_rows(decay: float) -> int:
@@ -83,31 +87,73 @@ def first_after(rows: DataFrame, key: str, time: str, interval: int) -> DataFram
     return near.join(cells, [key, "_cell"]).select(key, F.col("_from").alias(time), F.coalesce("_near", "_next").alias("after"))
 
 
-def reached(pointers: DataFrame, key: str, time: str) -> DataFrame:
-    """key and time of the times that the pointers of ``first_after`` lead to from each stream's first, that one included.
+def _entries(rows: DataFrame, key: str, time: str, interval: int) -> DataFrame:
+    """key, _block, time and ``_due``: where the way from row to row may enter a block, and from when on it goes on beyond it.
+
+    A way comes from before the block, so it enters at a row of the block's first interval, or at the first row after that."""
+
+    def back(steps: Iterator[tuple]) -> Iterator[tuple]:
+        ahead: deque[tuple[int, int]] = deque()  # (time, due) of the rows an interval ahead, the latest first
+        begin, last = None, None
+        for block, t in steps:
+            begin = block * interval * BLOCK_INTERVALS if begin is None else begin
+            if last is not None and t == last[1]:
+                continue
+            if last is not None and t < begin + interval:
+                yield last
+                last = None
+            while len(ahead) > 1 and ahead[1][0] >= t + interval:
+                ahead.popleft()
+            due = ahead[0][1] if ahead and ahead[0][0] >= t + interval else t + interval
+            ahead.append((t, due))
+            last = block, t, due
+        if last is not None:
+            yield last
+
+    # The block is a column of its own for the generator, beside the one that rows are dealt by.
+    own = rows.select(key, "_block", F.col("_block").alias("_at"), time)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (key, "_block"))
+    return fold(own, [key, "_block"], [F.desc(time)], back, f"{kinds}, _at long, {time} long, _due long").drop("_at")
+
+
+def openers(rows: DataFrame, key: str, number: str, time: str, interval: int, values: Sequence[str] = ()) -> DataFrame:
+    """key, number, time and ``values`` of a stream's first row, and then always of the first row an interval later; of several
+    rows of a time, that of the least number.
+
+    Blocks of ``BLOCK_INTERVALS`` intervals are the work of a task each, and give where ways through them may begin and where
+    these lead; only those rows, one of so many, are followed stream by stream, and each block's rows from where that enters
+    it. ``rows`` are read twice."""
+    own = rows.select(key, number, time, *values).where(F.col(time).isNotNull()).withColumn("_block", F.floor(F.col(time) / (interval * BLOCK_INTERVALS)).cast("long"))
 
-    Each round doubles the pointers and, with them, the number of steps from the first that are known; rounds are
-    logarithmic in the longest way."""
-    jump = written(pointers.where("after IS NOT NULL").select(key, F.col(time).alias("at"), F.col("after").alias("to")))
-    marks = written(pointers.groupBy(key).agg(F.min(time).alias("at")))
-    while True:
-        new = written(marks.join(jump, [key, "at"]).select(key, F.col("to").alias("at")))
-        if new.isEmpty():
-            return marks.select(key, F.col("at").alias(time))
-        marks = written(marks.unionByName(new))  # those within 2^n steps; the new ones lie 2^n further
-        ahead = jump.select(key, F.col("at").alias("to"), F.col("to").alias("further"))
-        jump = written(jump.join(ahead, [key, "to"]).select(key, "at", F.col("further").alias("to")))
+    def follow(steps: Iterator[tuple]) -> Iterator[tuple]:
+        due = None
+        for block, t, then in steps:
+            if due is None or t >= due:
+                yield block, t
+                due = then
+
+    kind = {c: f"{c} {rows.schema[c].dataType.simpleString()}" for c in (key, number, time, *values)}
+    entered = fold(_entries(own, key, time, interval), key, [time], follow, f"{kind[key]}, _block long, {kind[time]}")
+
+    def along(steps: Iterator[tuple]) -> Iterator[tuple]:
+        due = None
+        for entry, t, *rest in steps:
+            if entry:
+                due = t
+            elif due is not None and t >= due:
+                yield (None, t, *rest)
+                due = t + interval
+
+    both = own.withColumn("_entry", F.lit(False)).unionByName(entered.withColumn("_entry", F.lit(True)), allowMissingColumns=True)
+    both = both.select(key, "_block", "_entry", time, number, *values)
+    order = [time, F.desc("_entry"), F.asc_nulls_last(number)]
+    found = fold(both, [key, "_block"], order, along, ", ".join([kind[key], "_block long", "_entry boolean", kind[time], kind[number], *[kind[v] for v in values]]))
+    return found.select(key, number, time, *values)
 
 
 def openings(rows: DataFrame, key: str, time: str, interval: int) -> DataFrame:
     """The times at which a stream's first row, and then always the first row an interval later, lies."""
-    return reached(first_after(rows, key, time, interval), key, time)
-
-
-def openers(rows: DataFrame, key: str, number: str, time: str, interval: int) -> DataFrame:
-    """``openings`` with the number of the first row of each time."""
-    firsts = rows.groupBy(key, time).agg(F.min(number).alias(number))
-    return openings(rows, key, time, interval).join(firsts, [key, time]).select(key, number, time)
+    return openers(rows.select(key, time, F.lit(0).alias("_number")), key, "_number", time, interval).select(key, time)
 
 
 def as_of_cells(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], cell: int) -> DataFrame:

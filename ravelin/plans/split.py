@@ -9,6 +9,7 @@ from ravelin.functions import scalars
 from ravelin.operators import groups, joins, scans, summary
 from ravelin.plans import catalog
 from ravelin.plans.catalog import CONFIG, DAY, EMA, GATE, QUARTER_DAY, Query
+from ravelin.session import written
 from ravelin.sources.proxies import PX1, PX5, px1, px5
 
 QUERIES: dict[str, Query] = {}
@@ -37,7 +38,8 @@ def ema_background_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return px1(spark, sf_dir).select("stream_id", "frame_no", "us")
+    """Written, as rules read them more than once."""
+    return written(px1(spark, sf_dir).select("stream_id", "frame_no", "us"))
 
 
 @query(catalog.ORACLES["throttle_drift"])
@@ -121,12 +123,12 @@ def stats_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each statistics window's captured and detected rate, and what a detection cost on average, 0 where there was none.
 
     What the throttle lets through is detected; its value is taken as its cost."""
-    rows = px1(spark, sf_dir).select("stream_id", "frame_no", "us", "v")
+    rows = written(px1(spark, sf_dir).select("stream_id", "frame_no", "us", "v"))
     ends = scans.openers(rows, "stream_id", "frame_no", "us", DAY)
     w = Window.partitionBy("stream_id").orderBy("us")
-    ends = ends.withColumns({"start_us": F.lag("us").over(w), "before": F.lag("frame_no").over(w), "window": (F.row_number().over(w) - 2).cast("long")}).where("start_us IS NOT NULL")
+    ends = written(ends).withColumns({"start_us": F.lag("us").over(w), "before": F.lag("frame_no").over(w), "window": (F.row_number().over(w) - 2).cast("long")}).where("start_us IS NOT NULL")
     windows = ends.select("stream_id", "window", "start_us", F.col("us").alias("end_us"), (F.col("frame_no") - F.col("before") + F.when(F.col("before") == 0, 1).otherwise(0)).alias("frames"))
-    detected = scans.openers(rows, "stream_id", "frame_no", "us", QUARTER_DAY).join(rows.drop("us"), ["stream_id", "frame_no"]).select("stream_id", "frame_no", "v")
+    detected = scans.openers(rows, "stream_id", "frame_no", "us", QUARTER_DAY, ["v"]).drop("us")
     later = ends.select("stream_id", (F.col("frame_no") + 1).alias("frame_no"), (F.col("window") + 1).alias("window"))
     placed = scans.as_of_cells(detected, later, "stream_id", "frame_no", ["window"], 4096).withColumn("window", F.coalesce("window", F.lit(0).cast("long")))
     costs = placed.groupBy("stream_id", "window").agg(F.count("*").alias("n"), F.avg("v").alias("cost"))

@@ -87,3 +87,16 @@ def test_greedy_matching_in_rounds(spark):
     candidates = spark.createDataFrame(rows, "stream_id long, frame_no long, t long, b long, cost double")
     assert {tuple(r) for r in groups.matched(candidates).collect()} == want
     assert groups.matched(candidates.where("false")).count() == 0
+
+
+def test_jumps_take_no_rounds(spark, monkeypatch):
+    """However long a stream, nothing is written between rounds; blocks with gaps, equal times and times before 0 lead on."""
+    monkeypatch.setattr(scans, "written", lambda df: pytest.fail("a round was written"))
+    rng = np.random.default_rng(6)
+    streams = {s: np.sort(np.concatenate([rng.integers(lo, hi, n) for lo, hi, n in spans])).tolist() for s, spans in {1: [(-500, 3000, 2000)], 2: [(0, 90, 40), (5000, 5001, 3), (9000, 9900, 25)], 3: [(-7, -6, 1)], 4: [(0, 60000, 300)]}.items()}
+    rows = spark.createDataFrame([(s, n, t, n / 2) for s, us in streams.items() for n, t in enumerate(us)] + [(4, 999, None, 0.0)], "s long, n long, us long, v double")
+    for interval in (1, 13, 400, 100_000):
+        want = {(s, n, us[n], n / 2) for s, us in streams.items() for n, x in enumerate(sequences.drift_throttle(us, interval)) if x}
+        got = [tuple(r) for r in scans.openers(rows, "s", "n", "us", interval, ["v"]).collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert {(r.s, r.us) for r in scans.openings(rows, "s", "us", interval).collect()} == {(s, us) for s, _, us, _ in want}
