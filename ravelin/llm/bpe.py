@@ -4,8 +4,9 @@ The bytes of a batch of pre-tokens form one linked list, with a wall between pre
 one per merge rank, hold the list positions whose pair has that rank; a two-level bitmap over the ranks tells which
 buckets hold anything, so the next rank is found by two find-first-set steps whatever the list's length. A merge pushes
 the two new pairs and leaves old entries behind; an entry is stale, and skipped, when its position no longer has the
-bucket's rank. Equal ranks go left to right, as in tiktoken. Pre-tokens don't touch each other, so one queue serves a
-batch and gives each the ids that it would have alone; a bucket with many positions is merged by array operations.
+bucket's rank. What array operations push waits by words of the bitmap. Equal ranks go left to right, as in tiktoken.
+Pre-tokens don't touch each other, so one queue serves a batch and gives each the ids that it would have alone; a bucket
+with many positions is merged by array operations.
 
 Defined cases: a null text encodes as an empty one (no ids, empty bytes); empty texts give no ids; repeated rows give
 repeated rows; an empty table gives an empty one; a null doc_id is kept.
@@ -15,10 +16,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import string
 from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, compress
 from typing import Any
 
 import numpy as np
@@ -27,8 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ravelin.llm.common import map_chunks, table
 
-#: Entries of a worker's memory of encoded pre-tokens; it is emptied when full, which changes speed only.
-CACHE_ENTRIES = 250_000
+#: Entries of each of a worker's two memories, of pre-tokens and of what stands between spaces; a full one loses the half
+#: less in use, which changes speed only.
+CACHE_ENTRIES = 180_000
+#: Pieces of more characters than ``LONG`` go with the next chunk once they have ``LONG_CHARS`` in all.
+LONG, LONG_CHARS = 64, 1 << 20
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -49,32 +54,51 @@ class Merges:
                 if left is not None and right is not None:
                     found[left << 16 | right] = rank
         self.of = found
-        keys = np.fromiter(found, np.int64, len(found))
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], np.int64(1) << 40)
-        self.ranks = np.append(np.fromiter(found.values(), np.int32, len(found))[order], np.int32(-1))
         # A token some pair of which has a lesser rank than its own: after it, the queue may have to step back.
         self.steps_back = {t for key, rank in found.items() for t in (key >> 16, key & 65535) if rank < t}
         self.of_byte = np.array([ranks[bytes((i,))] for i in range(256)], np.int32)
-
-    def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left.astype(np.int64) << 16 | right
-        at = np.searchsorted(self.keys, keys)
-        return np.where(self.keys[at] == keys, self.ranks[at], np.int32(-1))
+        self.of_bytes = np.array([found.get(a << 16 | b, -1) for a in self.of_byte.tolist() for b in self.of_byte.tolist()], np.int32)
+        keys, merged = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int32, len(found))
+        self.after, self.before = (self._by(*x, merged) for x in ((keys >> 16, keys & 65535), (keys & 65535, keys >> 16)))
+        self.row = np.full(WALL + 1, -1, np.int32)
+
+    @staticmethod
+    def _by(token: np.ndarray, other: np.ndarray, merged: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+        order = np.argsort(token, kind="stable")
+        return np.searchsorted(token[order], np.arange(WALL + 2)).tolist(), other[order], merged[order]
+
+    def lesser(self, token: int, right: np.ndarray, left: np.ndarray) -> bool:
+        """Whether ``token`` makes a pair of a lesser rank than its own with any of these or with itself."""
+        found = np.concatenate((self.look_up(token, np.append(right, token), self.after), self.look_up(token, left, self.before)))
+        return bool(((found >= 0) & (found < token)).any())
+
+    def look_up(self, token: int, others: np.ndarray, side: tuple[list[int], np.ndarray, np.ndarray]) -> np.ndarray:
+        """Ranks of the pairs of ``token`` and each of ``others``, which stand on the ``side`` ``self.after`` or ``self.before``."""
+        at, partners, merged = side
+        own = slice(at[token], at[token + 1])
+        self.row[partners[own]] = merged[own]
+        found = self.row[others]
+        self.row[partners[own]] = -1
+        return found
 
 
 class RankQueue:
     """List positions by rank: the least rank's bucket comes out whole and in order. Ranks lie in [0, 65536).
 
     ``top`` has a bit for each word of ``words`` that isn't zero, ``words`` one for each rank whose bucket isn't empty.
+    Positions pushed as arrays wait until the queue comes to their word, and are sorted into its buckets then.
     """
 
-    __slots__ = ("top", "words", "buckets")
+    __slots__ = ("top", "words", "buckets", "large", "high", "fresh", "waiting")
 
     def __init__(self) -> None:
         self.top = 0
         self.words: dict[int, int] = {}
         self.buckets: dict[int, list[int]] = {}
+        self.large: dict[int, np.ndarray] = {}  # what a bucket holds besides, if that is much
+        self.high = -1  # the word of the last rank that came out
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []  # of words beyond that one
+        self.waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def push(self, rank: int, positions: list[int]) -> None:
         bucket = self.buckets.get(rank)
@@ -82,12 +106,61 @@ class RankQueue:
             bucket.extend(positions)
             return
         self.buckets[rank] = positions
+        self._mark(rank)
+
+    def _mark(self, rank: int) -> None:
         high = rank >> 8
         self.words[high] = self.words.get(high, 0) | 1 << (rank & 255)
         self.top |= 1 << high
 
-    def pop(self) -> tuple[int, list[int]]:
-        high = (self.top & -self.top).bit_length() - 1
+    def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        near = ranks < self.high + 1 << 8
+        if near.any():
+            buckets = self.buckets
+            for x, i in zip(ranks[near].tolist(), positions[near].tolist()):
+                if x in buckets:
+                    buckets[x].append(i)
+                else:
+                    self.push(x, [i])
+            ranks, positions = ranks[~near], positions[~near]
+        if len(ranks):
+            self.fresh.append((ranks, positions))
+
+    def _settle(self) -> None:
+        """Sorts what is fresh by word."""
+        ranks, positions = map(np.concatenate, zip(*self.fresh))
+        self.fresh = []
+        words = (ranks >> 8).astype(np.uint16)
+        order = np.argsort(words, kind="stable")
+        ranks, positions, words = ranks[order], positions[order], words[order]
+        at = [0, *(np.flatnonzero(words[1:] != words[:-1]) + 1).tolist(), len(words)]
+        for a, b in zip(at, at[1:]):
+            high = int(words[a])
+            self.waiting.setdefault(high, []).append((ranks[a:b], positions[a:b]))
+            self.top |= 1 << high
+
+    def _spread(self, high: int) -> None:
+        """Sorts what waits for a word into buckets."""
+        ranks, positions = map(np.concatenate, zip(*self.waiting.pop(high)))
+        order = np.argsort(ranks.astype(np.uint16), kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        at = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for a, b, rank in zip(at, at[1:], ranks[at[:-1]].tolist()):
+            if b - a < ARRAY_MERGE:
+                self.push(rank, positions[a:b].tolist())
+            else:
+                self.large[rank] = np.append(self.large[rank], positions[a:b]) if rank in self.large else positions[a:b]
+                self._mark(rank)
+
+    def __bool__(self) -> bool:
+        return bool(self.top or self.fresh)
+
+    def pop(self) -> tuple[int, list[int] | np.ndarray]:
+        if self.fresh and not self.top & (1 << self.high + 1) - 1:
+            self._settle()
+        self.high = high = (self.top & -self.top).bit_length() - 1
+        if high in self.waiting:
+            self._spread(high)
         bits = self.words[high]
         low = bits & -bits
         rank = (high << 8) + low.bit_length() - 1
@@ -96,58 +169,57 @@ class RankQueue:
             self.top &= self.top - 1
         else:
             self.words[high] = bits ^ low
-        bucket = self.buckets.pop(rank)
+        bucket = self.buckets.pop(rank, [])
+        if rank in self.large:
+            return rank, np.sort(np.append(self.large.pop(rank), np.array(bucket, np.int32)))
         bucket.sort()
         return rank, bucket
 
 
-def merge(pieces: list[bytes], merges: Merges) -> list[tuple[int, ...]]:
-    """Ids of each pre-token."""
+def merge(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pre-tokens, one after the other, and their number in each; no pre-token is empty."""
+    if not pieces:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     starts = np.cumsum(lengths + 1) - lengths
-    size = int(starts[-1] + lengths[-1]) + 1 if pieces else 1
-    raw = np.frombuffer(b"\0" + b"\0".join(pieces) + b"\0", np.uint8) if pieces else np.zeros(1, np.uint8)
+    size = int(starts[-1] + lengths[-1]) + 1
+    raw = np.frombuffer(b"\0" + b"\0".join(pieces) + b"\0", np.uint8)
     tokens = array("i", merges.of_byte[raw].tobytes())
     token_view = np.frombuffer(tokens, np.int32)
-    walls = np.append(starts - 1, size - 1) if pieces else np.zeros(1, np.int64)
+    walls = np.append(starts - 1, size - 1)
     token_view[walls] = WALL
     after, before = array("i", range(1, size + 1)), array("i", range(-1, size - 1))
     after_view, before_view = np.frombuffer(after, np.int32), np.frombuffer(before, np.int32)
-    first = np.append(merges.look_up(token_view[:-1], token_view[1:]), np.int32(-1))
+    first = np.append(merges.of_bytes[raw[:-1].astype(np.int32) << 8 | raw[1:]], np.int32(-1))
+    first[walls] = first[walls - 1] = -1
     current = array("i", first.astype(np.int32).tobytes())
     current_view = np.frombuffer(current, np.int32)
     queue = RankQueue()
     buckets, push, look_up = queue.buckets, queue.push, merges.of.get
-    filled = np.flatnonzero(first >= 0)
-    order = filled[np.argsort(first[filled], kind="stable")]
-    ranks, at = np.unique(first[order], return_index=True)
-    for rank, positions in zip(ranks.tolist(), np.split(order, at[1:])):
-        push(rank, positions.tolist())
-    while queue.top:
+    filled = np.flatnonzero(first >= 0).astype(np.int32)
+    queue.push_all(first[filled], filled)
+    while queue:
         rank, bucket = queue.pop()
-        if len(bucket) >= ARRAY_MERGE and rank not in merges.steps_back:
-            p = np.unique(np.array(bucket, np.int32))
-            p = p[current_view[p] == rank]
+        if len(bucket) >= ARRAY_MERGE:
+            p = np.asarray(bucket, np.int32)
+            p = p[(current_view[p] == rank) & np.append(True, p[1:] != p[:-1])]
             j = after_view[p]
-            if not (j[:-1] == p[1:]).any():
-                k = after_view[j]
+            k = after_view[j]
+            if not (j[:-1] == p[1:]).any() and not (rank in merges.steps_back and merges.lesser(rank, token_view[k], token_view[before_view[p]])):
                 after_view[p] = k
                 before_view[k] = p
+                b = before_view[p]
                 current_view[j] = -1
                 token_view[p] = rank
-                own = np.full(len(p), rank, np.int32)
-                current_view[p] = right = merges.look_up(own, token_view[k])
-                b = before_view[p]
-                current_view[b] = left = merges.look_up(token_view[b], own)
-                for new, where in ((right, p), (left, b)):
-                    kept = new >= 0
-                    for x, i in zip(new[kept].tolist(), where[kept].tolist()):
-                        if x in buckets:
-                            buckets[x].append(i)
-                        else:
-                            push(x, [i])
+                current_view[p] = right = merges.look_up(rank, token_view[k], merges.after)
+                current_view[b] = left = merges.look_up(rank, token_view[b], merges.before)
+                new, where = np.concatenate((right, left)), np.concatenate((p, b))
+                kept = new >= 0
+                queue.push_all(new[kept], where[kept])
                 continue
-            bucket = p.tolist()
+            bucket = p
+        if not isinstance(bucket, list):
+            bucket = bucket.tolist()
         for n, i in enumerate(bucket):
             if current[i] != rank:
                 continue
@@ -177,11 +249,8 @@ def merge(pieces: list[bytes], merges: Merges) -> list[tuple[int, ...]]:
     alive = np.zeros(size + 1, bool)
     alive[0] = True
     alive[after_view[before_view[1:size]]] = True  # a position is in the list if its neighbour before leads to it
-    alive = alive[:size] & (after_view[np.maximum(before_view, 0)] == np.arange(size))
-    ids = token_view[alive & (token_view != WALL)].tolist()
-    counts = np.add.reduceat((alive & (token_view != WALL)).astype(np.int64), starts) if pieces else []
-    ends = np.cumsum(counts)
-    return [tuple(ids[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist())] if pieces else []
+    alive = alive[:size] & (after_view[np.maximum(before_view, 0)] == np.arange(size)) & (token_view != WALL)
+    return token_view[alive], np.add.reduceat(alive.astype(np.int64), starts)
 
 
 class Memory(dict):
@@ -204,6 +273,94 @@ class Memory(dict):
         return [key for key in lacking if key not in self]
 
 
+class Known(dict):
+    """Numbers of pieces of text met lately, in the order in which they were met; of each its ids and what else is kept in
+    ``columns``. Bounded in entries; when full, those most in use stay."""
+
+    def __init__(self, entries: int, columns: int) -> None:
+        super().__init__()
+        self.entries, self.width = entries, columns
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.ids = np.zeros(0, np.int32)
+        self.counts = self.starts = self.uses = np.zeros(0, np.int64)
+        self.columns: list[list[Any]] = [[] for _ in range(self.width)]
+        self.long = 0
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+    def numbers(self, keys: Iterable[str], n: int) -> np.ndarray:
+        """Numbers of ``n`` pieces; those in ``new`` are to be added."""
+        return np.fromiter(map(self.__getitem__, keys), np.int32, n)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray, *columns: list[Any]) -> None:
+        """What belongs to the pieces in ``new``."""
+        self.ids, self.counts = np.append(self.ids, ids), np.append(self.counts, counts)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.uses = np.append(self.uses, np.zeros(len(counts), np.int64))
+        for all_values, values in zip(self.columns, columns):
+            all_values += values
+        lengths = np.fromiter(map(len, self.new), np.int64, len(self.new))
+        self.long += int(lengths[lengths > LONG].sum())
+        self.new = []
+
+    def use(self, numbers: np.ndarray) -> None:
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these numbers, one after the other."""
+        counts = self.counts[numbers]
+        ends = np.cumsum(counts)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + counts, counts)]
+
+    def make_room(self) -> None:
+        """Numbers change, so this is called between chunks. Long pieces, which seldom come again, all go."""
+        if len(self) <= self.entries and self.long <= LONG_CHARS:
+            return
+        keys = list(self)
+        kept = np.flatnonzero(np.fromiter(map(len, keys), np.int64, len(keys)) <= LONG)
+        most = self.entries // 2
+        if len(kept) > most:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:most]])
+        ids, counts, uses = self.gather(kept), self.counts[kept], self.uses[kept] // 2
+        keys, *columns = ([x[i] for i in kept.tolist()] for x in (keys, *self.columns))
+        self.forget()
+        self.update(zip(keys, range(len(keys))))
+        self.ids, self.counts, self.starts, self.uses, self.columns = ids, counts, np.cumsum(counts) - counts, uses, columns
+
+
+class Encoded:
+    """A text as numbers of matches and, after these, of parts that an encoder knows; valid until its next chunk."""
+
+    __slots__ = ("own", "matches", "parts")
+
+    def __init__(self, own: Encoder, matches: np.ndarray, parts: np.ndarray) -> None:
+        self.own, self.matches, self.parts = own, matches, parts
+
+    def __len__(self) -> int:
+        return int(self.own.of_match.counts[self.matches].sum() + self.own.of_part.counts[self.parts].sum())
+
+    def ids(self) -> np.ndarray:
+        return np.append(self.own.of_match.gather(self.matches), self.own.of_part.gather(self.parts))
+
+    def _joined(self, of_id: list[Any], of_part: list[Any], by: Any) -> Any:
+        return by.join([*map(of_id.__getitem__, self.own.of_match.gather(self.matches).tolist()), *map(of_part.__getitem__, self.parts.tolist())])
+
+    def decimals(self) -> str:
+        """The ids as decimals, joined by commas; those of equal parts have been joined once."""
+        return self._joined(self.own.decimal_of, self.own.of_part.columns[0], ",")
+
+    def decoded(self) -> bytes:
+        """What the ids decode to; those of equal parts have been decoded once."""
+        return self._joined(self.own.bytes_of, self.own.of_part.columns[1], b"")
+
+
 class Encoder:
     """Encodes by a rank file's ranks.
 
@@ -221,57 +378,90 @@ class Encoder:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.decimal_of = [str(i) for i in range(size)]
-        self.of_match = Memory(CACHE_ENTRIES // 4)
-        self.of_part = Memory(CACHE_ENTRIES)
+        self.digits = np.array([*map(len, self.decimal_of)])
+        self.lengths = np.array([*map(len, self.bytes_of)])
+        self.of_match = Known(CACHE_ENTRIES, 0)
+        self.of_part = Known(CACHE_ENTRIES, 2)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; asks the queue once for all pre-tokens not met lately."""
+    def chunk(self, texts: list[str]) -> list[Encoded]:
+        """Encodes texts; asks the queue once for all pre-tokens not met lately."""
+        of_match, of_part = self.of_match, self.of_part
+        of_match.make_room()
+        of_part.make_room()
         heads, parts = [], []
         for text in texts:
             if self.spaces_differ(text):
-                heads.append(self.matches(text))
+                heads.append([x for x in self.matches(text) if x])
                 parts.append([])
             else:
                 head, *rest = text.split(" ")
                 heads.append(self.matches(head))
                 parts.append(rest)
-        of_match, of_part = self.of_match, self.of_part
-        new_matches = of_match.missing(set(chain.from_iterable(heads)))
-        new_parts = [(x, [" " + x] if x.isalpha() else self.matches(" " + x)) for x in of_part.missing(set(chain.from_iterable(parts)))]
-        wanted = dict.fromkeys(chain(new_matches, chain.from_iterable(x for _, x in new_parts)))
-        found, unknown = {}, []
-        for x in wanted:
-            raw = x.encode("utf-8")
-            rank = self.ranks.get(raw)
-            if rank is not None:
-                found[x] = (rank,)
-            else:
-                unknown.append((x, raw))
-        for (x, _), ids in zip(unknown, merge([raw for _, raw in unknown], self.merges)):
-            found[x] = ids
-        for x in new_matches:
-            of_match[x] = found[x]
-        for x, own in new_parts:
-            of_part[x] = found[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(found.__getitem__, own)))
-        result = [
-            list(chain(chain.from_iterable(map(of_match.__getitem__, h)), chain.from_iterable(map(of_part.__getitem__, p))))
-            for h, p in zip(heads, parts)
+        head_ends, part_ends = ([*accumulate(map(len, x))] for x in (heads, parts))
+        if not texts:
+            return []
+        of_heads = of_match.numbers(chain.from_iterable(heads), head_ends[-1])
+        of_parts = of_part.numbers(chain.from_iterable(parts), part_ends[-1])
+        del heads, parts
+        self._learn()
+        of_match.use(of_heads)
+        of_part.use(of_parts)
+        return [
+            Encoded(self, of_heads[a:b], of_parts[c:d])
+            for a, b, c, d in zip([0, *head_ends], head_ends, [0, *part_ends], part_ends)
         ]
-        for memory in (of_match, of_part):  # very long ones aren't kept
-            for x in [x for x in (new_matches if memory is of_match else [k for k, _ in new_parts]) if len(x) > 64]:
-                memory.pop(x, None)
-        return result
 
-    def forget(self) -> None:
-        for memory in (self.of_match, self.of_part):
-            memory.clear()
-            memory.old = {}
+    def _learn(self) -> None:
+        """Encodes the new parts and matches."""
+        of_match, of_part = self.of_match, self.of_part
+        own, n = [], []
+        for part in of_part.new:
+            stem = part.rstrip(string.punctuation)
+            if not stem.isalpha():
+                found = self.matches(" " + part)
+                own += found
+                n.append(len(found))
+            elif len(stem) == len(part):
+                own.append(" " + part)
+                n.append(1)
+            else:
+                own += (" " + stem, part[len(stem) :])
+                n.append(2)
+        numbers = of_match.numbers(own, len(own))
+        del own
+        raws = [x.encode("utf-8") for x in of_match.new]
+        whole = np.fromiter((self.ranks.get(x, -1) for x in raws), np.int32, len(raws))
+        known = whole >= 0
+        merged, several = merge([*compress(raws, (~known).tolist())], self.merges)
+        # A pre-token that is a token has its rank as its one id, put in place among those of the others.
+        counts = np.ones(len(whole), np.int64)
+        counts[~known] = several
+        ids = np.empty(int(counts.sum()), np.int32)
+        single = np.zeros(len(ids), bool)
+        single[(np.cumsum(counts) - counts)[known]] = True
+        ids[single] = whole[known]
+        ids[~single] = merged
+        of_match.add(ids, counts)
+        of_match.use(numbers)
+        ids = of_match.gather(numbers)
+        counts = np.add.reduceat(of_match.counts[numbers], np.cumsum(n) - n) if n else np.zeros(0, np.int64)
+        # All decimals and bytes in one, cut where parts end.
+        listed, last = ids.tolist(), np.cumsum(counts) - 1
+        decimals, decoded = ",".join(map(self.decimal_of.__getitem__, listed)), b"".join(map(self.bytes_of.__getitem__, listed))
+        ends, raw_ends = (np.cumsum(self.digits[ids] + 1)[last] - 1).tolist(), np.cumsum(self.lengths[ids])[last].tolist()
+        of_part.add(
+            ids,
+            counts,
+            [decimals[a:b] for a, b in zip([0, *(x + 1 for x in ends)], ends)],
+            [decoded[a:b] for a, b in zip([0, *raw_ends], raw_ends)],
+        )
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids().tolist() for x in self.chunk(texts)]
 
-    def decimals(self, ids: Iterable[int]) -> str:
-        return ",".join(map(self.decimal_of.__getitem__, ids))
+    def forget(self) -> None:
+        self.of_match.forget()
+        self.of_part.forget()
 
 
 def _public_pattern() -> str:
@@ -288,17 +478,17 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(ranks, pattern)
 
 
-def _ids_and_bytes(own: Encoder, ids: list[int]) -> tuple[Any, ...]:
-    return len(ids), ids, own.decode(ids)
+def _ids_and_bytes(text: Encoded) -> tuple[Any, ...]:
+    return len(text), text.ids(), text.decoded()
 
 
-def _digests(own: Encoder, ids: list[int]) -> tuple[Any, ...]:
-    return len(ids), hashlib.sha256(own.decimals(ids).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+def _digests(text: Encoded) -> tuple[Any, ...]:
+    return len(text), hashlib.sha256(text.decimals().encode()).hexdigest(), hashlib.sha256(text.decoded()).hexdigest()
 
 
-def ids_and_digests(own: Encoder, ids: list[int]) -> tuple[Any, ...]:
-    n, *digests = _digests(own, ids)
-    return n, ids, *digests
+def ids_and_digests(text: Encoded) -> tuple[Any, ...]:
+    n, *digests = _digests(text)
+    return n, text.ids(), *digests
 
 
 def encode(
@@ -307,10 +497,10 @@ def encode(
     text_col: str = "text",
     vocabulary: str = VOCABULARY,
     pattern: str | None = None,
-    emit: Callable[[Encoder, list[int]], tuple[Any, ...]] = _ids_and_bytes,
+    emit: Callable[[Encoded], tuple[Any, ...]] = _ids_and_bytes,
     emitted: str = "n_tokens long, ids array<int>, decoded binary",
 ) -> DataFrame:
-    """Each document's token ids and the bytes they decode to, or what ``emit`` makes of the ids.
+    """Each document's token ids and the bytes they decode to, or what ``emit`` makes of them.
 
     ``vocabulary`` is a rank file's name in the tokenizer package, or a path. One narrow pass: no shuffle, and a
     worker holds the ids of one chunk of documents at a time.
@@ -322,7 +512,7 @@ def encode(
         own = encoder(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary), pattern or public_tokenizers.PATTERN)
 
         def each(keys: list[Any], texts: list[str | None]) -> Iterable[tuple[Any, ...]]:
-            return [(k, *emit(own, ids)) for k, ids in zip(keys, own.encode([t or "" for t in texts]))]
+            return [(k, *emit(x)) for k, x in zip(keys, own.chunk([t or "" for t in texts]))]
 
         each.close = own.forget  # type: ignore[attr-defined]
         return each

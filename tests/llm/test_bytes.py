@@ -139,6 +139,72 @@ def test_rank_queue():
     assert [q.pop() for _ in range(3)] == [(7, [9]), (300, [2, 5]), (65535, [1])] and not q.top
 
 
+def bpe_encoder():
+    import public_tokenizers
+
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    return bpe.Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, public_tokenizers.PATTERN)
+
+
+def test_bpe_asks_the_queue_once_for_a_pretoken(monkeypatch):
+    own, asked = bpe_encoder(), []
+    merge = bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda pieces, merges: asked.extend(pieces) or merge(pieces, merges))
+    for text in ("x ndthonti", "x ndthonti, x", "x\nx ndthonti.\nx", "x ndthonti  x"):  # in parts of several forms, and in a text matched whole
+        assert own.encode([text]) == [reference(bpe.VOCABULARY).encode_ordinary(text)]
+    assert asked.count(b" ndthonti") == 1
+
+
+def test_bpe_memory_of_few_entries(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 40)
+    monkeypatch.setattr(bpe, "LONG_CHARS", 200)
+    own, other, rng = bpe_encoder(), reference(bpe.VOCABULARY), random.Random(7)
+    words = ["".join(rng.choice("aeinrstßé漢'$,._19") for _ in range(rng.choice([1, 3, 8, 8, 100]))) for _ in range(300)]
+    for _ in range(60):
+        xs = [rng.choice(["", "\n", "  "]) + " ".join(["often", *rng.choices(words, k=rng.randrange(12))]) for _ in range(8)] + ["", " ", "a"]
+        for text, x in zip(xs, own.chunk(xs)):
+            ids = other.encode_ordinary(text)
+            assert (len(x), x.ids().tolist(), x.decimals(), x.decoded()) == (len(ids), ids, ",".join(map(str, ids)), text.encode())
+    assert own.chunk([]) == [] and len(own.of_part) < 40 + 8 * 12 and "often" in own.of_match
+
+
+def test_bpe_large_buckets():
+    own, other, rng = bpe_encoder(), reference(bpe.VOCABULARY), random.Random(11)
+    parts = [t.decode() for t in rng.sample(sorted(own.ranks), 3000) if t.isalpha() and t.isascii()]
+    xs = ["".join(rng.choices(parts, k=rng.choice([1, 2, 3, 4]))) for _ in range(4000)]  # the same merges, many times in one batch
+    xs += [a * n for a in ("an", "tion", "ee", "abab") for n in range(1, 120)]
+    assert own.encode(xs) == [other.encode_ordinary(x) for x in xs]
+    steps = [t.decode() for t, rank in own.ranks.items() if rank in own.merges.steps_back and t.isalpha() and t.isascii()][:2000]
+    for some in (steps[at : at + 4] for at in range(0, len(steps), 20)):  # tokens after which the queue may step back
+        xs = ["".join(rng.choices(some, k=rng.choice([2, 3, 5]))) for _ in range(150)]
+        assert own.encode(xs) == [other.encode_ordinary(x) for x in xs]
+
+
+def test_rank_queue_of_arrays():
+    import numpy as np
+
+    rng = random.Random(13)
+    q, held = bpe.RankQueue(), {}
+    for step in range(400):
+        if step < 200 or rng.random() < 0.3:
+            n, most = rng.choice([1, 30, 300]), rng.choice([5, 600, 60_000])
+            ranks, at = [rng.randrange(most) for _ in range(n)], [rng.randrange(10**6) for _ in range(n)]
+            if rng.random() < 0.5:
+                q.push_all(np.array(ranks, np.int32), np.array(at, np.int32))
+            else:
+                for x, i in zip(ranks, at):
+                    q.push(x, [i])
+            for x, i in zip(ranks, at):
+                held.setdefault(x, []).append(i)
+        else:
+            rank, bucket = q.pop()
+            assert rank == min(held) and list(bucket) == sorted(held.pop(rank))
+    while q:
+        rank, bucket = q.pop()
+        assert rank == min(held) and list(bucket) == sorted(held.pop(rank))
+    assert not held
+
+
 def test_token_counts_are_the_tokenizers(spark, sf_dir, texts):
     import public_tokenizers
     from tokenizers import Tokenizer, models, pre_tokenizers
