@@ -34,6 +34,8 @@ from ravelin.llm.common import map_chunks, table
 CACHE_ENTRIES = 180_000
 #: Pieces of more characters than ``LONG`` go with the next chunk once they have ``LONG_CHARS`` in all.
 LONG, LONG_CHARS = 64, 1 << 20
+#: Matches of new parts that are looked up at a time, or as many more as one part has.
+QUEUE_PIECES = 1 << 18
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -300,15 +302,15 @@ class Known(dict):
         return np.fromiter(map(self.__getitem__, keys), np.int32, n)
 
     def add(self, ids: np.ndarray, counts: np.ndarray, *columns: list[Any]) -> None:
-        """What belongs to the pieces in ``new``."""
+        """What belongs to the first pieces in ``new``, all of them if ``counts`` has all."""
         self.ids, self.counts = np.append(self.ids, ids), np.append(self.counts, counts)
         self.starts = np.cumsum(self.counts) - self.counts
         self.uses = np.append(self.uses, np.zeros(len(counts), np.int64))
         for all_values, values in zip(self.columns, columns):
             all_values += values
-        lengths = np.fromiter(map(len, self.new), np.int64, len(self.new))
+        lengths = np.fromiter(map(len, self.new), np.int64, len(counts))
         self.long += int(lengths[lengths > LONG].sum())
-        self.new = []
+        del self.new[: len(counts)]
 
     def use(self, numbers: np.ndarray) -> None:
         self.uses += np.bincount(numbers, minlength=len(self.uses))
@@ -412,10 +414,13 @@ class Encoder:
         ]
 
     def _learn(self) -> None:
-        """Encodes the new parts and matches."""
-        of_match, of_part = self.of_match, self.of_part
-        own, n = [], []
-        for part in of_part.new:
+        """Encodes the new parts and matches, so many at a time that their strings take little memory."""
+        own: list[str] = []
+        n: list[int] = []
+        for part in [*self.of_part.new]:
+            if len(own) >= QUEUE_PIECES:
+                self._add(own, n)
+                n.clear()
             stem = part.rstrip(string.punctuation)
             if not stem.isalpha():
                 found = self.matches(" " + part)
@@ -427,8 +432,13 @@ class Encoder:
             else:
                 own += (" " + stem, part[len(stem) :])
                 n.append(2)
+        self._add(own, n)
+
+    def _add(self, own: list[str], n: list[int]) -> None:
+        """The next ``len(n)`` of the new parts have these matches, as many each as ``n`` tells."""
+        of_match, of_part = self.of_match, self.of_part
         numbers = of_match.numbers(own, len(own))
-        del own
+        own.clear()  # those that are known already take memory no longer
         raws = [x.encode("utf-8") for x in of_match.new]
         whole = np.fromiter((self.ranks.get(x, -1) for x in raws), np.int32, len(raws))
         known = whole >= 0

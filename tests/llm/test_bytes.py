@@ -158,6 +158,7 @@ def test_bpe_asks_the_queue_once_for_a_pretoken(monkeypatch):
 def test_bpe_memory_of_few_entries(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 40)
     monkeypatch.setattr(bpe, "LONG_CHARS", 200)
+    monkeypatch.setattr(bpe, "QUEUE_PIECES", 30)
     own, other, rng = bpe_encoder(), reference(bpe.VOCABULARY), random.Random(7)
     words = ["".join(rng.choice("aeinrstßé漢'$,._19") for _ in range(rng.choice([1, 3, 8, 8, 100]))) for _ in range(300)]
     for _ in range(60):
